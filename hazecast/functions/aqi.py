@@ -13,35 +13,42 @@ from hazecast.fixed_values import (
     AQI_CAP, BREAKPOINTS, CATEGORIES, POLLUTANT_NAMES, POLLUTANTS)
 
 
+def _number(x: float) -> str:
+    return f"{float(x)!r}D"
+
+
+def _truncated(pollutant: str) -> str:
+    cut = (f"floor({pollutant} * 10D) / 10D" if pollutant == "pm2_5"
+           else f"CAST(floor({pollutant}) AS DOUBLE)")
+    return f"CASE WHEN {pollutant} >= 0 THEN {cut} END"
+
+
+def _sub_index(pollutant: str) -> str:
+    c = f"({_truncated(pollutant)})"
+    arms = ""
+    for c_low, c_high, i_low, i_high in BREAKPOINTS[pollutant]:
+        slope = _number((i_high - i_low) / (c_high - c_low))
+        arms += (f" WHEN {c} BETWEEN {_number(c_low)} AND {_number(c_high)}"
+                 f" THEN rint({slope} * ({c} - {_number(c_low)}) + {_number(i_low)})")
+    top = _number(BREAKPOINTS[pollutant][-1][1])
+    return f"CASE{arms} WHEN {c} > {top} THEN {_number(AQI_CAP)} END"
+
+
+# Expressions are handed over as SQL text: one call per column, not one per
+# operator in it, which keeps wide tables quick to plan.
+
 def truncated(pollutant: str) -> Column:
     """Concentration cut to the precision of its breakpoint table."""
-    value = F.col(pollutant).cast("double")
-    if pollutant == "pm2_5":
-        cut = F.floor(value * 10.0) / F.lit(10.0)
-    else:
-        cut = F.floor(value).cast("double")
-    return F.when(value >= 0, cut)
+    return F.expr(_truncated(pollutant))
 
 
-def interpolate(concentration: Column, pollutant: str) -> Column:
-    """Piecewise linear index of a truncated concentration, half-even rounded.
+def sub_index(pollutant: str) -> Column:
+    """Piecewise linear index of the truncated concentration, half-even rounded.
 
     Values above the last band give the cap; truncation leaves no value
     between two bands, negative or null values give null.
     """
-    steps = None
-    for c_low, c_high, i_low, i_high in BREAKPOINTS[pollutant]:
-        slope = (i_high - i_low) / (c_high - c_low)
-        index = F.rint(F.lit(float(slope)) * (concentration - F.lit(float(c_low)))
-                       + F.lit(float(i_low)))
-        inside = concentration.between(F.lit(float(c_low)), F.lit(float(c_high)))
-        steps = F.when(inside, index) if steps is None else steps.when(inside, index)
-    top = float(BREAKPOINTS[pollutant][-1][1])
-    return steps.when(concentration > F.lit(top), F.lit(float(AQI_CAP)))
-
-
-def sub_index(pollutant: str) -> Column:
-    return interpolate(truncated(pollutant), pollutant)
+    return F.expr(_sub_index(pollutant))
 
 
 def sub_name(pollutant: str) -> str:
@@ -53,16 +60,12 @@ def with_sub_indices(df: DataFrame) -> DataFrame:
                            for p in POLLUTANTS if p in df.columns})
 
 
-def overall(columns: list[Column]) -> Column:
-    """Largest valid index; null when none is valid."""
-    return F.greatest(*columns) if len(columns) > 1 else columns[0]
-
-
 def with_aqi(df: DataFrame) -> DataFrame:
-    present = [p for p in POLLUTANTS if p in df.columns]
-    if not present:
-        return df.withColumn("aqi", F.lit(None).cast("double"))
-    return df.withColumn("aqi", overall([sub_index(p) for p in present]))
+    """Add ``aqi``: the largest valid sub-index, null when none is valid."""
+    present = [_sub_index(p) for p in POLLUTANTS if p in df.columns]
+    # greatest() skips nulls but wants two arguments
+    return df.withColumn("aqi", F.expr(
+        f"greatest({', '.join([*present, 'CAST(NULL AS DOUBLE)', 'CAST(NULL AS DOUBLE)'])})"))
 
 
 def dominant() -> Column:

@@ -8,58 +8,45 @@ from pyspark.sql import functions as F
 from hazecast.fixed_values import DAY_SEGMENTS, INTERACTION_PAIRS
 
 
-def _turn(value: Column, period: float) -> tuple[Column, Column]:
-    angle = value * F.lit(2.0 * math.pi) / F.lit(float(period))
-    return F.sin(angle), F.cos(angle)
+def _circle(name: str, value: str, period: float) -> dict[str, Column]:
+    angle = f"{value} * {2.0 * math.pi!r}D / {float(period)!r}D"
+    return {f"{name}_sin": F.expr(f"sin({angle})"), f"{name}_cos": F.expr(f"cos({angle})")}
 
 
-def local_time(ts: Column, zone: str | None) -> Column:
-    return ts if zone is None else F.from_utc_timestamp(ts, zone)
+def _local(zone: str | None) -> str:
+    return "timestamp" if zone is None else f"from_utc_timestamp(timestamp, '{zone}')"
 
 
 def with_time_features(df: DataFrame, zone: str | None = None) -> DataFrame:
     """hour, day_of_week (Monday is 0), month, is_weekend and their circles."""
-    ts = local_time(F.col("timestamp"), zone)
-    hour_sin, hour_cos = _turn(F.hour(ts), 24)
-    month_sin, month_cos = _turn(F.month(ts), 12)
+    ts = _local(zone)
     return df.withColumns({
-        "hour": F.hour(ts),
-        "day_of_week": F.weekday(ts),
-        "month": F.month(ts),
-        "is_weekend": (F.weekday(ts) >= 5).cast("int"),
-        "hour_sin": hour_sin,
-        "hour_cos": hour_cos,
-        "month_sin": month_sin,
-        "month_cos": month_cos,
+        "hour": F.expr(f"hour({ts})"),
+        "day_of_week": F.expr(f"weekday({ts})"),
+        "month": F.expr(f"month({ts})"),
+        "is_weekend": F.expr(f"CAST(weekday({ts}) >= 5 AS INT)"),
+        **_circle("hour", f"hour({ts})", 24),
+        **_circle("month", f"month({ts})", 12),
     })
 
 
-def day_segment(hour: Column) -> Column:
-    return F.coalesce(*[F.when((hour >= first) & (hour < last), F.lit(code))
-                        for code, (first, last) in enumerate(DAY_SEGMENTS)],
-                      F.lit(0))
-
-
 def with_calendar_features(df: DataFrame, zone: str | None = None) -> DataFrame:
     """day_segment and the circles of day of year and ISO week."""
-    ts = local_time(F.col("timestamp"), zone)
-    day_sin, day_cos = _turn(F.dayofyear(ts), 365.25)
-    week_sin, week_cos = _turn(F.weekofyear(ts), 52)
+    ts = _local(zone)
+    arms = " ".join(f"WHEN hour({ts}) >= {first} AND hour({ts}) < {last} THEN {code}"
+                    for code, (first, last) in enumerate(DAY_SEGMENTS))
     return df.withColumns({
-        "day_segment": day_segment(F.hour(ts)),
-        "day_of_year_sin": day_sin,
-        "day_of_year_cos": day_cos,
-        "week_of_year_sin": week_sin,
-        "week_of_year_cos": week_cos,
+        "day_segment": F.expr(f"CASE {arms} ELSE 0 END"),
+        **_circle("day_of_year", f"dayofyear({ts})", 365.25),
+        **_circle("week_of_year", f"weekofyear({ts})", 52),
     })
 
 
 def with_interactions(df: DataFrame) -> DataFrame:
     """Pollutant x weather products, where both columns are present."""
-    products = {f"{a}_x_{b}": F.col(a) * F.col(b)
+    products = {f"{a}_x_{b}": F.expr(f"{a} * {b}")
                 for a, b in INTERACTION_PAIRS
                 if a in df.columns and b in df.columns}
     if {"temperature", "humidity"} <= set(df.columns):
-        products["temp_humidity_idx"] = (
-            F.col("temperature") * F.col("humidity") / F.lit(100.0))
+        products["temp_humidity_idx"] = F.expr("temperature * humidity / 100D")
     return df.withColumns(products) if products else df

@@ -7,8 +7,10 @@ from pyspark.sql.types import DoubleType, FloatType
 from hazecast.fixed_values import POLLUTANTS
 
 
-def is_finite(value: Column) -> Column:
-    return ~F.isnan(value) & (F.abs(value) != F.lit(float("inf")))
+def half_even(value: Column, digits: int) -> Column:
+    """Rounded to decimals as the binary value stands, ties to even."""
+    scale = F.lit(10.0 ** digits)
+    return F.rint(value * scale) / scale
 
 
 def double_columns(df: DataFrame) -> list[str]:
@@ -16,22 +18,23 @@ def double_columns(df: DataFrame) -> list[str]:
             if isinstance(f.dataType, (DoubleType, FloatType))]
 
 
+def _finite(name: str) -> str:
+    c = f"`{name}`"
+    return f"CASE WHEN NOT isnan({c}) AND abs({c}) < double('Infinity') THEN {c} END"
+
+
 def normalize_nan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """NaN and infinities become null, so null is the only missing value."""
     names = double_columns(df) if columns is None else columns
-    return df.withColumns({c: F.when(is_finite(F.col(c)), F.col(c)) for c in names})
+    return df.withColumns({c: F.expr(_finite(c)) for c in names})
 
 
 def impute_zero(df: DataFrame, columns: list[str]) -> DataFrame:
     """Null, NaN and infinities become 0."""
     doubles = set(double_columns(df))
-
-    def filled(name: str) -> Column:
-        if name in doubles:
-            return F.coalesce(F.when(is_finite(F.col(name)), F.col(name)), F.lit(0.0))
-        return F.coalesce(F.col(name), F.lit(0))
-
-    return df.withColumns({c: filled(c) for c in columns})
+    return df.withColumns({
+        c: F.expr(f"coalesce({_finite(c)}, 0D)" if c in doubles else f"coalesce(`{c}`, 0)")
+        for c in columns})
 
 
 def normalize_headers(df: DataFrame) -> DataFrame:

@@ -14,15 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 ACCURACY = 100_000
-SLACK = 2.0 / ACCURACY
 
 
-def melt(df: DataFrame, columns: list[str], value: str = "value") -> DataFrame:
+def melt(df: DataFrame, columns: list[str]) -> DataFrame:
     """(variable, value) rows, nulls left out."""
-    cells = F.array(*[F.struct(F.lit(c).alias("variable"),
-                               F.col(c).cast("double").alias(value))
-                      for c in columns])
-    return df.select(F.inline(cells)).filter(F.col(value).isNotNull())
+    cells = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
+    return df.selectExpr(f"stack({len(columns)}, {cells}) AS (variable, value)").filter(
+        "value IS NOT NULL")
 
 
 def _brackets(long: DataFrame, probabilities: list[float], accuracy: int) -> DataFrame:
@@ -89,7 +87,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
         part = place - F.floor(place)
         lower, upper = F.col(f"below{i}"), F.col(f"above{i}")
         missed = F.raise_error(F.lit("quantile bracket missed its rank")).cast("double")
-        return F.when(lower.isNull() | upper.isNull(), missed).otherwise(
-            lower + (upper - lower) * part).alias(f"q{i}")
+        # from the nearer neighbour, which is the more accurate side
+        near = F.when(part < 0.5, lower + (upper - lower) * part).otherwise(
+            upper - (upper - lower) * (F.lit(1.0) - part))
+        return F.when(lower.isNull() | upper.isNull(), missed).otherwise(near).alias(f"q{i}")
 
     return found.select("variable", "n", *[between(i, p) for i, p in enumerate(probabilities)])

@@ -1,15 +1,14 @@
 """Rolling, lagged, forward and exponentially weighted features.
 
 All windows of one table share one partitioning and one order, so they plan
-as one exchange, one sort and one Window node.
+as one exchange, one sort and one Window node. The columns are written as SQL
+text: a hundred of them then cost one call each to plan.
 """
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
-from pyspark.sql.window import WindowSpec
 
 from hazecast.fixed_values import (
     CHANGE_WINDOWS, EWMA_SPANS, HORIZONS, LAG_STEPS, ROLLING_WINDOWS, WINDOWED)
@@ -23,58 +22,56 @@ HALO_AHEAD = 72
 class Frames:
     """What "n before" means: rows of the series, or hours on the clock."""
 
-    spec: WindowSpec
+    series: str = "PARTITION BY station_id, copy ORDER BY pos"
     by_hour: bool = False
 
-    def trailing(self, n: int) -> WindowSpec:
-        if self.by_hour:
-            return self.spec.rangeBetween(-(n - 1), 0)
-        return self.spec.rowsBetween(-(n - 1), 0)
+    def trailing(self, n: int) -> str:
+        unit = "RANGE" if self.by_hour else "ROWS"
+        return f"OVER ({self.series} {unit} BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
 
-    def shifted(self, column: str, n: int) -> Column:
+    def shifted(self, column: str, n: int) -> str:
         """Value n steps later (earlier if negative), null where absent."""
         if self.by_hour:
-            return F.max(column).over(self.spec.rangeBetween(n, n))
-        return F.lag(column, -n).over(self.spec)
+            at = f"{abs(n)} {'FOLLOWING' if n > 0 else 'PRECEDING'}"
+            return f"max({column}) OVER ({self.series} RANGE BETWEEN {at} AND {at})"
+        return f"{'lead' if n > 0 else 'lag'}({column}, {abs(n)}) OVER ({self.series})"
 
-    def so_far(self) -> WindowSpec:
-        return self.spec.rowsBetween(Window.unboundedPreceding, 0)
+    def so_far(self) -> str:
+        return f"OVER ({self.series} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-def rolling_mean(f: Frames) -> dict[str, Column]:
-    return {f"{c}_rolling_mean_{n}h": F.avg(c).over(f.trailing(n))
+def rolling_mean(f: Frames) -> dict[str, str]:
+    return {f"{c}_rolling_mean_{n}h": f"avg({c}) {f.trailing(n)}"
             for c in WINDOWED for n in ROLLING_WINDOWS}
 
 
-def rolling_std(f: Frames) -> dict[str, Column]:
+def rolling_std(f: Frames) -> dict[str, str]:
     """Sample deviation; 0 where fewer than two values are in the frame."""
-    return {f"{c}_rolling_std_{n}h":
-            F.coalesce(F.stddev_samp(c).over(f.trailing(n)), F.lit(0.0))
+    return {f"{c}_rolling_std_{n}h": f"coalesce(stddev_samp({c}) {f.trailing(n)}, 0D)"
             for c in WINDOWED for n in ROLLING_WINDOWS}
 
 
-def rolling_extremes(f: Frames) -> dict[str, Column]:
+def rolling_extremes(f: Frames) -> dict[str, str]:
     out = {}
     for c in WINDOWED:
         for n in ROLLING_WINDOWS:
-            low, high = F.min(c).over(f.trailing(n)), F.max(c).over(f.trailing(n))
+            low, high = f"min({c}) {f.trailing(n)}", f"max({c}) {f.trailing(n)}"
             out[f"{c}_rolling_min_{n}h"] = low
             out[f"{c}_rolling_max_{n}h"] = high
-            out[f"{c}_range_{n}h"] = high - low
+            out[f"{c}_range_{n}h"] = f"{high} - {low}"
     return out
 
 
-def lags(f: Frames) -> dict[str, Column]:
+def lags(f: Frames) -> dict[str, str]:
     return {f"{c}_lag_{n}h": f.shifted(c, -n) for c in WINDOWED for n in LAG_STEPS}
 
 
-def change_rates(f: Frames) -> dict[str, Column]:
-    return {f"aqi_change_rate_{n}h":
-            (F.col("aqi") - f.shifted("aqi", -n)) / F.lit(float(n))
+def change_rates(f: Frames) -> dict[str, str]:
+    return {f"aqi_change_rate_{n}h": f"(aqi - {f.shifted('aqi', -n)}) / {n}D"
             for n in CHANGE_WINDOWS}
 
 
-def targets(f: Frames) -> dict[str, Column]:
+def targets(f: Frames) -> dict[str, str]:
     return {f"aqi_target_{n}h": f.shifted("aqi", n) for n in HORIZONS}
 
 
@@ -93,91 +90,86 @@ def decay(span: int) -> float:
     return 1.0 - 2.0 / (span + 1.0)
 
 
-def _own() -> Column:
-    return F.col("copy") == F.col("block")
+def _growth(span: int, k: str) -> str:
+    return f"pow({1.0 / decay(span)!r}D, {k})"
+
 
+def _sums(column: str, span: int, k: str, window: str = "") -> tuple[str, str]:
+    """Weighted sum of a column's values, and of the weights they have."""
+    growth = _growth(span, k)
+    return (f"sum({column} * {growth}) {window}",
+            f"sum(CASE WHEN {column} IS NOT NULL THEN {growth} END) {window}")
 
-def _growth(span: int, k: Column) -> Column:
-    return F.pow(F.lit(1.0 / decay(span)), k)
 
+def _state(last: str, parts: dict[int, tuple[str, str]]) -> str:
+    fields = [f"'last', {last}"]
+    for span, (mean, weight) in parts.items():
+        fields += [f"'mean_{span}', {mean}", f"'weight_{span}', {weight}"]
+    return f"named_struct({', '.join(fields)})"
 
-def _combined(earlier: Column, later: Column) -> Column:
+
+def _combined(earlier: str, later: str) -> str:
     """State after ``later`` when ``earlier`` came before it."""
-    age = later["last"] - earlier["last"]
-    parts = [later["last"].alias("last")]
+    parts = {}
     for span in EWMA_SPANS:
-        aged = earlier[f"weight_{span}"] * F.pow(F.lit(decay(span)), age)
-        weight = aged + later[f"weight_{span}"]
-        mean = (earlier[f"mean_{span}"] * aged
-                + later[f"mean_{span}"] * later[f"weight_{span}"]) / weight
-        parts += [mean.alias(f"mean_{span}"), weight.alias(f"weight_{span}")]
-    return F.when(earlier.isNull(), later).when(
-        later.isNotNull(), F.struct(*parts))
+        aged = (f"{earlier}.weight_{span} * "
+                f"pow({decay(span)!r}D, {later}.last - {earlier}.last)")
+        weight = f"({aged} + {later}.weight_{span})"
+        parts[span] = (f"({earlier}.mean_{span} * {aged} + "
+                       f"{later}.mean_{span} * {later}.weight_{span}) / {weight}", weight)
+    both = _state(f"{later}.last", parts)
+    return f"CASE WHEN {earlier} IS NULL THEN {later} WHEN {later} IS NOT NULL THEN {both} END"
 
 
 def block_states(df: DataFrame, block_rows: int) -> DataFrame:
     """State each block starts with, one row per (station, block)."""
-    k = F.col("pos") - F.col("block") * block_rows
-    sums = []
+    k = f"(pos - block * {block_rows})"
+    sums, states = [], []
     for c in WINDOWED:
-        value = F.col(c)
-        sums.append(F.max(F.when(value.isNotNull(), k)).alias(f"{c}_k"))
+        sums.append(F.expr(f"max(CASE WHEN {c} IS NOT NULL THEN {k} END)").alias(f"{c}_k"))
+        parts = {}
         for span in EWMA_SPANS:
-            growth = _growth(span, k)
-            sums.append(F.sum(value * growth).alias(f"{c}_s{span}"))
-            sums.append(F.sum(F.when(value.isNotNull(), growth)).alias(f"{c}_w{span}"))
+            s, w = _sums(c, span, k)
+            sums += [F.expr(s).alias(f"{c}_s{span}"), F.expr(w).alias(f"{c}_w{span}")]
+            parts[span] = (f"{c}_s{span} / {c}_w{span}",
+                           f"{c}_w{span} / {_growth(span, f'{c}_k')}")
+        state = _state(f"block * {block_rows} + {c}_k", parts)
+        states.append(f"CASE WHEN {c}_k IS NOT NULL THEN {state} END AS {c}")
     totals = layout.with_block(df, block_rows).groupBy("station_id", "block").agg(*sums)
-
-    states = {}
-    for c in WINDOWED:
-        last = F.col(f"{c}_k")
-        parts = [(F.col("block") * block_rows + last).alias("last")]
-        for span in EWMA_SPANS:
-            s, w = F.col(f"{c}_s{span}"), F.col(f"{c}_w{span}")
-            parts += [(s / w).alias(f"mean_{span}"),
-                      (w / _growth(span, last)).alias(f"weight_{span}")]
-        states[c] = F.when(last.isNotNull(), F.struct(*parts)).alias(c)
-    own = totals.select("station_id", "block", *states.values())
-
-    before = (Window.partitionBy("station_id").orderBy("block")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    previous = {f"{c}_prev": F.last(c, ignorenulls=True).over(before) for c in WINDOWED}
-    joined = own.withColumns(previous).select(
-        "station_id", "block",
-        *[_combined(F.col(f"{c}_prev"), F.col(c)).alias(c) for c in WINDOWED])
-    return joined.select(
+    own = totals.selectExpr("station_id", "block", *states)
+
+    before = ("OVER (PARTITION BY station_id ORDER BY block "
+              "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
+    met = own.selectExpr(
+        "*", *[f"last({c}, true) {before} AS {c}_prev" for c in WINDOWED])
+    joined = met.selectExpr(
+        "station_id", "block", *[f"{_combined(f'{c}_prev', c)} AS {c}" for c in WINDOWED])
+    return joined.selectExpr(
         "station_id", "block",
-        *[F.last(c, ignorenulls=True).over(before).alias(f"{c}_carry")
-          for c in WINDOWED])
+        *[f"last({c}, true) {before} AS {c}_carry" for c in WINDOWED])
 
 
-def ewma_sums(f: Frames, block_rows: int) -> dict[str, Column]:
+def ewma_sums(f: Frames, block_rows: int) -> dict[str, str]:
     """Sums over a block's own values so far, to be met with its state."""
-    k = F.when(_own(), F.col("pos") - F.col("block") * block_rows)
+    k = f"CASE WHEN copy = block THEN pos - block * {block_rows} END"
     out = {}
     for c in WINDOWED:
         for span in EWMA_SPANS:
-            growth = _growth(span, k)
-            out[f"_{c}_s{span}"] = F.sum(F.col(c) * growth).over(f.so_far())
-            out[f"_{c}_w{span}"] = F.sum(
-                F.when(F.col(c).isNotNull(), growth)).over(f.so_far())
+            out[f"_{c}_s{span}"], out[f"_{c}_w{span}"] = _sums(c, span, k, f.so_far())
     return out
 
 
-def ewma_from(block_rows: int) -> dict[str, Column]:
+def ewma_from(block_rows: int) -> dict[str, str]:
     out = {}
-    start = F.col("block") * block_rows
     for c in WINDOWED:
-        state = F.col(f"{c}_carry")
+        state = f"{c}_carry"
         for span in EWMA_SPANS:
-            s, w = F.col(f"_{c}_s{span}"), F.col(f"_{c}_w{span}")
-            mean = state[f"mean_{span}"]
-            weight = state[f"weight_{span}"] * F.pow(
-                F.lit(decay(span)), start - state["last"])
+            s, w, mean = f"_{c}_s{span}", f"_{c}_w{span}", f"{state}.mean_{span}"
+            weight = (f"{state}.weight_{span} * "
+                      f"pow({decay(span)!r}D, block * {block_rows} - {state}.last)")
             out[f"{c}_ewma_{span}h"] = (
-                F.when(w.isNull(), mean)
-                .when(state.isNull(), s / w)
-                .otherwise((s + mean * weight) / (w + weight)))
+                f"CASE WHEN {w} IS NULL THEN {mean} WHEN {state} IS NULL THEN {s} / {w} "
+                f"ELSE ({s} + {mean} * {weight}) / ({w} + {weight}) END")
     return out
 
 
@@ -203,28 +195,26 @@ def with_window_features(df: DataFrame, groups: list[str], frame: str = "rows",
     by_hour = frame == "time"
     placed = layout.hour_positions(df) if by_hour else layout.positions(df)
     with_ewma = "ewma" in groups
-    columns = [c for c in df.columns]
+    columns = df.columns
 
-    back = max([HALO_BACK] if set(groups) - {"targets", "ewma"} else [0])
-    ahead = max([HALO_AHEAD] if "targets" in groups else [0])
+    back = HALO_BACK if set(groups) - {"targets", "ewma"} else 0
+    ahead = HALO_AHEAD if "targets" in groups else 0
     blocks = layout.blocks_with_halo(placed, block_rows, back, ahead)
-    frames = Frames(Window.partitionBy("station_id", "copy").orderBy("pos"), by_hour)
+    frames = Frames(by_hour=by_hour)
 
-    made: dict[str, Column] = {}
+    made: dict[str, str] = {}
     for name in groups:
         if name != "ewma":
             made |= GROUPS[name](frames)
-    hidden = ewma_sums(frames, block_rows) if with_ewma else {}
-    kept = [c for c in placed.columns if c not in columns and c != "pos"]
-    out = blocks.select(
-        *columns, *kept, "pos", "block", "copy",
-        *[v.alias(n) for n, v in {**made, **hidden}.items()]).filter(_own())
     names = list(made)
     if with_ewma:
-        states = block_states(
-            placed.select("station_id", "pos", *WINDOWED), block_rows)
-        out = out.join(states, ["station_id", "block"], "left")
-        ewma = ewma_from(block_rows)
-        out = out.withColumns(ewma)
-        names += list(ewma)
-    return out.select(*columns, *names)
+        made |= ewma_sums(frames, block_rows)
+    out = blocks.selectExpr(
+        *columns, "block", "copy", *[f"{e} AS {n}" for n, e in made.items()]
+    ).filter("copy = block")
+    if not with_ewma:
+        return out.select(*columns, *names)
+    states = block_states(placed.select("station_id", "pos", *WINDOWED), block_rows)
+    ewma = ewma_from(block_rows)
+    return out.join(states, ["station_id", "block"], "left").selectExpr(
+        *columns, *names, *[f"{e} AS {n}" for n, e in ewma.items()])

@@ -8,6 +8,7 @@ from pyspark.sql import Window
 
 from hazecast.fixed_values import CATEGORIES, DAY_NAMES, MONTH_NAMES, POLLUTANTS, WEATHER
 from hazecast.functions.aqi import category
+from hazecast.functions.cleaning import half_even
 from hazecast.operators.quantiles import exact_quantiles, melt
 
 CORE = [*POLLUTANTS, *WEATHER, "aqi"]
@@ -29,8 +30,8 @@ def missing(df: DataFrame, columns: list[str] = CORE) -> DataFrame:
                      *[F.count(c).alias(c) for c in columns])
     cells = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).alias("present"))
                       for c in columns])
-    share = F.round(F.try_divide((F.col("rows") - F.col("present")) * 100.0,
-                                 F.col("rows")), 2)
+    share = half_even(F.try_divide((F.col("rows") - F.col("present")) * 100.0,
+                                   F.col("rows")), 2)
     return (counted.select("rows", F.inline(cells))
             .select("variable", share.alias("missing_pct"),
                     (share > 5).alias("above_5_pct")))
@@ -48,7 +49,9 @@ def describe(df: DataFrame, columns: list[str] = CORE) -> DataFrame:
         F.broadcast(_moments(df, columns)), "variable")  # one row per named column
     return joined.select(
         "variable", F.col("n").alias("count"),
-        *[F.round(F.col(source), 2).alias(name) for source, name in (
+        # rounded to 9 decimals first: the last bits of an interpolated value
+        # must not decide which way a tie at 2 decimals goes
+        *[half_even(half_even(F.col(source), 9), 2).alias(name) for source, name in (
             ("mean", "mean"), ("std", "std"), ("min", "min"), ("q0", "p25"),
             ("q1", "p50"), ("q2", "p75"), ("max", "max"))])
 
@@ -81,14 +84,13 @@ def correlations(df: DataFrame, columns: list[str] = CORE) -> DataFrame:
     Null where a column is constant. One aggregation with a row per pair.
     """
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"),
-                 F.col(columns[i]).cast("double").alias("x"),
-                 F.col(columns[j]).cast("double").alias("y"))
-        for i, j in pairs])
+    cells = ", ".join(
+        f"{i}, {j}, CAST(`{columns[i]}` AS DOUBLE), CAST(`{columns[j]}` AS DOUBLE)"
+        for i, j in pairs)
+    sides = df.selectExpr(f"stack({len(pairs)}, {cells}) AS (i, j, x, y)")
     x_paired = F.when(F.col("y").isNotNull(), F.col("x"))
     y_paired = F.when(F.col("x").isNotNull(), F.col("y"))
-    one_side = df.select(F.inline(cells)).groupBy("i", "j").agg(F.try_divide(
+    one_side = sides.groupBy("i", "j").agg(F.try_divide(
         F.covar_pop("x", "y"),
         F.stddev_pop(x_paired) * F.stddev_pop(y_paired)).alias("r"))
     spread = F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
@@ -98,7 +100,7 @@ def correlations(df: DataFrame, columns: list[str] = CORE) -> DataFrame:
         F.when(F.col("i") == F.col("j"), F.slice(spread, 1, 1)).otherwise(spread)).alias("p"))
     return mirrored.select(named[F.col("p.a")].alias("variable"),
                            named[F.col("p.b")].alias("other"),
-                           F.round("r", 3).alias("r"))
+                           half_even(F.col("r"), 3).alias("r"))
 
 
 def top_correlations(df: DataFrame, target: str = "aqi", n: int = 10,

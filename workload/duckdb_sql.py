@@ -15,8 +15,13 @@ def num(x: float) -> str:
 
 
 def r6(expression: str, name: str) -> str:
-    """Rounded, and without a negative zero."""
-    return f"round({expression}, 6) + 0e0 AS {name}"
+    """Rounded like ``spark_queries.shown``, and without a negative zero."""
+    return (f"round_even(round_even(({expression}) * 1e9, 0) / 1e9 * 1e6, 0) / 1e6 + 0e0 "
+            f"AS {name}")
+
+
+def half_even(expression: str, scale: str) -> str:
+    return f"round_even(({expression}) * {scale}, 0) / {scale} + 0e0"
 
 
 def rounded(names) -> str:
@@ -232,10 +237,10 @@ FENCES = ("fences AS (SELECT variable, n, q3 - q1 AS iqr, q1 - 1.5e0 * (q3 - q1)
 def correlation_pairs(columns, table: str) -> str:
     return "pairs AS (" + " UNION ALL ".join(
         f"SELECT '{a}' AS variable, '{b}' AS other, "
-        f"round(CASE WHEN stddev_pop({a}) FILTER (WHERE {b} IS NOT NULL) > 0 "
+        f"round_even((CASE WHEN stddev_pop({a}) FILTER (WHERE {b} IS NOT NULL) > 0 "
         f"AND stddev_pop({b}) FILTER (WHERE {a} IS NOT NULL) > 0 "
         f"THEN covar_pop({a}, {b}) / (stddev_pop({a}) FILTER (WHERE {b} IS NOT NULL) "
-        f"* stddev_pop({b}) FILTER (WHERE {a} IS NOT NULL)) END, 3) + 0e0 AS r FROM {table}"
+        f"* stddev_pop({b}) FILTER (WHERE {a} IS NOT NULL)) END) * 1e3, 0) / 1e3 + 0e0 AS r FROM {table}"
         for a in columns for b in columns) + ")"
 
 
@@ -433,12 +438,12 @@ ORACLES = {
         "strftime(min(timestamp), '%Y-%m-%d') AS first_date, "
         "strftime(max(timestamp), '%Y-%m-%d') AS last_date FROM core"),
     "eda_missing": with_core(", m AS (" + " UNION ALL ".join(
-        f"SELECT '{c}' AS variable, round((count(*) - count({c})) * 100e0 / count(*), 2) + 0e0 "
+        f"SELECT '{c}' AS variable, {half_even(f'(count(*) - count({c})) * 100e0 / count(*)', '1e2')} "
         "AS missing_pct FROM core" for c in CORE)
         + ") SELECT variable, missing_pct, missing_pct > 5 AS above_5_pct FROM m"),
     "eda_describe": with_core(
         f", {LONG}, {QUARTILES} SELECT variable, n AS count, " + ", ".join(
-            f"round({a}, 2) + 0e0 AS {b}" for a, b in (
+            f"{half_even(half_even(a, '1e9'), '1e2')} AS {b}" for a, b in (
                 ("mean", "mean"), ("std", "std"), ("low", "min"), ("q1", "p25"), ("q2", "p50"),
                 ("q3", "p75"), ("high", "max"))) + " FROM quartiles"),
     "eda_histogram": with_core(

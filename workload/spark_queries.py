@@ -1,6 +1,6 @@
 """One Spark query per operator, over sensor tables read from ``events``."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazecast.fixed_values import (
@@ -37,16 +37,20 @@ def core(spark: SparkSession, folder: str) -> DataFrame:
     return aqi.with_aqi(obs(spark, folder))
 
 
-def shown(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded, timestamps without a zone: equal in every engine."""
-    def cell(field) -> Column:
-        kind = field.dataType.typeName()
+def shown(df: DataFrame) -> DataFrame:
+    """Doubles rounded, timestamps without a zone: equal in every engine.
+
+    Means of short decimals often tie at the sixth place, where the last bits
+    would decide; rounding to nine places first takes those bits away.
+    """
+    def cell(field) -> str:
+        name, kind = f"`{field.name}`", field.dataType.typeName()
         if kind == "double":
-            return F.round(field.name, digits).alias(field.name)
+            return f"rint(rint({name} * 1e9D) / 1e9D * 1e6D) / 1e6D + 0D AS {name}"
         if kind == "timestamp":
-            return F.col(field.name).cast("timestamp_ntz").alias(field.name)
-        return F.col(field.name)
-    return df.select(*[cell(f) for f in df.schema.fields])
+            return f"CAST({name} AS TIMESTAMP_NTZ) AS {name}"
+        return name
+    return df.selectExpr(*[cell(f) for f in df.schema.fields])
 
 
 def on(table, operator):
