@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,13 +65,18 @@ def ridge(train: DataFrame, alpha: float = 1.0):
     """Ridge with penalty ``alpha`` on the coefficients, as summed squares.
 
     Spark's solver scales the label by its deviation and averages the squares,
-    so its parameter is alpha * stddev_pop(label) / n.
+    so its parameter is alpha * stddev_pop(label) / n. Constant features, whose
+    coefficient is 0, are left out: they would make the equations singular.
     """
     row = train.agg(F.stddev_pop("label").alias("sd"), F.count("*").alias("n")).first()
     if not row.n or not row.sd:
         raise ValueError("ridge needs labels that vary")
-    return LinearRegression(solver="normal", standardization=False, elasticNetParam=0.0,
-                            regParam=alpha * row.sd / row.n)
+    varying = VarianceThresholdSelector(
+        featuresCol="features", outputCol="varying", varianceThreshold=0.0)
+    solver = LinearRegression(
+        featuresCol="varying", solver="normal", standardization=False, elasticNetParam=0.0,
+        regParam=alpha * row.sd / row.n)
+    return Pipeline(stages=[varying, solver])
 
 
 CANDIDATES: dict[str, Callable] = {
@@ -122,10 +127,14 @@ class Trained:
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
     """(feature, importance), largest first: of the trees or |coefficient|."""
     names, fitted = model.stages[0].getInputCols(), model.stages[-1]
-    weights = (fitted.featureImportances if hasattr(fitted, "featureImportances")
-               else fitted.coefficients)
-    pairs = zip(names, (abs(float(w)) for w in weights.toArray()))
-    return sorted(pairs, key=lambda p: -p[1])
+    if isinstance(fitted, PipelineModel):
+        selector, linear = fitted.stages
+        weights = dict.fromkeys(names, 0.0)
+        for i, w in zip(selector.selectedFeatures, linear.coefficients.toArray()):
+            weights[names[i]] = abs(float(w))
+    else:
+        weights = dict(zip(names, map(float, fitted.featureImportances.toArray())))
+    return sorted(weights.items(), key=lambda p: -p[1])
 
 
 def top_features(importance: DataFrame, n: int = 10) -> DataFrame:

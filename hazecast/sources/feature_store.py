@@ -35,24 +35,22 @@ def merged(existing: DataFrame, batch: DataFrame, keep_known: bool = False) -> D
     null leaves the stored value alone.
     """
     values = [c for c in batch.columns if c not in KEY]
-    columns = [*KEY, *values, *[c for c in existing.columns if c not in batch.columns]]
-    old = existing.select(*KEY, F.struct(*[
-        F.col(c) for c in existing.columns if c not in KEY]).alias("o"))
-    new = batch.select(*KEY, F.struct(*[F.col(c) for c in values]).alias("n"))
-    both = old.join(new, KEY, "full_outer")
-
-    def field(name: str):
-        stored = F.col("o")[name] if name in existing.columns else None
-        if name not in values:
-            return stored
-        fresh = F.col("n")[name]
-        if stored is None:
-            return fresh
+    stored = [c for c in existing.columns if c not in KEY]
+    # a struct per side tells "no row" from "a row of nulls" after the join
+    old = existing.select(*KEY, F.struct(*stored).alias("o"))
+    new = batch.select(*KEY, F.struct(*values).alias("n"))
+
+    def field(c: str) -> str:
+        if c not in values:
+            return f"o.`{c}` AS `{c}`"
+        if c not in stored:
+            return f"n.`{c}` AS `{c}`"
         if keep_known:
-            return F.coalesce(fresh, stored)
-        return F.when(F.col("n").isNotNull(), fresh).otherwise(stored)
+            return f"coalesce(n.`{c}`, o.`{c}`) AS `{c}`"
+        return f"CASE WHEN n IS NOT NULL THEN n.`{c}` ELSE o.`{c}` END AS `{c}`"
 
-    return both.select(*KEY, *[field(c).alias(c) for c in columns if c not in KEY])
+    columns = values + [c for c in stored if c not in values]
+    return old.join(new, KEY, "full_outer").selectExpr(*KEY, *[field(c) for c in columns])
 
 
 def newest(existing: DataFrame, batch: DataFrame, order: str) -> DataFrame:

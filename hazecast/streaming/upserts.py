@@ -1,7 +1,9 @@
 """Streams into the stores: corrections replace, replays change nothing."""
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from hazecast.fixed_values import WINDOWED
 from hazecast.functions import aqi
@@ -53,41 +55,32 @@ def with_time(df: DataFrame) -> DataFrame:
     return df.withColumn("timestamp", F.timestamp_millis("timestamp"))
 
 
-def _last_known(column: str, upto: Column) -> Column:
-    """Position of the column's last value at or before ``upto``."""
-    known = F.col(column).isNotNull() & (F.col("pos") <= upto)
-    return F.max(F.when(known, F.col("pos")))
+def affected_slice(raw: DataFrame, changed: DataFrame, block_rows: int) -> DataFrame:
+    """Raw rows that give, again, every feature row new readings change.
 
-
-def affected_features(raw: DataFrame, changed: DataFrame,
-                      block_rows: int = layout.BLOCK_ROWS) -> DataFrame:
-    """Feature rows that new readings change, as a whole build would give them.
-
-    ``raw`` is the whole raw table, ``changed`` has each changed station's
-    earliest new time as ``since``. A row's targets look 72 rows ahead, so rows
-    from 72 before the first change on are made again, to the series' end: an
-    exponentially weighted mean carries a change on. They are built from a
-    slice of the series that holds their frames and, per column, enough rows
-    before the last value known at its start.
+    ``raw`` is the raw table, ``changed`` has each changed station's earliest
+    new time as ``since``. A row's targets look 72 rows ahead, so rows from 72
+    before the first change on are made again (``remake``), to the series' end:
+    an exponentially weighted mean carries a change on. The slice starts early
+    enough for their frames and, per column, holds ``EWMA_CONTEXT`` rows before
+    a value known ahead of them.
     """
-    series = raw.join(changed, "station_id")
-    placed = layout.positions(aqi.with_aqi(series))
-    keys = placed.select("station_id", "timestamp", "since", "pos", *WINDOWED)
-    first = F.min(F.when(F.col("timestamp") >= F.col("since"), F.col("pos")))
-    starts = keys.groupBy("station_id").agg(
-        F.greatest(first - F.lit(HALO_AHEAD), F.lit(0)).alias("start"))
-    reach = keys.join(starts, "station_id").groupBy("station_id", "start").agg(
-        *[_last_known(c, F.col("start")).alias(f"{c}_known") for c in WINDOWED],
-        F.min(F.when(F.col("pos") >= F.col("start"), F.col("timestamp"))).alias("write_from"))
+    placed = layout.with_block(
+        layout.positions(aqi.with_aqi(raw.join(changed, "station_id"))), block_rows)
+    # one row per block: few per station, whatever the series' length
+    per_block = placed.groupBy("station_id", "block").agg(
+        F.min(F.when(F.col("timestamp") >= F.col("since"), F.col("pos"))).alias("changed"),
+        *[F.max(F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in WINDOWED])
+    first = F.min("changed").over(Window.partitionBy("station_id"))
+    starts = per_block.withColumn("start", F.greatest(first - F.lit(HALO_AHEAD), F.lit(0)))
+    ahead = (F.col("block") + 1) * block_rows <= F.col("start")
+    bounds = starts.groupBy("station_id", "start").agg(
+        *[F.max(F.when(ahead, F.col(c))).alias(f"{c}_known") for c in WINDOWED])
     oldest = F.least("start", *[f"{c}_known" for c in WINDOWED])
-    bounds = reach.select("station_id", "write_from",
-                          (oldest - F.lit(EWMA_CONTEXT + HALO_BACK)).alias("read_from"))
-    columns = [c for c in raw.columns]
-    part = (placed.join(bounds, "station_id").filter(F.col("pos") >= F.col("read_from"))
-            .select(*columns, "write_from"))
-    made = build_features(part, epoch=False, block_rows=block_rows)
-    wanted = made.filter(F.col("timestamp") >= F.col("write_from")).drop("write_from")
-    return wanted.withColumn("timestamp", F.unix_millis("timestamp"))
+    read_from = bounds.select(
+        "station_id", "start", (oldest - F.lit(EWMA_CONTEXT + HALO_BACK)).alias("read_from"))
+    return (placed.join(read_from, "station_id").filter(F.col("pos") >= F.col("read_from"))
+            .select(*raw.columns, (F.col("pos") >= F.col("start")).alias("remake")))
 
 
 def update_features(batch: DataFrame, raw_path: str, store_path: str,
@@ -97,15 +90,19 @@ def update_features(batch: DataFrame, raw_path: str, store_path: str,
 
     ``lookback_days`` bounds how far back raw days are read. Set it where no
     column is ever missing for longer; without it the changed stations' whole
-    series are read, key and windowed columns to place them, the rest for the
-    slice.
+    series are read to place their rows.
     """
     spark = batch.sparkSession
     raw_store = FeatureStore(spark, raw_path)
     upsert_raw(batch, raw_store)
     raw = with_time(raw_store.read_days(lookback_days, batch)).drop("ingest_seq")
     changed = batch.groupBy("station_id").agg(F.min("timestamp").alias("since"))
-    FeatureStore(spark, store_path).upsert(affected_features(raw, changed, block_rows))
+    part = affected_slice(raw, changed, block_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        made = build_features(part, block_rows=block_rows)
+        FeatureStore(spark, store_path).upsert(made.filter("remake").drop("remake"))
+    finally:
+        part.unpersist()
 
 
 def run_features(spark: SparkSession, path: str, raw_path: str, store_path: str,

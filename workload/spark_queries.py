@@ -415,11 +415,11 @@ def stream_upsert(spark, folder):
 
 
 def stream_features(spark, folder):
-    """Observations arrive in three drops; features equal one whole build."""
+    """Observations arrive in two drops; features equal one whole build."""
     root = work_folder(spark, "stream-features")
     day = F.dayofmonth("timestamp")
     table = obs(spark, folder)
-    for low, high in ((1, 12), (13, 21), (22, 31)):
+    for low, high in ((1, 17), (18, 31)):
         table.filter(day.between(low, high)).withColumn("ingest_seq", F.lit(low).cast("bigint")) \
             .write.mode("append").parquet(f"{root}/in")
         made = stream_upserts.run_features(
