@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 ACCURACY = 100_000
+MOMENTS = ["n", "mean", "std", "low", "high"]
 
 
 def melt(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -24,13 +25,15 @@ def melt(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _brackets(long: DataFrame, probabilities: list[float], accuracy: int) -> DataFrame:
-    """One row per variable: n, min, max and a (lo, hi) pair per probability."""
+    """One row per variable: its moments and a (lo, hi) pair per probability."""
     slack = 2.0 / accuracy
     edges = []
     for p in probabilities:
         edges += [max(0.0, p - slack), min(1.0, p + slack)]
     stats = long.groupBy("variable").agg(
-        F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"),
+        F.count("*").alias("n"), F.avg("value").alias("mean"),
+        F.stddev_samp("value").alias("std"),
+        F.min("value").alias("low"), F.max("value").alias("high"),
         F.percentile_approx("value", edges, accuracy).alias("edges"))
     # below `accuracy` values there are few enough to keep them all, and the
     # slack would be less than one rank
@@ -39,7 +42,7 @@ def _brackets(long: DataFrame, probabilities: list[float], accuracy: int) -> Dat
     for i in range(len(probabilities)):
         pairs += [F.when(few, F.col("low")).otherwise(F.col("edges")[2 * i]).alias(f"lo{i}"),
                   F.when(few, F.col("high")).otherwise(F.col("edges")[2 * i + 1]).alias(f"hi{i}")]
-    return stats.select("variable", "n", *pairs)
+    return stats.select("variable", *MOMENTS, *pairs)
 
 
 def _slot(count: int) -> Column:
@@ -54,9 +57,9 @@ def _slot(count: int) -> Column:
 
 def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float],
                     accuracy: int = ACCURACY) -> DataFrame:
-    """(variable, n, q0, q1, ...): one row per column that has a value.
+    """(variable, n, mean, std, low, high, q0, q1, ...): one row per column.
 
-    ``probabilities`` ascend. Stops with an error, never with a wrong value,
+    Columns without a value are left out. ``probabilities`` ascend. Stops with an error, never with a wrong value,
     should a bracket miss its rank.
     """
     long = melt(df, columns)
@@ -65,9 +68,9 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     slot = _slot(count)
     # `bounds` has one row per named column, so it is broadcast
     cells = (long.join(F.broadcast(bounds), "variable")
-             .select("variable", "n", slot.alias("slot"),
+             .select("variable", *MOMENTS, slot.alias("slot"),
                      F.when(slot % 2 == 1, F.col("value")).alias("value"))
-             .groupBy("variable", "n", "slot", "value")
+             .groupBy("variable", *MOMENTS, "slot", "value")
              .agg(F.count("*").alias("cells")))
     order = Window.partitionBy("variable").orderBy("slot", "value")
     upto = F.sum("cells").over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -80,7 +83,7 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
     for i, p in enumerate(probabilities):
         place = (F.col("n") - 1) * F.lit(float(p))
         wanted += [at(F.floor(place)).alias(f"below{i}"), at(F.ceil(place)).alias(f"above{i}")]
-    found = ranked.groupBy("variable", "n").agg(*wanted)
+    found = ranked.groupBy("variable", *MOMENTS).agg(*wanted)
 
     def between(i: int, p: float) -> Column:
         place = (F.col("n") - 1) * F.lit(float(p))
@@ -92,4 +95,4 @@ def exact_quantiles(df: DataFrame, columns: list[str], probabilities: list[float
             upper - (upper - lower) * (F.lit(1.0) - part))
         return F.when(lower.isNull() | upper.isNull(), missed).otherwise(near).alias(f"q{i}")
 
-    return found.select("variable", "n", *[between(i, p) for i, p in enumerate(probabilities)])
+    return found.select("variable", *MOMENTS, *[between(i, p) for i, p in enumerate(probabilities)])

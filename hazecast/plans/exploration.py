@@ -37,23 +37,15 @@ def missing(df: DataFrame, columns: list[str] = CORE) -> DataFrame:
                     (share > 5).alias("above_5_pct")))
 
 
-def _moments(df: DataFrame, columns: list[str]) -> DataFrame:
-    return melt(df, columns).groupBy("variable").agg(
-        F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-
-
 def describe(df: DataFrame, columns: list[str] = CORE) -> DataFrame:
     """count, mean, std, min, quartiles and max per column, 2 decimals."""
-    joined = exact_quantiles(df, columns, QUARTILES).join(
-        F.broadcast(_moments(df, columns)), "variable")  # one row per named column
-    return joined.select(
+    return exact_quantiles(df, columns, QUARTILES).select(
         "variable", F.col("n").alias("count"),
         # rounded to 9 decimals first: the last bits of an interpolated value
         # must not decide which way a tie at 2 decimals goes
         *[half_even(half_even(F.col(source), 9), 2).alias(name) for source, name in (
-            ("mean", "mean"), ("std", "std"), ("min", "min"), ("q0", "p25"),
-            ("q1", "p50"), ("q2", "p75"), ("max", "max"))])
+            ("mean", "mean"), ("std", "std"), ("low", "min"), ("q0", "p25"),
+            ("q1", "p50"), ("q2", "p75"), ("high", "max"))])
 
 
 def histogram(df: DataFrame, columns: list[str] = CORE, bins: int = 50) -> DataFrame:
@@ -208,10 +200,10 @@ def seasonal_dow(df: DataFrame) -> DataFrame:
 
 
 def box_statistics(df: DataFrame, columns: list[str] = POLLUTANTS) -> DataFrame:
-    joined = exact_quantiles(df, columns, QUARTILES).join(
-        F.broadcast(_moments(df, columns)), "variable")  # one row per named column
-    return joined.select("variable", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
-                         F.col("q2").alias("q3"), "mean", "std", "min", "max")
+    return exact_quantiles(df, columns, QUARTILES).select(
+        "variable", "n", F.col("q0").alias("q1"), F.col("q1").alias("median"),
+        F.col("q2").alias("q3"), "mean", "std", F.col("low").alias("min"),
+        F.col("high").alias("max"))
 
 
 def fences(df: DataFrame, columns: list[str] = CORE) -> DataFrame:

@@ -210,15 +210,21 @@ def plain(columns: dict[str, str]) -> str:
     return ", ".join(f"{e} AS {c}" for c, e in columns.items())
 
 
-def feature_sql(by_hour: bool = False) -> str:
+def feature_sql(by_hour: bool = False, last_days: int | None = None) -> str:
     groups = {}
     for g in ("rolling_mean", "rolling_std", "rolling_minmax", "lags", "change_rate", "targets"):
         groups |= window_columns(g, by_hour)
-    return with_core(
+    body = (
         f", {ewma_table(by_hour)} SELECT station_id, epoch_ms(timestamp) AS timestamp, "
         f"{rounded(CORE)}, {plain(TIME)}, {named(CYCLIC)}, {SEGMENT} AS day_segment, "
         f"{named(CALENDAR)}, {named(groups)}, {rounded(EWMA_NAMES)}, {named(PRODUCTS)} "
         "FROM core JOIN ewma USING (station_id, timestamp)")
+    if last_days is None:
+        return with_core(body)
+    since = "timestamp >= (SELECT max(timestamp) FROM {0}) - INTERVAL {1} DAY"
+    return (f"WITH {AIR}, {WX}, {OBS}, {SUBS}, {CORE_TABLE.replace('core AS', 'whole AS')}, "
+            f"core AS (SELECT * FROM whole WHERE {since.format('air', last_days)} "
+            f"AND {since.format('wx', last_days)}){body}")
 
 
 # --- Exploration --------------------------------------------------------------------
@@ -553,4 +559,6 @@ ORACLES = {
         f"{rounded(POLLUTANTS)}, ingest_seq FROM copies QUALIFY row_number() OVER "
         "(PARTITION BY station_id, timestamp ORDER BY ingest_seq DESC) = 1",
     "stream_features": feature_sql(),
+    "backfill_features": feature_sql(),
+    "hourly_features": feature_sql(last_days=5),
 }

@@ -7,7 +7,7 @@ from hazecast.fixed_values import (
     AIR_QUALITY_FIELDS, HORIZONS, POLLUTANTS, TARGETS, WEATHER, WEATHER_FIELDS, WINDOWED)
 from hazecast.functions import aqi, calendar, cleaning
 from hazecast.operators import matching, windows
-from hazecast.plans import exploration, features, forecasting, sensor_tables, training
+from hazecast.plans import exploration, features, forecasting, jobs, sensor_tables, training
 from hazecast.session import work_folder
 from hazecast.sources import feature_csv, feature_store, history, payloads
 from hazecast.streaming import joins as stream_joins
@@ -237,6 +237,28 @@ def feature_build_time(spark, folder):
     return shown(features.build_features(obs(spark, folder), frame="time", block_rows=BLOCK_ROWS))
 
 
+def backfill_features(spark, folder):
+    """Payload files of two chunks through to the feature store."""
+    root = work_folder(spark, "backfill")
+    folders = []
+    for chunk, half in enumerate(("day(timestamp) <= 15", "day(timestamp) > 15")):
+        folders.append((f"{root}/air-{chunk}", f"{root}/weather-{chunk}"))
+        payloads.write_payloads(air(spark, folder).filter(half), AIR_QUALITY_FIELDS, folders[-1][0])
+        payloads.write_payloads(wx(spark, folder).filter(half), WEATHER_FIELDS, folders[-1][1])
+    jobs.backfill(spark, folders, f"{root}/raw", f"{root}/store", block_rows=BLOCK_ROWS)
+    store = feature_store.FeatureStore(spark, f"{root}/store")
+    return shown(store.training_scan().select(*features.column_order()))
+
+
+def hourly_features(spark, folder):
+    """The last five days on their own, as an hourly run without context."""
+    root = work_folder(spark, "hourly")
+    jobs.hourly(air(spark, folder), wx(spark, folder), f"{root}/raw", f"{root}/store",
+                sequence=1, with_context=False, block_rows=BLOCK_ROWS)
+    store = feature_store.FeatureStore(spark, f"{root}/store")
+    return shown(store.read().select(*features.column_order()))
+
+
 # --- Training and forecasting ---------------------------------------------------------
 
 def feature_table(spark, folder) -> DataFrame:
@@ -475,6 +497,8 @@ QUERIES = {
     "target_coverage": target_coverage,
     "feature_build": feature_build,
     "feature_build_time": feature_build_time,
+    "backfill_features": backfill_features,
+    "hourly_features": hourly_features,
     "eda_overview": on(core, exploration.overview),
     "eda_missing": on(core, exploration.missing),
     "eda_describe": on(core, exploration.describe),
