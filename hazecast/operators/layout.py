@@ -53,9 +53,13 @@ def hour_positions(df: DataFrame) -> DataFrame:
     return df.withColumn("pos", epoch_hours(F.col("timestamp")))
 
 
-def with_block(df: DataFrame, block_rows: int) -> DataFrame:
+def check_block(block_rows: int) -> None:
     if not 512 <= block_rows <= MAX_BLOCK_ROWS:
         raise ValueError(f"block_rows must lie in 512..{MAX_BLOCK_ROWS}")
+
+
+def with_block(df: DataFrame, block_rows: int) -> DataFrame:
+    check_block(block_rows)
     block = F.floor(F.col("pos") / F.lit(block_rows)).cast("bigint")
     return df.withColumn("block", block)
 
@@ -64,11 +68,14 @@ def blocks_with_halo(df: DataFrame, block_rows: int,
                      back: int, ahead: int) -> DataFrame:
     """Copy each row to every block whose frames reach it.
 
-    ``block`` is the row's own block, ``copy`` the block it is copied to; a
-    block's frames see ``back`` rows before and ``ahead`` rows after it.
+    ``block`` is the block a copy goes to, ``own`` tells the row's own block
+    from the others; a block's frames see ``back`` rows before and ``ahead``
+    rows after it.
     """
+    def block(pos: Column) -> Column:
+        return F.floor(pos / F.lit(block_rows)).cast("bigint")
+
+    check_block(block_rows)
     pos = F.col("pos")
-    first = F.floor((pos - F.lit(ahead)) / F.lit(block_rows)).cast("bigint")
-    last = F.floor((pos + F.lit(back)) / F.lit(block_rows)).cast("bigint")
-    return (with_block(df, block_rows)
-            .withColumn("copy", F.explode(F.sequence(first, last))))
+    return (df.withColumn("block", F.explode(F.sequence(block(pos - ahead), block(pos + back))))
+            .withColumn("own", F.col("block") == block(pos)))

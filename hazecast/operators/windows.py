@@ -22,7 +22,7 @@ HALO_AHEAD = 72
 class Frames:
     """What "n before" means: rows of the series, or hours on the clock."""
 
-    series: str = "PARTITION BY station_id, copy ORDER BY pos"
+    series: str = "PARTITION BY station_id, block ORDER BY pos"
     by_hour: bool = False
 
     def trailing(self, n: int) -> str:
@@ -151,7 +151,7 @@ def block_states(df: DataFrame, block_rows: int) -> DataFrame:
 
 def ewma_sums(f: Frames, block_rows: int) -> dict[str, str]:
     """Sums over a block's own values so far, to be met with its state."""
-    k = f"CASE WHEN copy = block THEN pos - block * {block_rows} END"
+    k = f"CASE WHEN own THEN pos - block * {block_rows} END"
     out = {}
     for c in WINDOWED:
         for span in EWMA_SPANS:
@@ -210,10 +210,11 @@ def with_window_features(df: DataFrame, groups: list[str], frame: str = "rows",
     if with_ewma:
         made |= ewma_sums(frames, block_rows)
     out = blocks.selectExpr(
-        *columns, "block", "copy", *[f"{e} AS {n}" for n, e in made.items()]
-    ).filter("copy = block")
+        *columns, "block", "own", *[f"{e} AS {n}" for n, e in made.items()]
+    ).filter("own")
     if not with_ewma:
         return out.select(*columns, *names)
+    # joined on what the windows are partitioned by: the wide rows stay put
     states = block_states(placed.select("station_id", "pos", *WINDOWED), block_rows)
     ewma = ewma_from(block_rows)
     return out.join(states, ["station_id", "block"], "left").selectExpr(

@@ -100,6 +100,22 @@ def test_plan_of_the_windows(spark, long_series):
         assert text not in whole.replace("from: Python", "")
 
 
+def test_shuffles_of_the_whole_build(spark, long_series):
+    """The wide rows are shuffled twice; everything else shuffled is narrow."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(build_features(to_spark(spark, long_series)))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    exchanges = [line for line in plan.splitlines() if "Exchange " in line]
+    # rows by cut and by block; cut sizes by cut, station, cut (twice); pruned
+    # rows by cut; block states by block, station, block
+    assert len(exchanges) <= 12
+    join = next(i for i, line in enumerate(plan.splitlines()) if "Join" in line)
+    left = plan.splitlines()[join + 1:join + 5]
+    assert any("Window" in line for line in left) and not any("Exchange" in line for line in left)
+
+
 def test_limits(spark, long_series):
     base = with_aqi(to_spark(spark, long_series))
     with pytest.raises(ValueError):
