@@ -79,23 +79,37 @@ def key_uniqueness(df: DataFrame) -> DataFrame:
         F.coalesce(F.max("copies") == 1, F.lit(True)).alias("is_unique"))
 
 
+# what Spark says of a folder that is not there or holds no file yet
+ABSENT = {"PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"}
+
+
 class FeatureStore:
-    """A feature table in one folder."""
+    """A feature table in one folder.
 
-    def __init__(self, spark: SparkSession, path: str):
+    With ``merge_schema`` days written before a column existed and days that
+    have it are read as one table; it costs a look into every file's footer.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, merge_schema: bool = False):
         self.spark = spark
         self.path = path
+        self.merge_schema = merge_schema
+
+    def _table(self) -> DataFrame:
+        return self.spark.read.option("mergeSchema", self.merge_schema).parquet(self.path)
 
     def exists(self) -> bool:
         try:
-            self.spark.read.parquet(self.path)
+            self._table()
             return True
-        except AnalysisException:
-            return False
+        except AnalysisException as reason:
+            if reason.getCondition() in ABSENT:
+                return False
+            raise
 
     def read(self) -> DataFrame:
         """Every row, ``timestamp`` in epoch milliseconds, in no set order."""
-        return self.spark.read.parquet(self.path).drop("date")
+        return self._table().drop("date")
 
     def training_scan(self) -> DataFrame:
         """Every row, for training; stops when there is none."""
@@ -113,7 +127,7 @@ class FeatureStore:
 
     def read_days(self, lookback_days: int | None, batch: DataFrame) -> DataFrame:
         """Rows from ``lookback_days`` before the batch's first day on, or all."""
-        stored = self.spark.read.parquet(self.path)
+        stored = self._table()
         if lookback_days is not None:
             first = batch.agg(F.date_sub(F.to_date(F.min("timestamp")), lookback_days)).first()[0]
             stored = stored.filter(F.col("date") >= F.lit(first))
@@ -134,8 +148,7 @@ class FeatureStore:
             # the list is short; as literals the days prune the other folders
             day = F.to_date(F.timestamp_millis("timestamp"))
             days = [r.day for r in batch.select(day.alias("day")).distinct().collect()]
-            existing = (self.spark.read.parquet(self.path)
-                        .filter(F.col("date").isin(days)).drop("date"))
+            existing = self._table().filter(F.col("date").isin(days)).drop("date")
             rows = (newest(existing, batch, order) if order
                     else merged(existing, batch, keep_known))
             self._write(rows, "overwrite")

@@ -1,6 +1,7 @@
 """Range reads, recent reads and backfill by chunks."""
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -66,13 +67,20 @@ def chunk_ranges(spans: DataFrame, chunk_days: int = BACKFILL_CHUNK_DAYS,
         .alias("chunk_end"))
 
 
-def combine_chunks(chunks: list[DataFrame]) -> DataFrame:
-    """Joined chunks in order; of a repeated hour the earliest chunk's row stays."""
-    tagged = None
-    for number, chunk in enumerate(chunks):
-        part = chunk.withColumn("ingest_seq", F.lit(number).cast("bigint"))
-        tagged = part if tagged is None else tagged.unionByName(part, allowMissingColumns=True)
-    return keep_first(tagged).drop("ingest_seq")
+def _all_chunks(chunks: list[DataFrame]) -> DataFrame:
+    tagged = [chunk.withColumn("ingest_seq", F.lit(number).cast("bigint"))
+              for number, chunk in enumerate(chunks)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+
+
+def join_chunks(air: list[DataFrame], weather: list[DataFrame]) -> DataFrame:
+    """Chunks joined each on its own; of a repeated hour the earliest row stays.
+
+    The chunks are put together before the join, which then shuffles once for
+    all of them: a row only meets rows of its own chunk.
+    """
+    joined = join_observations(_all_chunks(air), _all_chunks(weather), [*KEY, "ingest_seq"])
+    return keep_first(joined).drop("ingest_seq")
 
 
 def backfill(spark: SparkSession, folders: list[tuple[str, str]],
@@ -81,16 +89,18 @@ def backfill(spark: SparkSession, folders: list[tuple[str, str]],
 
     Returns the combined table and the skipped folders with their reasons.
     """
-    loaded, skipped = [], []
+    air, weather, skipped = [], [], []
     for air_path, weather_path in folders:
         try:
-            loaded.append(join_observations(read_air(spark, air_path),
-                                            read_weather(spark, weather_path), KEY))
+            pair = read_air(spark, air_path), read_weather(spark, weather_path)
         except (AnalysisException, ValueError) as reason:
             skipped.append((air_path, str(reason).splitlines()[0]))
-    if not loaded:
+            continue
+        air.append(pair[0])
+        weather.append(pair[1])
+    if not air:
         raise RuntimeError("no chunk could be read")
-    return combine_chunks(loaded), skipped
+    return join_chunks(air, weather), skipped
 
 
 def first_available(readers: list[Callable[[], DataFrame]]) -> DataFrame:

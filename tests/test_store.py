@@ -64,6 +64,27 @@ def test_columns_may_differ(spark):
     assert got == {0: (1.0, 2.0), 1: (None, 3.0)}
 
 
+def test_a_column_may_come_later(spark, tmp_path):
+    store = fs.FeatureStore(spark, f"{tmp_path}/store", merge_schema=True)
+    store.upsert(batch(spark, [(0, T0, 1.0, 1.0), (0, T0 + 48 * HOUR, 2.0, 2.0)]))
+    store.upsert(batch(spark, [(0, T0 + 48 * HOUR, 3.0, 3.0, 7.0)], ", no2 double"))
+    assert {r.timestamp: (r.pm2_5, r.no2) for r in store.read().collect()} == {
+        T0: (1.0, None), T0 + 48 * HOUR: (3.0, 7.0)}
+
+
+def test_copies_collapse_before_the_shuffle(spark):
+    """One key holds most rows: partial aggregates, no window over the copies."""
+    from hazecast.operators.matching import keep_last
+    df = spark.range(0, 20_000, 1, 8).selectExpr(
+        "0 AS station_id", "if(id % 3 < 2, 0, id) AS timestamp", "id AS ingest_seq", "id * 2 AS x")
+    got = keep_last(df)
+    assert got.filter("timestamp = 0").first().ingest_seq == 19_999 - (19_999 % 3 == 2)
+    assert got.count() == df.select("timestamp").distinct().count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan and "Window" not in plan
+    assert plan.index("Exchange") < plan.index("partial_max_by")
+
+
 def test_an_empty_store_cannot_train(spark, store):
     store.upsert(batch(spark, [(0, T0, 1.0, 2.0)]).filter("station_id > 5"))
     with pytest.raises(Exception):
