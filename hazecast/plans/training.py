@@ -58,7 +58,7 @@ def boosted_trees(train: DataFrame, rounds: int = 500, depth: int = 8):
 def random_forest(train: DataFrame, trees: int = 200, depth: int = 15):
     return RandomForestRegressor(
         numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
-        featureSubsetStrategy="all", maxMemoryInMB=1024, checkpointInterval=10, seed=42)
+        featureSubsetStrategy="all", checkpointInterval=10, seed=42)
 
 
 def ridge(train: DataFrame, alpha: float = 1.0):
