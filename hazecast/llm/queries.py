@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazecast.llm import licenses, mixing, packing, url_rules
-from hazecast.llm.common import table
+from hazecast.llm import languages, licenses, mixing, packing, simhash, toxicity, url_rules
+from hazecast.llm.common import bucket_of, table
 
 #: Rules (host, path, verdict) of the url query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -23,14 +23,36 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = bucket_of("doc_id", 3) == 1
+    model = toxicity.trained(docs.filter(~held_out), labels.filter(~held_out))
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, url_rules.RULES)
     return url_rules.judged(table(spark, folder, "pages"), rules)
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op7_mixing, op9_url_rules)}
+def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    held_out = bucket_of("doc_id", 4) == 2
+    model = languages.trained(docs.filter(~held_out))
+    return languages.predicted(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_license_scan, op2_packing, op4_simhash, op7_mixing, op8_toxicity, op9_url_rules, op10_languages)}
