@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazecast.llm import languages, licenses, mixing, packing, repeats, simhash, toxicity, url_rules
+from hazecast.llm import languages, licenses, mixing, neighbours, packing, repeats, simhash, toxicity, url_rules
 from hazecast.llm.common import bucket_of, table
 
 #: Rules (host, path, verdict) of the url query.
@@ -27,6 +27,10 @@ def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 def op6_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.removals(table(spark, folder, "documents")).select(
         "doc_id", "n_bytes",
@@ -62,4 +66,4 @@ def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_packing, op4_simhash, op6_repeats, op7_mixing, op8_toxicity, op9_url_rules, op10_languages)}
+    op1_license_scan, op2_packing, op4_simhash, op5_neighbours, op6_repeats, op7_mixing, op8_toxicity, op9_url_rules, op10_languages)}
