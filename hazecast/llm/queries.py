@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazecast.llm import languages, licenses, mixing, neighbours, packing, repeats, simhash, toxicity, url_rules
-from hazecast.llm.common import bucket_of, table
+from hazecast.llm import languages, licenses, mixing, neighbours, packing, ranking, repeats, simhash, toxicity, url_rules
+from hazecast.llm.common import bucket_of, stored, table
 
 #: Rules (host, path, verdict) of the url query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -23,6 +23,13 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
                          "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op3_bm25(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    index = stored(ranking.build_index(docs), "index")
+    return ranking.search(index, docs.filter(F.col("doc_id") % 100 == 0)).select(
+        "query_id", "rank", "doc_id", "score")
+
+
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -66,4 +73,4 @@ def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_packing, op4_simhash, op5_neighbours, op6_repeats, op7_mixing, op8_toxicity, op9_url_rules, op10_languages)}
+    op1_license_scan, op2_packing, op3_bm25, op4_simhash, op5_neighbours, op6_repeats, op7_mixing, op8_toxicity, op9_url_rules, op10_languages)}

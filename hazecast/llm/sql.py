@@ -75,4 +75,20 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.org/en/1', 'exampl
     THEN 'block' ELSE 'allow' END AS verdict FROM ruled
 """
 
-ORACLES = {"op1_license_scan": LICENSES, "op7_mixing": MIXING, "op9_url_rules": URLS}
+BM25 = r"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS tf FROM words GROUP BY ALL),
+len AS (SELECT d.doc_id, CAST(coalesce(sum(tf), 0) AS DOUBLE) AS dl FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY 1),
+stat AS (SELECT CAST(count(*) AS DOUBLE) AS n, sum(dl) / count(*) AS average FROM len),
+df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf GROUP BY 1),
+impact AS (SELECT tf.doc_id, tf.term, CAST(round(ln((n - df + 0.5e0) / (df + 0.5e0) + 1e0)
+      * (tf * (1.2e0 + 1e0) / (tf + 1.2e0 * (1e0 - 0.75e0 + 0.75e0 * dl / average))) * 1e6) AS BIGINT) AS impact
+  FROM tf JOIN df USING (term) JOIN len USING (doc_id), stat),
+scored AS (SELECT q.doc_id AS query_id, i.doc_id, CAST(sum(impact) AS BIGINT) AS score
+  FROM tf q JOIN impact i USING (term) WHERE q.doc_id % 100 = 0 AND q.doc_id <> i.doc_id GROUP BY ALL),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, doc_id, score / 1e6 AS score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {"op3_bm25": BM25, "op1_license_scan": LICENSES, "op7_mixing": MIXING, "op9_url_rules": URLS}
