@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from hazecast.llm.common import WORD, stored
 
+CELL_DIGITS = 3
+
 
 def sized(docs: DataFrame, text_column: str = "text"):
     """Words in a text; null counts as none."""
@@ -55,45 +57,87 @@ def filled(sources: DataFrame, share_halves: int = 3, most_epochs: int = 2) -> D
     return sources.withColumn("target", F.when(F.col("clamped"), cap.cast("double")).otherwise(share))
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_halves: int = 3,
-          most_epochs: int = 2, seed: str = "mix-1", id_column: str = "doc_id",
-          text_column: str = "text", source_column: str = "source") -> DataFrame:
-    """Every row of ``docs`` with its id, source, size, source_size, target, times and taken.
+def _digest(seed: str, id_column: str):
+    text = F.coalesce(F.col(id_column).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}:"), text).cast("binary"))
 
-    ``times`` is how often the mix holds the document (0 to ``most_epochs``) and ``taken``
-    is times x size. A null text has size 0; a null source is a source of its own, last. A
-    null id is ordered like the empty text; rows equal in id, source and size swap freely,
-    which leaves the same rows. An empty table gives none. Other columns are left out.
+
+def cuts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_halves: int = 3,
+         most_epochs: int = 2, seed: str = "mix-1", id_column: str = "doc_id",
+         text_column: str = "text", source_column: str = "source") -> DataFrame:
+    """One row per source: source, source_size, target, whole, cut_cell, last.
+
+    A document is taken ``whole`` times, and once more if its digest cell is below
+    ``cut_cell``, or is that cell and (digest, id, size) is not above ``last``.
     """
     rows = stored(docs.select(
-        F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"),
-        sized(docs, text_column).alias("size"),
-        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit("")))
-              .cast("binary")).alias("digest")), "mix")
+        F.col(id_column).alias("id"), F.col(source_column).cast("string").alias("source"),
+        sized(docs, text_column).alias("size"), _digest(seed, id_column).alias("digest")), "mix")
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"),
                                         F.count("*").alias("docs"))
     ranked = with_ranks(totals).withColumn(
         "weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]),
                                (F.col("rank") % len(weights) + 1).cast("int")))
+    whole = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
     sources = stored(filled(ranked, share_halves, most_epochs).withColumn(
-        "whole", F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))).withColumn(
-        "extra", F.col("target") - F.col("whole") * F.col("source_size")), "targets")
+        "whole", F.least(whole, F.lit(most_epochs))).withColumn(
+        "extra", F.when(F.col("whole") >= most_epochs, 0.0).otherwise(
+            F.col("target") - F.col("whole") * F.col("source_size"))), "targets").alias("s")
 
-    cell = F.substring("digest", 1, 3)
+    cell = F.substring("digest", 1, CELL_DIGITS)
     cells = rows.groupBy("source", cell.alias("cell")).agg(F.sum("size").alias("cell_size"))
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
-    placed = (rows.withColumn("cell", cell).alias("r")
-              .join(cells.alias("c"), F.expr("r.source <=> c.source AND r.cell = c.cell"))
-              .join(sources.alias("s"), F.expr("r.source <=> s.source"))
-              .select("r.*", "s.source_size", "s.target", "s.whole", "s.extra", "c.before"))
-    inside = (Window.partitionBy("source", "cell").orderBy("digest", "doc_id", "size")
+    # the one cell of each source in which its share ends
+    ends = cells.alias("c").join(sources, F.expr("c.source <=> s.source")).filter(
+        (F.col("before") < F.col("extra")) & (F.col("before") + F.col("cell_size") >= F.col("extra"))).select(
+        F.col("c.source").alias("source"), "cell", "before", "extra").alias("e")
+    inside = (Window.partitionBy("source").orderBy("digest", "id", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
-    # a document joins the prefix when that brings the sum nearer to what is wanted
+    in_cell = rows.withColumn("cell", cell).alias("r").join(
+        ends, F.expr("r.source <=> e.source AND r.cell = e.cell")).select("r.*", "before", "extra")
+    # a document joins when that brings the sum nearer to what is wanted
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
-    joins = (start + F.col("size") / 2.0) < F.col("extra")
-    times = F.when(F.col("whole") >= most_epochs, F.lit(most_epochs)).otherwise(
-        F.col("whole") + joins.cast("long"))
-    return placed.withColumn("times", times.cast("long")).select(
-        F.col("doc_id").alias(id_column), F.col("source").alias(source_column), "size",
-        "source_size", "target", "times", (F.col("times") * F.col("size")).alias("taken"))
+    last = in_cell.withColumn("joins", start + F.col("size") / 2.0 < F.col("extra")).filter("joins").groupBy(
+        "source").agg(F.max(F.struct("digest", "id", "size")).alias("last")).alias("l")
+    return sources.join(ends, F.expr("s.source <=> e.source"), "left").join(
+        last, F.expr("s.source <=> l.source"), "left").select(
+        "s.source", "s.source_size", "s.target", "s.whole", F.col("e.cell").alias("cut_cell"), "l.last")
+
+
+def with_times(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+               source_column: str = "source", seed: str = "mix-1", **settings) -> DataFrame:
+    """``docs`` with size, source_size, target and times, each under a name with ``__mix_``."""
+    found = cuts(docs, seed=seed, id_column=id_column, text_column=text_column,
+                 source_column=source_column, **settings)
+    plan = found.select(*[F.col(c).alias(f"__mix_{c}") for c in found.columns])
+    own = docs.withColumn("__mix_size", sized(docs, text_column)).withColumn("__mix_digest", _digest(seed, id_column))
+    joined = own.join(plan, own[source_column].cast("string").eqNullSafe(plan["__mix_source"]))
+    cell = F.substring("__mix_digest", 1, CELL_DIGITS)
+    mine = F.struct(F.col("__mix_digest").alias("digest"), F.col(id_column).alias("id"),
+                    F.col("__mix_size").alias("size"))
+    more = (cell < F.col("__mix_cut_cell")) | ((cell == F.col("__mix_cut_cell")) & (mine <= F.col("__mix_last")))
+    return joined.withColumn("__mix_times", F.col("__mix_whole") + F.coalesce(more, F.lit(False)).cast("long"))
+
+
+def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+          source_column: str = "source", **settings) -> DataFrame:
+    """Every row of ``docs`` with its id, source, size, source_size, target, times and taken.
+
+    ``times`` is how often the mix holds the document (0 to ``most_epochs``) and ``taken``
+    is times x size. A null text has size 0; a null source is a source of its own, last. A
+    null id is ordered like the empty text; rows equal in id, source and size are taken
+    alike. An empty table gives none. Other columns are left out.
+    """
+    return with_times(docs.select(id_column, text_column, source_column), id_column, text_column,
+                      source_column, **settings).select(
+        id_column, source_column, F.col("__mix_size").alias("size"), F.col("__mix_source_size").alias("source_size"),
+        F.col("__mix_target").alias("target"), F.col("__mix_times").alias("times"),
+        (F.col("__mix_times") * F.col("__mix_size")).alias("taken"))
+
+
+def mix(docs: DataFrame, **settings) -> DataFrame:
+    """The mix itself: rows of ``docs``, all columns, each as often as it is taken."""
+    rows = with_times(docs, **settings).filter(F.col("__mix_times") > 0)
+    return rows.withColumn("__mix_n", F.explode(F.sequence(F.lit(1), F.col("__mix_times").cast("int")))).select(
+        *[F.col(f"`{c}`") for c in docs.columns])

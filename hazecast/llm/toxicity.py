@@ -139,28 +139,35 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
     return {"weights": {f: float(w) for f, w in zip(kept, weights) if w}, "bias": float(bias)}
 
 
+def scorer(model: dict, most_known: int = 300_000):
+    """A function from a text to its score, which remembers the features of words it has met."""
+    weights, bias = model["weights"], model["bias"]
+    known: dict[str, tuple] = {}
+
+    def score(text: str | None) -> float:
+        hit: set = set()
+        for word in set(WORDS.findall((text or "").lower())):
+            found = known.get(word)
+            if found is None:
+                found = tuple(f for f in features_of(word) if f in weights)
+                if len(known) < most_known:
+                    known[word] = found
+            hit.update(found)
+        z = bias + sum(weights[f] for f in sorted(hit))
+        return 0.5 * (1 + math.tanh(0.5 * z)) if z > -700 else 0.0
+
+    return score
+
+
 def scored(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Id and toxicity score (0 to 1) per row; a null text scores like an empty one.
 
     Whole texts are read, however long. Repeated rows repeat; other columns are left out.
     """
-    weights, bias = model["weights"], model["bias"]
-
     def score(batches):
-        known: dict[str, tuple] = {}  # features of a word that have a weight
+        scores = scorer(model)
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                hit = set()
-                for word in set(WORDS.findall((text or "").lower())):
-                    found = known.get(word)
-                    if found is None:
-                        found = tuple(f for f in features_of(word) if f in weights)
-                        if len(known) < 300_000:
-                            known[word] = found
-                    hit.update(found)
-                z = bias + sum(weights[f] for f in sorted(hit))
-                out.append(0.5 * (1 + math.tanh(0.5 * z)) if z > -700 else 0.0)
+            out = [scores(text) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())],
                                              names=["id", "score"])
 
@@ -171,14 +178,12 @@ def scored(docs: DataFrame, model: dict, id_column: str = "doc_id", text_column:
 
 def without_toxic(docs: DataFrame, model: dict, limit: float = 0.7, text_column: str = "text") -> DataFrame:
     """Rows of ``docs``, all columns as they are, whose score is below ``limit``."""
-    weights, bias = model["weights"], model["bias"]
+    place = docs.columns.index(text_column)
 
     def keep(batches):
+        scores = scorer(model)
         for batch in batches:
-            flags = []
-            for text in batch.column(batch.schema.get_field_index(text_column)).to_pylist():
-                z = bias + sum(weights.get(f, 0.0) for f in sorted(document_features(text)))
-                flags.append(not (z > -700 and 0.5 * (1 + math.tanh(0.5 * z)) >= limit))
+            flags = [scores(text) < limit for text in batch.column(place).to_pylist()]
             yield batch.filter(pa.array(flags, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return arrow_map(docs, keep, docs.schema)
