@@ -78,7 +78,7 @@ def cuts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_halves: in
     ranked = with_ranks(totals).withColumn(
         "weight", F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]),
                                (F.col("rank") % len(weights) + 1).cast("int")))
-    whole = F.coalesce(F.floor(F.col("target") / F.col("source_size")), F.lit(0))
+    whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0))
     sources = stored(filled(ranked, share_halves, most_epochs).withColumn(
         "whole", F.least(whole, F.lit(most_epochs))).withColumn(
         "extra", F.when(F.col("whole") >= most_epochs, 0.0).otherwise(

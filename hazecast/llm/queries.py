@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazecast.llm import languages, licenses, mixing, neighbours, packing, ranking, repeats, simhash, toxicity, url_rules
-from hazecast.llm.common import bucket_of, stored, table
+from hazecast.llm.common import bucket_of, table
 
 #: Rules (host, path, verdict) of the url query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -25,8 +25,7 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op3_bm25(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    index = stored(ranking.build_index(docs), "index")
-    return ranking.search(index, docs.filter(F.col("doc_id") % 100 == 0)).select(
+    return ranking.search(ranking.build_index(docs), docs.filter(F.col("doc_id") % 100 == 0)).select(
         "query_id", "rank", "doc_id", "score")
 
 

@@ -75,20 +75,20 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", ranges: i
 
     in_range = F.pandas_udf(url_range, "int")
     over_ranges = F.pandas_udf(rule_ranges, "array<int>")
+    # ids travel as text: pandas would turn whole numbers beside nulls into fractions
     urls = keyed.select(in_range("key", "spot").alias("range"), "key", F.lit(1).alias("kind"),
-                        "id", "host", "path", F.lit(None).cast("string").alias("verdict"))
+                        F.col("id").cast("string").alias("id"), "host", "path", F.lit(None).cast("string").alias("verdict"))
     host = F.coalesce(F.col("host"), F.lit(""))
     opened = rules.select(host.alias("host"), F.coalesce(F.col("path"), F.lit("")).alias("path"), "verdict")
     opened = opened.withColumn("key", reversed_host(F.col("host"))).select(
         F.explode(over_ranges("key")).alias("range"), "key", F.lit(0).alias("kind"),
-        F.lit(None).cast(keyed.schema["id"].dataType).alias("id"), "host", "path", "verdict")
+        F.lit(None).cast("string").alias("id"), "host", "path", "verdict")
 
-    kind = keyed.schema["id"].dataType.simpleString()
     events = (opened.unionByName(urls).repartition(ranges, "range")
               .sortWithinPartitions("range", "key", "kind", "path"))
     swept = events.mapInPandas(lambda frames: _sweep(frames, default),
-                               f"id {kind}, host string, path string, rule string, verdict string")
-    return swept.withColumnRenamed("id", id_column)
+                               "id string, host string, path string, rule string, verdict string")
+    return swept.select(F.col("id").cast(keyed.schema["id"].dataType).alias(id_column), "host", "path", "rule", "verdict")
 
 
 def _sweep(frames: Iterable[pd.DataFrame], default: str):
@@ -122,6 +122,5 @@ def _sweep(frames: Iterable[pd.DataFrame], default: str):
             kept.append(row)
             rule_of.append(best[1] if best else None)
             verdict_of.append(best[2] if best else default)
-        out = frame.iloc[kept][["id", "host", "path"]].copy()
-        out["rule"], out["verdict"] = rule_of, verdict_of
-        yield out
+        yield pd.DataFrame({**{c: frame[c].to_numpy(dtype=object)[kept] for c in ("id", "host", "path")},
+                            "rule": rule_of, "verdict": verdict_of}, dtype=object)
