@@ -1,7 +1,10 @@
 """Hourly sensor tables read out of an event log.
 
-Each user's readings belong to a station; event types stand for pollutants.
-``max``/``min`` keep the values exact, so every engine sees the same inputs.
+Every event is read by both sources. Each group of users is a station, so stations grow
+with the users; a group is large enough for a series of some hundred hours. Event types
+stand for pollutants, and the weather's clock runs an hour late, so that some hours of
+either source have no partner. ``max``/``min`` keep the values exact, so every engine sees
+the same inputs.
 """
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hazecast.session import configure
 
-STATIONS = 16
+USERS_PER_STATION = 10
 
 
 def events(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,20 +20,19 @@ def events(spark: SparkSession, folder: str) -> DataFrame:
     return table.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def _hourly(log: DataFrame, stations: int):
+def _hourly(log: DataFrame, users: int, late: str = "0"):
     return log.groupBy(
-        (F.col("user_id") % stations).cast("int").alias("station_id"),
-        F.date_trunc("hour", F.col("ts")).alias("timestamp"))
+        F.floor(F.col("user_id") / users).cast("int").alias("station_id"),
+        (F.date_trunc("hour", F.col("ts")) + F.expr(f"INTERVAL {late} HOURS")).alias("timestamp"))
 
 
-def air_quality(spark: SparkSession, folder: str, stations: int = STATIONS) -> DataFrame:
+def air_quality(spark: SparkSession, folder: str, users: int = USERS_PER_STATION) -> DataFrame:
     value = F.col("value")
 
     def peak(kind: str, scale: float):
         return F.max(F.when(F.col("event_type") == kind, value)) * F.lit(scale)
 
-    log = events(spark, folder).filter(F.col("event_id") % 5 != 0)
-    return _hourly(log, stations).agg(
+    return _hourly(events(spark, folder), users).agg(
         peak("view", 0.6).alias("pm2_5"),
         peak("click", 1.2).alias("pm10"),
         peak("purchase", 3.0).alias("no2"),
@@ -39,10 +41,9 @@ def air_quality(spark: SparkSession, folder: str, stations: int = STATIONS) -> D
         (F.max(value) * F.lit(20.0)).alias("co"))
 
 
-def weather(spark: SparkSession, folder: str, stations: int = STATIONS) -> DataFrame:
-    log = events(spark, folder).filter(F.col("event_id") % 5 != 1).withColumn(
-        "k", F.get_json_object("props", "$.k").cast("int"))
-    return _hourly(log, stations).agg(
+def weather(spark: SparkSession, folder: str, users: int = USERS_PER_STATION) -> DataFrame:
+    log = events(spark, folder).withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    return _hourly(log, users, late="1").agg(
         (F.max("k") * F.lit(0.4)).alias("temperature"),
         (F.min("k") * F.lit(1.0)).alias("humidity"),
         (F.max("value") * F.lit(0.1)).alias("wind_speed"),
@@ -51,7 +52,6 @@ def weather(spark: SparkSession, folder: str, stations: int = STATIONS) -> DataF
         (F.lit(1000.0) + F.min("value")).alias("pressure"))
 
 
-def observations(spark: SparkSession, folder: str, stations: int = STATIONS) -> DataFrame:
+def observations(spark: SparkSession, folder: str, users: int = USERS_PER_STATION) -> DataFrame:
     from hazecast.operators.matching import join_observations
-    return join_observations(air_quality(spark, folder, stations),
-                             weather(spark, folder, stations))
+    return join_observations(air_quality(spark, folder, users), weather(spark, folder, users))

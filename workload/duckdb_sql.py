@@ -5,7 +5,7 @@ from hazecast.fixed_values import (
     INTERACTION_PAIRS, LAG_STEPS, MONTH_NAMES, POLLUTANT_NAMES, POLLUTANTS, ROLLING_WINDOWS,
     TARGETS, WEATHER, WINDOWED)
 
-STATIONS = 16
+USERS_PER_STATION = 10
 CORE = [*POLLUTANTS, *WEATHER, "aqi"]
 KEY = "station_id, timestamp"
 
@@ -54,20 +54,20 @@ def peak(kind: str, scale: str) -> str:
 
 
 AIR = f"""air AS (
-  SELECT CAST(user_id % {STATIONS} AS INTEGER) AS station_id, date_trunc('hour', ts) AS timestamp,
+  SELECT CAST(user_id // {USERS_PER_STATION} AS INTEGER) AS station_id, date_trunc('hour', ts) AS timestamp,
     {peak('view', '0.6e0')} AS pm2_5, {peak('click', '1.2e0')} AS pm10,
     {peak('purchase', '3e0')} AS no2, {peak('signup', '2e0')} AS so2,
     {peak('error', '1e0')} AS o3, max(value) * 20e0 AS co
-  FROM events WHERE event_id % 5 <> 0 GROUP BY 1, 2)"""
+  FROM events GROUP BY 1, 2)"""
 WX = f"""wx AS (
   SELECT station_id, timestamp, max(k) * 0.4e0 AS temperature, min(k) * 1e0 AS humidity,
     max(value) * 0.1e0 AS wind_speed,
     max(k) FILTER (WHERE event_type = 'click') * 3.6e0 AS wind_direction,
     1000e0 + min(value) AS pressure
-  FROM (SELECT CAST(user_id % {STATIONS} AS INTEGER) AS station_id,
-          date_trunc('hour', ts) AS timestamp, value, event_type,
+  FROM (SELECT CAST(user_id // {USERS_PER_STATION} AS INTEGER) AS station_id,
+          date_trunc('hour', ts) + INTERVAL 1 HOUR AS timestamp, value, event_type,
           CAST(json_extract_string(props, '$.k') AS INTEGER) AS k
-        FROM events WHERE event_id % 5 <> 1) GROUP BY 1, 2)"""
+        FROM events) GROUP BY 1, 2)"""
 OBS = "obs AS (SELECT * FROM air JOIN wx USING (station_id, timestamp))"
 SUBS = ("subs AS (SELECT *, " + ", ".join(f"{sub(p)} AS {p}_sub" for p in POLLUTANTS)
         + " FROM obs)")
