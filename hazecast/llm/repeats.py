@@ -240,10 +240,10 @@ def text_key(column: str):
 
 def repeated_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_column: str = "text",
                    group_bytes: int = GROUP_BYTES) -> DataFrame:
-    """(key, spans, kept) of each distinct text that loses bytes.
+    """(key, spans, kept, kept_text) of each distinct text that loses bytes.
 
     ``key`` is the MD5 of the text (null counts as empty), ``spans`` the maximal removed runs
-    (start, end) in bytes, ``kept`` the bytes left. Copies of a text count as other places.
+    (start, end) in bytes, ``kept`` the bytes left, ``kept_text`` those less parts of characters. Copies of a text count as other places.
     """
     texts = docs.select(text_key(text_column).alias("key"),
                         F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -298,10 +298,11 @@ def repeated_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
                 spans.append([{"start": a, "end": b} for a, b in runs])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                 pa.array(kept, pa.binary())], names=["key", "spans", "kept"])
+                 pa.array(kept, pa.binary()), pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())],
+                names=["key", "spans", "kept", "kept_text"])
 
     return arrow_map(held.join(covers, "key").select("key", "text", "covers"), cut,
-                     "key binary, spans array<struct<start: long, end: long>>, kept binary")
+                     "key binary, spans array<struct<start: long, end: long>>, kept binary, kept_text string")
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id",
@@ -330,13 +331,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, tex
     if there is one. Untouched rows stay as they are, null texts too.
     """
     cuts = repeated_texts(docs, length, gram, text_column).select(
-        F.col("key").alias("__key"), F.col("kept").alias("__kept"))
-    # characters cut in half are malformed now; decoding marks them, and the marks go
-    whole = F.regexp_replace(F.decode(F.col("__kept"), "UTF-8"), "�", "")
+        F.col("key").alias("__key"), F.col("kept_text").alias("__kept"))
     joined = docs.withColumn("__text_key", text_key(text_column)).join(
         cuts, F.col("__text_key") == F.col("__key"), "left")
     hit = F.col("__kept").isNotNull()
-    out = joined.withColumn(text_column, F.when(hit, whole).otherwise(F.col(text_column)))
+    out = joined.withColumn(text_column, F.when(hit, F.col("__kept")).otherwise(F.col(text_column)))
     if chars_column in docs.columns:
         kind = docs.schema[chars_column].dataType
         out = out.withColumn(chars_column, F.when(hit, F.char_length(text_column)).otherwise(

@@ -77,6 +77,14 @@ def test_short_strings_and_other_lengths(spark):
     assert got == dict(enumerate(brute(texts, 5)))
 
 
+def test_cut_inside_a_character(spark):
+    """The shared bytes end with the first byte of two different letters."""
+    texts = ["x" + "ä" + "abcd" + "é", "y" + "ä" + "abcd" + "è", "no \ufffd mark"]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    kept = {r.doc_id: r.text for r in repeats.without_repeats(docs, length=5, gram=2).collect()}
+    assert kept == {0: "x", 1: "y", 2: texts[2]}
+
+
 def test_hard_rows_and_empty_table(spark):
     rows = hard_rows()
     kept = repeats.without_repeats(documents(spark, rows))
