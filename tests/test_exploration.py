@@ -26,19 +26,28 @@ def local(table):
     return table.toPandas()
 
 
-@pytest.mark.parametrize("accuracy", [100_000, 200])
-def test_quantiles_with_and_without_brackets(spark, accuracy):
+def test_quantiles(spark):
     rng = np.random.default_rng(0)
     df = pd.DataFrame({"wide": rng.lognormal(0, 4, 5000), "ties": rng.integers(0, 4, 5000) * 1.0,
                        "same": 7.0, "few": np.where(np.arange(5000) < 2, np.arange(5000) * 3.0, np.nan),
-                       "none": np.nan})
+                       "huge": rng.choice([-1.7e308, -1e-300, 0.0, 2e-308, 1.7e308], 5000),
+                       "steps": 2.0 ** rng.integers(-300, 300, 5000), "none": np.nan})
     probabilities = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = exact_quantiles(to_spark(spark, df).repartition(7), list(df), probabilities,
-                          accuracy).toPandas().set_index("variable")
-    assert sorted(got.index) == ["few", "same", "ties", "wide"]
-    for c in got.index:
-        assert same(got.loc[c, [f"q{i}" for i in range(7)]], df[c].quantile(probabilities), 1e-12)
+    got = exact_quantiles(to_spark(spark, df).repartition(7), list(df), probabilities
+                          ).toPandas().set_index("variable")
+    assert list(got.index) == list(df) and got.loc["none", "n"] == 0 and got.loc["none"].isna().sum() == 11
+    for c in list(df)[:-1]:
         assert got.loc[c, "n"] == df[c].count()
+        if c != "huge":
+            assert same(got.loc[c, [f"q{i}" for i in range(7)]], df[c].quantile(probabilities), 1e-12)
+    assert got.loc["huge", "q3"] in (-1e-300, 0.0, 2e-308)
+
+
+def test_quantiles_of_many_rows(spark):
+    rows = 10_000_000
+    df = spark.range(rows).selectExpr("CAST(id * 7919 % 10000000 AS DOUBLE) / 7 AS x")
+    got = exact_quantiles(df, ["x"], [0.25, 0.5, 0.9]).first()
+    assert same([got.q0, got.q1, got.q2], [(rows - 1) * p / 7 for p in (0.25, 0.5, 0.9)], 1e-12)
 
 
 def test_describe_and_missing(table, local):

@@ -138,3 +138,14 @@ def test_one_row_per_key(spark):
     assert sorted(map(str, matching.keep_last(df).collect())) == sorted(
         map(str, (df.filter("ingest_seq <> 3")).collect()))
     assert [tuple(r) for r in matching.latest_per_station(df).collect()] == [rows[2]]
+
+
+def test_copies_without_an_order_and_with_equal_ones(spark):
+    schema = "station_id int, timestamp timestamp, pm2_5 double, ingest_seq bigint"
+    t = [dt.datetime(2024, 1, d) for d in (1, 2, 3)]
+    rows = [(1, t[0], 5.0, None), (1, t[1], 1.0, None), (1, t[1], 2.0, 7), (1, t[2], 8.0, 3),
+            (1, t[2], None, 3), (1, t[2], 9.0, 3)]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    first = {r.timestamp: r.pm2_5 for r in matching.keep_first(df).collect()}
+    last = {r.timestamp: r.pm2_5 for r in matching.keep_last(df).collect()}
+    assert first == {t[0]: 5.0, t[1]: 2.0, t[2]: None} and last == {t[0]: 5.0, t[1]: 2.0, t[2]: 9.0}
