@@ -249,9 +249,11 @@ def repeated_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
                         F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     long = texts.filter(F.octet_length("text") >= length)
     every = stored(places(long, length, gram), "places")
-    shared = every.groupBy("anchor").agg(
+    # stored, so that the join below has plain exchanges on both sides: Spark splits an
+    # anchor that very many places share only then
+    shared = stored(every.groupBy("anchor").agg(
         F.sum("copies").alias("seen"), F.min("content").alias("low"), F.max("content").alias("high")
-    ).filter("seen > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ"))
+    ).filter("seen > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ")), "shared")
     found = stored(every.join(shared, "anchor"), "shared-places")
 
     same = found.filter("not differ").select("key", F.col("at").alias("start"),
