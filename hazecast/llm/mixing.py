@@ -89,9 +89,9 @@ def cuts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_halves: in
     before = Window.partitionBy("source").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(before), F.lit(0)))
     # the one cell of each source in which its share ends
-    ends = cells.alias("c").join(sources, F.expr("c.source <=> s.source")).filter(
+    ends = stored(cells.alias("c").join(sources, F.expr("c.source <=> s.source")).filter(
         (F.col("before") < F.col("extra")) & (F.col("before") + F.col("cell_size") >= F.col("extra"))).select(
-        F.col("c.source").alias("source"), "cell", "before", "extra").alias("e")
+        F.col("c.source").alias("source"), "cell", "before", "extra"), "ends").alias("e")
     inside = (Window.partitionBy("source").orderBy("digest", "id", "size")
               .rowsBetween(Window.unboundedPreceding, -1))
     in_cell = rows.withColumn("cell", cell).alias("r").join(
@@ -100,9 +100,10 @@ def cuts(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share_halves: in
     start = F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     last = in_cell.withColumn("joins", start + F.col("size") / 2.0 < F.col("extra")).filter("joins").groupBy(
         "source").agg(F.max(F.struct("digest", "id", "size")).alias("last")).alias("l")
-    return sources.join(ends, F.expr("s.source <=> e.source"), "left").join(
+    # one row per source: stored, so that Spark sees its size when all documents join it
+    return stored(sources.join(ends, F.expr("s.source <=> e.source"), "left").join(
         last, F.expr("s.source <=> l.source"), "left").select(
-        "s.source", "s.source_size", "s.target", "s.whole", F.col("e.cell").alias("cut_cell"), "l.last")
+        "s.source", "s.source_size", "s.target", "s.whole", F.col("e.cell").alias("cut_cell"), "l.last"), "cuts")
 
 
 def with_times(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
