@@ -22,12 +22,12 @@ def _with_sequence(df: DataFrame, sequence: int) -> DataFrame:
 
 def backfill(spark: SparkSession, folders: list[tuple[str, str]], raw_path: str,
              store_path: str, csv_path: str | None = None,
-             block_rows: int = layout.BLOCK_ROWS) -> list[tuple[str, str]]:
+             block_rows: int = layout.BLOCK_ROWS) -> tuple[list[tuple[str, str]], dict[str, int]]:
     """Payload folders (air, weather) per chunk -> raw store -> feature store.
 
     The joined readings are written before features are built: the build reads
     its input three times, each time only the columns it needs. Returns the
-    chunks that could not be read, with the reason.
+    chunks that could not be read, with the reason, and the store's row counts.
     """
     configure(spark)
     combined, skipped = history.backfill(
@@ -39,10 +39,10 @@ def backfill(spark: SparkSession, folders: list[tuple[str, str]], raw_path: str,
         "timestamp", F.timestamp_millis("timestamp"))
     made = drop_all_null_pollutants(build_features(stored, block_rows=block_rows))
     store = feature_store.FeatureStore(spark, store_path)
-    store.upsert(made)
+    counts = store.upsert(made)
     if csv_path:
         feature_csv.write_csv(store.read(), csv_path)
-    return skipped
+    return skipped, counts
 
 
 def recent_observations(air: DataFrame, weather: DataFrame, past_days: int) -> DataFrame:
@@ -52,25 +52,25 @@ def recent_observations(air: DataFrame, weather: DataFrame, past_days: int) -> D
 
 def hourly(air: DataFrame, weather: DataFrame, raw_path: str, store_path: str, sequence: int,
            past_days: int = RECENT_DAYS, with_context: bool = True,
-           block_rows: int = layout.BLOCK_ROWS) -> None:
+           block_rows: int = layout.BLOCK_ROWS) -> dict[str, int]:
     """The last days' readings into the stores; ``sequence`` orders the runs.
 
     Features are built with the stored readings before and after them. Without
     context they are built from the last days alone, so that frames and lags
-    start empty there, and replace what the store holds for those hours.
+    start empty there, and replace what the store holds for those hours. Returns
+    how many rows the feature store was given, inserted and updated.
     """
     configure(air.sparkSession)
     batch = _with_sequence(recent_observations(air, weather, past_days), sequence).persist(
         StorageLevel.MEMORY_AND_DISK)
     try:
         if batch.isEmpty():
-            return
+            return {"prepared": 0, "inserted": 0, "updated": 0}
         if with_context:
-            update_features(batch, raw_path, store_path, block_rows)
-        else:
-            made = build_features(batch.drop("ingest_seq"), block_rows=block_rows)
-            feature_store.FeatureStore(batch.sparkSession, store_path).upsert(
-                drop_all_null_pollutants(made))
+            return update_features(batch, raw_path, store_path, block_rows)
+        made = build_features(batch.drop("ingest_seq"), block_rows=block_rows)
+        return feature_store.FeatureStore(batch.sparkSession, store_path).upsert(
+            drop_all_null_pollutants(made))
     finally:
         batch.unpersist()
 
@@ -97,7 +97,7 @@ def serve(air: DataFrame, weather: DataFrame, model_path: str,
     spark = configure(air.sparkSession)
     live = recent_observations(air, weather, past_days)
     features = build_features(live, epoch=False, block_rows=block_rows)
-    models, names, _ = training.load(spark, model_path)
+    models, names, metrics = training.load(spark, model_path)
     forecasts = forecasting.forecast(features, models, names)
     missing = [t for t in forecasting.TARGETS if t not in models]
     forecasts = forecasts.withColumns({t: F.lit(None).cast("double") for t in missing}) \
@@ -109,4 +109,6 @@ def serve(air: DataFrame, weather: DataFrame, model_path: str,
         "cards": forecasting.forecast_cards(forecasts),
         "current": forecasting.current_conditions(live),
         "pollutants": forecasting.pollutant_breakdown(live),
+        "report": training.report(metrics),
+        "importance": training.top_features(training.newest_importance(spark, model_path)),
     }

@@ -125,8 +125,13 @@ class Trained:
 
 
 def importances(model: PipelineModel) -> list[tuple[str, float]]:
-    """(feature, importance), largest first: of the trees or |coefficient|."""
+    """(feature, importance), largest first: of the trees or |coefficient|.
+
+    A candidate that knows neither, such as a fixed rule, has none.
+    """
     names, fitted = model.stages[0].getInputCols(), model.stages[-1]
+    if not isinstance(fitted, PipelineModel) and not hasattr(fitted, "featureImportances"):
+        return []
     if isinstance(fitted, PipelineModel):
         selector, linear = fitted.stages
         weights = dict.fromkeys(names, 0.0)
@@ -196,12 +201,15 @@ def fit_one(features: DataFrame, target: str, estimator: Callable,
             minimum: int = MIN_TRAINING_ROWS) -> tuple[PipelineModel, DataFrame]:
     """One candidate on one target: the model and the scored validation rows."""
     names = feature_columns(features)
-    prepared = prepare(features, target, names, minimum).persist(StorageLevel.MEMORY_AND_DISK)
-    learn = prepared.filter("is_train")
+    prepared = prepare(features, target, names, minimum)
     assembler = VectorAssembler(inputCols=names, outputCol="features")
-    model = Pipeline(stages=[assembler, estimator(learn)]).fit(learn)
-    scored = model.transform(prepared.filter("NOT is_train"))
-    return model, scored
+    learn = assembler.transform(prepared).filter("is_train").select("features", "label").persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        model = PipelineModel([assembler, estimator(learn).fit(learn)])
+    finally:
+        learn.unpersist()
+    return model, model.transform(prepared.filter("NOT is_train"))
 
 
 # --- The model folder ------------------------------------------------------------
@@ -225,12 +233,24 @@ def save(trained: Trained, path: str) -> str:
     return run
 
 
-def load(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], dict[str, list[str]], DataFrame]:
-    """Models, their feature names and the metrics rows of the newest run."""
+def newest_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The metrics row of each target's newest listed run: a target whose fit failed later
+    keeps its earlier model."""
     metrics = spark.read.parquet(f"{path}/model_metrics")
-    run = metrics.agg(F.max("run")).first()[0]  # run names sort by time
-    current = metrics.filter(F.col("run") == run)
-    models = {r.target: PipelineModel.load(f"{path}/runs/{run}/{r.target}")
-              for r in current.select("target").collect()}  # one row per target
+    order = Window.partitionBy("target").orderBy(F.desc("run"))  # run names sort by time
+    return metrics.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
+
+
+def newest_importance(spark: SparkSession, path: str) -> DataFrame:
+    """Importances of the models that ``load`` gives; those of unlisted runs are passed over."""
+    chosen = newest_metrics(spark, path).select("run", "target")
+    return spark.read.parquet(f"{path}/feature_importance").join(chosen, ["run", "target"], "left_semi").drop("run")
+
+
+def load(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], dict[str, list[str]], DataFrame]:
+    """Models, their feature names and the metrics row of each target's newest run."""
+    current = newest_metrics(spark, path)
+    models = {r.target: PipelineModel.load(f"{path}/runs/{r.run}/{r.target}")
+              for r in current.select("run", "target").collect()}  # one row per target
     names = {t: m.stages[0].getInputCols() for t, m in models.items()}
     return models, names, current

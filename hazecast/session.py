@@ -1,5 +1,7 @@
 """Session settings the engine relies on."""
 
+import atexit
+import functools
 import tempfile
 import uuid
 
@@ -16,6 +18,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@functools.cache
+def _local_folder() -> str:
+    """One temporary folder per process, removed when the process ends."""
+    made = tempfile.TemporaryDirectory(prefix="hazecast-", ignore_cleanup_errors=True)
+    atexit.register(made.cleanup)
+    return made.name
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables written on the way to a result.
 
@@ -27,5 +37,5 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors see")
-        shared = tempfile.mkdtemp(prefix="hazecast-")
+        shared = _local_folder()
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -125,32 +125,28 @@ class FeatureStore:
          .write.mode(mode).option("partitionOverwriteMode", "dynamic")
          .partitionBy("date").parquet(self.path))
 
-    def read_days(self, lookback_days: int | None, batch: DataFrame) -> DataFrame:
-        """Rows from ``lookback_days`` before the batch's first day on, or all."""
-        stored = self._table()
-        if lookback_days is not None:
-            first = batch.agg(F.date_sub(F.to_date(F.min("timestamp")), lookback_days)).first()[0]
-            stored = stored.filter(F.col("date") >= F.lit(first))
-        return stored.drop("date")
-
     def upsert(self, batch: DataFrame, keep_known: bool = False,
-               order: str | None = None) -> None:
+               order: str | None = None) -> dict[str, int]:
         """Write sanitised rows (epoch-millisecond ``timestamp``, unique keys).
 
-        With ``order`` a stored copy stays where it is the newer one.
+        With ``order`` a stored copy stays where it is the newer one. Returns how many rows
+        were prepared, inserted and updated; only touched days are looked at for it.
         """
-        if not self.exists():
-            self._write(batch, "overwrite")
-            return
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            if not self.exists():
+                self._write(batch, "overwrite")
+                rows = batch.count()
+                return {"prepared": rows, "inserted": rows, "updated": 0}
             # a batch touches at most one day per calendar day it covers, so
             # the list is short; as literals the days prune the other folders
             day = F.to_date(F.timestamp_millis("timestamp"))
             days = [r.day for r in batch.select(day.alias("day")).distinct().collect()]
             existing = self._table().filter(F.col("date").isin(days)).drop("date")
+            counts = report(existing, batch).first().asDict()
             rows = (newest(existing, batch, order) if order
                     else merged(existing, batch, keep_known))
             self._write(rows, "overwrite")
+            return counts
         finally:
             batch.unpersist()

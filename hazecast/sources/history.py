@@ -1,14 +1,15 @@
 """Range reads, recent reads and backfill by chunks."""
 
 from collections.abc import Callable
-from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hazecast.fixed_values import BACKFILL_CHUNK_DAYS, RECENT_DAYS
 from hazecast.operators.matching import KEY, join_observations, keep_first
+from hazecast.sources.payloads import plain_path
 
 
 def with_date(df: DataFrame) -> DataFrame:
@@ -67,44 +68,55 @@ def chunk_ranges(spans: DataFrame, chunk_days: int = BACKFILL_CHUNK_DAYS,
         .alias("chunk_end"))
 
 
-def _all_chunks(chunks: list[DataFrame]) -> DataFrame:
-    tagged = [chunk.withColumn("ingest_seq", F.lit(number).cast("bigint"))
-              for number, chunk in enumerate(chunks)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+def join_chunks(air: DataFrame, weather: DataFrame) -> DataFrame:
+    """Chunks (``ingest_seq``) joined each on its own; of a repeated hour the earliest stays."""
+    return keep_first(join_observations(air, weather, [*KEY, "ingest_seq"])).drop("ingest_seq")
 
 
-def join_chunks(air: list[DataFrame], weather: list[DataFrame]) -> DataFrame:
-    """Chunks joined each on its own; of a repeated hour the earliest row stays.
+def _existing(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """Of ``paths`` those that exist, with the name Spark gives their files' folder."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    found = {}
+    for path in paths:
+        name = jvm.org.apache.hadoop.fs.Path(path)
+        files = name.getFileSystem(conf)
+        if files.exists(name):
+            found[path] = plain_path(files.makeQualified(name).toString())
+    return found
 
-    The chunks are put together before the join, which then shuffles once for
-    all of them: a row only meets rows of its own chunk.
-    """
-    joined = join_observations(_all_chunks(air), _all_chunks(weather), [*KEY, "ingest_seq"])
-    return keep_first(joined).drop("ingest_seq")
+
+def _chunked(spark: SparkSession, folders: dict[str, int], read: Callable) -> DataFrame:
+    """All folders read at once, each row with the number of its folder's chunk."""
+    chunks = spark.createDataFrame(list(folders.items()), "_folder string, ingest_seq bigint")
+    rows = read(spark, list(folders), check=False, keep=["_file"])
+    folder = F.regexp_replace("_file", "/[^/]*$", "")
+    return rows.withColumn("_folder", folder).join(chunks, "_folder").drop("_folder", "_file")
 
 
 def backfill(spark: SparkSession, folders: list[tuple[str, str]],
              read_air: Callable, read_weather: Callable) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Read and join (air, weather) folder pairs; skip chunks that fail.
 
-    Returns the combined table and the skipped folders with their reasons.
+    One read per source for all chunks. Returns the combined table and the skipped folders
+    with their reasons: a folder that is missing, or one without an hour in it, be it empty
+    or broken throughout. The chunk numbers that have rows are all the driver sees.
     """
-    air, weather, skipped = [], [], []
-    for air_path, weather_path in folders:
-        try:
-            pair = read_air(spark, air_path), read_weather(spark, weather_path)
-        except (AnalysisException, ValueError) as reason:
-            skipped.append((air_path, str(reason).splitlines()[0]))
-            continue
-        air.append(pair[0])
-        weather.append(pair[1])
-    if not air:
+    known = _existing(spark, [p for pair in folders for p in pair])
+    here = {n: pair for n, pair in enumerate(folders) if pair[0] in known and pair[1] in known}
+    skipped = {n: "no such folder" for n in range(len(folders)) if n not in here}
+    if not here:
+        raise RuntimeError("no chunk could be read")
+    air = _chunked(spark, {known[a]: n for n, (a, _) in here.items()}, read_air)
+    weather = _chunked(spark, {known[w]: n for n, (_, w) in here.items()}, read_weather)
+    filled = [{r[0] for r in side.select("ingest_seq").distinct().collect()} for side in (air, weather)]
+    skipped |= {n: "no hourly data" for n in here if n not in filled[0] & filled[1]}
+    if len(skipped) == len(folders):
         raise RuntimeError("no chunk could be read")
-    return join_chunks(air, weather), skipped
+    return join_chunks(air, weather), [(folders[n][0], skipped[n]) for n in sorted(skipped)]
 
 
 def first_available(readers: list[Callable[[], DataFrame]]) -> DataFrame:
-    """The first source that exists and has rows, in order of preference."""
+    """The first source that can be read and has rows, in order of preference."""
     reasons = []
     for read in readers:
         try:
@@ -112,6 +124,6 @@ def first_available(readers: list[Callable[[], DataFrame]]) -> DataFrame:
             if not table.isEmpty():
                 return table
             reasons.append("empty")
-        except AnalysisException as reason:
+        except (PySparkException, Py4JJavaError, ValueError) as reason:
             reasons.append(str(reason).splitlines()[0])
     raise RuntimeError("no source available: " + "; ".join(reasons))

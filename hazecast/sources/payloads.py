@@ -1,5 +1,7 @@
 """Hourly JSON payloads: a struct of parallel arrays per document."""
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,10 +11,10 @@ from hazecast.functions.cleaning import normalize_nan
 
 
 def payload_schema(fields: dict[str, str]) -> T.StructType:
-    hourly = T.StructType(
-        [T.StructField("time", T.ArrayType(T.StringType()))]
-        + [T.StructField(name, T.ArrayType(T.DoubleType())) for name in fields])
-    return T.StructType([T.StructField("station_id", T.IntegerType()),
+    """Values are read as text: one bad number must not cost its whole document."""
+    hourly = T.StructType([T.StructField(name, T.ArrayType(T.StringType()))
+                           for name in ("time", *fields)])
+    return T.StructType([T.StructField("station_id", T.StringType()),
                          T.StructField("hourly", hourly),
                          T.StructField("_broken", T.StringType())])
 
@@ -22,21 +24,47 @@ def _when(text: Column) -> Column:
                       F.try_to_timestamp(text))
 
 
-def unfold(payloads: DataFrame, fields: dict[str, str]) -> DataFrame:
-    """One row per hour of each payload, under the engine's column names."""
-    hourly = F.col("hourly")
+def unfold(payloads: DataFrame, fields: dict[str, str], default_station: int = 0,
+           keep: list[str] = ()) -> DataFrame:
+    """One row per hour of each payload, under the engine's column names.
+
+    A document without a station belongs to ``default_station``. What is no number becomes
+    null, and so do the values of a field that a document lacks.
+    """
+    def cell(name: str) -> Column:
+        return F.coalesce(F.col(f"hourly.`{name}`"), F.array().cast("array<string>")).alias(name)
+
+    station = F.coalesce(F.col("station_id").try_cast("int"), F.lit(default_station))
     rows = payloads.filter(F.col("hourly.time").isNotNull()).select(
-        "station_id",
-        F.inline(F.arrays_zip(hourly["time"].alias("time"),
-                              *[hourly[name].alias(name) for name in fields])))
-    return normalize_nan(rows.select(
+        station.alias("station_id"), *keep,
+        F.inline(F.arrays_zip(F.col("hourly.time").alias("time"), *[cell(name) for name in fields])))
+    return normalize_nan(rows.filter(F.col("time").isNotNull()).select(
         "station_id", _when(F.col("time")).alias("timestamp"),
-        *[F.col(name).alias(column) for name, column in fields.items()]))
+        *[F.col(name).try_cast("double").alias(column) for name, column in fields.items()], *keep))
+
+
+def rejected(payloads: DataFrame) -> DataFrame:
+    """(reason, documents): documents that give no hour, counted; and those that do."""
+    reason = (F.when(F.col("hourly.time").isNotNull(), "accepted")
+              .when(F.col("_broken").isNotNull(), "malformed").otherwise("no hourly data"))
+    return payloads.groupBy(reason.alias("reason")).agg(F.count("*").alias("documents"))
+
+
+def unread_files(payloads: DataFrame) -> list[str]:
+    """Files that gave no document: empty, or so broken that they were passed over."""
+    seen = {r[0] for r in payloads.select("_file").distinct().collect()}  # names of files only
+    return sorted(f for f in payloads.inputFiles() if plain_path(f) not in seen)
+
+
+def plain_path(path: str) -> str:
+    return re.sub(r"^file:/+", "file:/", path)
 
 
 def read_payloads(spark: SparkSession, paths, fields: dict[str, str],
                   multi_line: bool = False) -> DataFrame:
-    """Payload documents, broken ones marked in ``_broken``.
+    """Payload documents, broken ones marked in ``_broken``, with their ``_file``.
+
+    A file that breaks while it is read (a cut archive) gives the documents before the break.
 
     One document per line by default, so that large files split; whole-file
     documents with ``multi_line``.
@@ -45,7 +73,9 @@ def read_payloads(spark: SparkSession, paths, fields: dict[str, str],
             .option("mode", "PERMISSIVE")
             .option("columnNameOfCorruptRecord", "_broken")
             .option("allowNonNumericNumbers", True)
-            .json(paths, multiLine=multi_line))
+            .option("ignoreCorruptFiles", True)
+            .json(paths, multiLine=multi_line)
+            .withColumn("_file", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/")))
 
 
 def require_hourly(payloads: DataFrame) -> None:
@@ -54,21 +84,21 @@ def require_hourly(payloads: DataFrame) -> None:
         raise ValueError("no payload with hourly data")
 
 
-def _read(spark, paths, fields, multi_line, check):
+def _read(spark, paths, fields, multi_line, check, default_station, keep):
     payloads = read_payloads(spark, paths, fields, multi_line)
     if check:
         require_hourly(payloads)
-    return unfold(payloads, fields)
+    return unfold(payloads, fields, default_station, keep)
 
 
-def read_air_quality(spark: SparkSession, paths, multi_line: bool = False,
-                     check: bool = True) -> DataFrame:
-    return _read(spark, paths, AIR_QUALITY_FIELDS, multi_line, check)
+def read_air_quality(spark: SparkSession, paths, multi_line: bool = False, check: bool = True,
+                     default_station: int = 0, keep: list[str] = ()) -> DataFrame:
+    return _read(spark, paths, AIR_QUALITY_FIELDS, multi_line, check, default_station, keep)
 
 
-def read_weather(spark: SparkSession, paths, multi_line: bool = False,
-                 check: bool = True) -> DataFrame:
-    return _read(spark, paths, WEATHER_FIELDS, multi_line, check)
+def read_weather(spark: SparkSession, paths, multi_line: bool = False, check: bool = True,
+                 default_station: int = 0, keep: list[str] = ()) -> DataFrame:
+    return _read(spark, paths, WEATHER_FIELDS, multi_line, check, default_station, keep)
 
 
 def to_payloads(rows: DataFrame, fields: dict[str, str]) -> DataFrame:

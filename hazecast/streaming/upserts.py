@@ -84,33 +84,30 @@ def affected_slice(raw: DataFrame, changed: DataFrame, block_rows: int) -> DataF
 
 
 def update_features(batch: DataFrame, raw_path: str, store_path: str,
-                    block_rows: int = layout.BLOCK_ROWS,
-                    lookback_days: int | None = None) -> None:
+                    block_rows: int = layout.BLOCK_ROWS) -> dict[str, int]:
     """One batch of observations into the raw store and the feature store.
 
-    ``lookback_days`` bounds how far back raw days are read. Set it where no
-    column is ever missing for longer; without it the changed stations' whole
-    series are read to place their rows.
+    The changed stations' whole series are read to place their rows: frames count rows, and
+    a column may have been missing for any time. Returns the feature store's row counts.
     """
     spark = batch.sparkSession
     raw_store = FeatureStore(spark, raw_path)
     upsert_raw(batch, raw_store)
-    raw = with_time(raw_store.read_days(lookback_days, batch)).drop("ingest_seq")
+    raw = with_time(raw_store.read()).drop("ingest_seq")
     changed = batch.groupBy("station_id").agg(F.min("timestamp").alias("since"))
     part = affected_slice(raw, changed, block_rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         made = build_features(part, block_rows=block_rows)
-        FeatureStore(spark, store_path).upsert(made.filter("remake").drop("remake"))
+        return FeatureStore(spark, store_path).upsert(made.filter("remake").drop("remake"))
     finally:
         part.unpersist()
 
 
 def run_features(spark: SparkSession, path: str, raw_path: str, store_path: str,
                  progress: str, files_per_batch: int | None = None,
-                 block_rows: int = layout.BLOCK_ROWS,
-                 lookback_days: int | None = None) -> DataFrame:
+                 block_rows: int = layout.BLOCK_ROWS) -> DataFrame:
     _each_batch(
         file_stream(spark, path, files_per_batch),
-        lambda batch: update_features(batch, raw_path, store_path, block_rows, lookback_days),
+        lambda batch: update_features(batch, raw_path, store_path, block_rows),
         progress)
     return FeatureStore(spark, store_path).read()

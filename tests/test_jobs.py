@@ -20,14 +20,15 @@ def test_backfill_hourly_training_and_serving(spark, tmp_path):
         payloads.write_payloads(air.filter(part), AIR_QUALITY_FIELDS, folders[n][0])
         payloads.write_payloads(weather.filter(part), WEATHER_FIELDS, folders[n][1])
     raw, store, csv, models = (f"{tmp_path}/{n}" for n in ("raw", "store", "csv", "models"))
-    skipped = jobs.backfill(spark, [*folders, ("/none/a", "/none/w")], raw, store, csv,
+    skipped, counts = jobs.backfill(spark, [*folders, ("/none/a", "/none/w")], raw, store, csv,
                             block_rows=512)
-    assert len(skipped) == 1
+    assert len(skipped) == 1 and counts["inserted"] == counts["prepared"] > 0 == counts["updated"]
     known = table.filter(F.dayofmonth("timestamp") <= 25)
     assert FeatureStore(spark, store).read().count() == known.count()
 
     # hours 21..30 arrive hourly: the store is as if built from all readings
-    jobs.hourly(air, weather, raw, store, sequence=1, past_days=10, block_rows=512)
+    counts = jobs.hourly(air, weather, raw, store, sequence=1, past_days=10, block_rows=512)
+    assert counts["inserted"] > 0 and counts["updated"] > 0
     want = build_features(table, block_rows=512).toPandas().sort_values("timestamp")
     got = FeatureStore(spark, store).read().select(*want.columns).toPandas().sort_values("timestamp")
     pd.testing.assert_frame_equal(got.reset_index(drop=True), want.reset_index(drop=True),
@@ -35,6 +36,7 @@ def test_backfill_hourly_training_and_serving(spark, tmp_path):
 
     schema = feature_csv.csv_schema(FeatureStore(spark, store).read())
     readers = [lambda: spark.read.parquet(f"{tmp_path}/none"),
+               lambda: FeatureStore(spark, f"{tmp_path}/empty").training_scan(),
                lambda: feature_csv.read_csv(spark, csv, schema),
                lambda: FeatureStore(spark, store).training_scan()]
     run = jobs.train(readers, models, {"ridge_regression": training.ridge})
@@ -48,6 +50,7 @@ def test_backfill_hourly_training_and_serving(spark, tmp_path):
     assert views["series"].count() == 4 and views["cards"].count() == 3
     assert views["current"].count() == 1 and views["pollutants"].count() == 6
     views["alerts"].collect()
+    assert views["report"].count() == 3 and views["importance"].count() == 30
 
 
 def test_hourly_without_context_starts_empty(spark, tmp_path):

@@ -1,4 +1,5 @@
 import datetime as dt
+import gzip
 import json
 
 import pandas as pd
@@ -149,3 +150,36 @@ def test_copies_without_an_order_and_with_equal_ones(spark):
     first = {r.timestamp: r.pm2_5 for r in matching.keep_first(df).collect()}
     last = {r.timestamp: r.pm2_5 for r in matching.keep_last(df).collect()}
     assert first == {t[0]: 5.0, t[1]: 2.0, t[2]: None} and last == {t[0]: 5.0, t[1]: 2.0, t[2]: 9.0}
+
+
+def test_documents_of_one_series_and_bad_values(spark, tmp_path):
+    """No station, a bad number, a field that is missing, a cut document, a cut archive."""
+    odd = {**AIR, "pm10": ["oops", 3.0]}
+    del odd["ozone"]
+    whole = json.dumps({"hourly": odd})
+    (tmp_path / "a.json").write_text(whole + "\n" + whole[:60] + "\n{}\n")
+    archive = gzip.compress(b"".join(json.dumps({"n": i}).encode() + b"\n" for i in range(20000)))
+    (tmp_path / "b.json.gz").write_bytes(archive[:40])
+    docs = payloads.read_payloads(spark, str(tmp_path), AIR_QUALITY_FIELDS)
+    rows = payloads.unfold(docs, AIR_QUALITY_FIELDS).orderBy("timestamp").collect()
+    assert [(r.station_id, r.pm2_5, r.pm10, r.o3, r.co) for r in rows] == [
+        (0, 1.5, None, None, 10.0), (0, None, 3.0, None, 11.0)]
+    assert payloads.unfold(docs, AIR_QUALITY_FIELDS, default_station=7).first().station_id == 7
+    counts = {r.reason: r.documents for r in payloads.rejected(docs).collect()}
+    assert counts["accepted"] == 1 and counts["malformed"] >= 1 and counts["no hourly data"] >= 1
+    assert [f.rsplit("/", 1)[1] for f in payloads.unread_files(docs)] == ["b.json.gz"]
+
+
+def test_backfill_reports_broken_folders(spark, tables, tmp_path):
+    air, weather = tables
+    folders = [(f"{tmp_path}/a{n}", f"{tmp_path}/w{n}") for n in range(4)]
+    for n in (0, 1, 2):
+        part = F.dayofmonth("timestamp").between(n * 4 + 1, n * 4 + 4)
+        payloads.write_payloads(air.filter(part), AIR_QUALITY_FIELDS, folders[n][0])
+        if n != 1:
+            payloads.write_payloads(weather.filter(part), WEATHER_FIELDS, folders[n][1])
+    (tmp_path / "w1").mkdir()
+    (tmp_path / "w1" / "a.json.gz").write_bytes(gzip.compress(b"{}\n" * 9999)[:30])
+    table, skipped = history.backfill(spark, folders, payloads.read_air_quality, payloads.read_weather)
+    assert skipped == [(folders[1][0], "no hourly data"), (folders[3][0], "no such folder")]
+    assert table.count() == 24 * 8

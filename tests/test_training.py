@@ -108,6 +108,15 @@ def test_save_load_and_forecast(spark, run, table, frame, tmp_path):
     models, names, metrics = training.load(spark, path)
     assert metrics.count() == 2 and spark.read.parquet(f"{path}/model_metrics").count() == 4
     assert {r.horizon for r in training.report(metrics).collect()} == {"24H", "72H"}
+    # a later run without the 72-hour target leaves that target's earlier model in place
+    less = training.Trained({"aqi_target_24h": run.models["aqi_target_24h"]}, run.feature_names,
+                            run.metrics.filter("target = 'aqi_target_24h'"),
+                            run.importance.filter("target = 'aqi_target_24h'"), {})
+    third = training.save(less, path)
+    models, names, metrics = training.load(spark, path)
+    runs = {r.target: r.run for r in metrics.collect()}
+    assert set(models) == {"aqi_target_24h", "aqi_target_72h"} and runs["aqi_target_24h"] == third != runs["aqi_target_72h"]
+    assert training.newest_importance(spark, path).count() == run.importance.count()
     got = forecasting.forecast(table.drop("b"), models, names).collect()
     assert [r.timestamp for r in got] == [frame.timestamp.max()] * 2
     same_run = {r.station_id: r for r in forecasting.forecast(
