@@ -130,7 +130,8 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
     A candidate that knows neither, such as a fixed rule, has none.
     """
     names, fitted = model.stages[0].getInputCols(), model.stages[-1]
-    if not isinstance(fitted, PipelineModel) and not hasattr(fitted, "featureImportances"):
+    learner = fitted.stages[-1] if isinstance(fitted, PipelineModel) else fitted
+    if not hasattr(learner, "coefficients") and not hasattr(learner, "featureImportances"):
         return []
     if isinstance(fitted, PipelineModel):
         selector, linear = fitted.stages

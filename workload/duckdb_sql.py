@@ -308,6 +308,25 @@ def metrics_sql() -> str:
         + ", count(*) AS n FROM scored GROUP BY 1")
 
 
+def constant_models_sql() -> str:
+    """Rules that say one number of the training labels; the first target has been retrained."""
+    first = TARGETS[0]
+    parts = " UNION ALL ".join(
+        f"SELECT '{t}' AS target, {KEY}, {t} AS y FROM made WHERE {t} IS NOT NULL" for t in TARGETS)
+    rules = " UNION ALL ".join(
+        f"SELECT target, {n} AS nth, '{model}' AS model, {f}(y) AS p FROM split WHERE is_train GROUP BY target"
+        for n, (model, f) in enumerate((("mean", "avg"), ("greatest", "max"), ("least", "min"))))
+    return with_core(
+        f", {targets_table()}, labelled AS ({parts}), split AS (SELECT *, "
+        f"row_number() OVER (PARTITION BY target, station_id ORDER BY timestamp) - 1 < "
+        "floor(count(*) OVER (PARTITION BY target, station_id) * 0.8e0) AS is_train FROM labelled), "
+        f"rules AS ({rules}), tried AS (SELECT target, nth, model, sqrt(avg((y - p) * (y - p))) AS rmse, "
+        "avg(abs(y - p)) AS mae FROM split JOIN rules USING (target) WHERE NOT is_train GROUP BY ALL), "
+        f"kept AS (SELECT * FROM tried WHERE target <> '{first}' OR model = 'greatest' QUALIFY "
+        "row_number() OVER (PARTITION BY target ORDER BY rmse, nth) = 1) "
+        f"SELECT target, model, {rounded(['rmse', 'mae'])}, (SELECT count(*) FROM made) AS training_rows FROM kept")
+
+
 def shown(c: str, digits: int, unit: str) -> str:
     pattern = f"%.{digits}f{unit}".replace("%'", "%%'")
     return f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('{pattern}', {c}) END AS {c}"
@@ -562,3 +581,10 @@ ORACLES = {
     "backfill_features": feature_sql(),
     "hourly_features": feature_sql(last_days=5),
 }
+ORACLES["stream_replay"] = ORACLES["stream_upsert"]
+ORACLES["source_fallback"] = ORACLES["features_csv_roundtrip"]
+ORACLES["models_by_target"] = constant_models_sql()
+ORACLES["payload_rejects"] = with_air(
+    "SELECT CASE day(timestamp) % 7 WHEN 0 THEN 'malformed' WHEN 1 THEN 'no hourly data' "
+    "ELSE 'accepted' END AS reason, count(DISTINCT (station_id, CAST(timestamp AS DATE))) AS documents "
+    "FROM air GROUP BY 1")

@@ -1,5 +1,7 @@
 """One Spark query per operator, over sensor tables read from ``events``."""
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -105,6 +107,25 @@ def backfill_union(spark, folder):
     return shown(combined)
 
 
+def payload_rejects(spark, folder):
+    """Documents of two days in seven are spoiled: one cut short, one without hours."""
+    path = work_folder(spark, "spoiled")
+    docs = payloads.to_payloads(air(spark, folder), AIR_QUALITY_FIELDS)
+    line, kind = F.to_json(F.struct("station_id", "hourly")), F.dayofmonth(F.col("hourly.time")[0]) % 7
+    docs.select(F.when(kind == 0, F.substring(line, 1, 60))
+                .when(kind == 1, F.to_json(F.struct("station_id"))).otherwise(line)).write.text(path)
+    return payloads.rejected(payloads.read_payloads(spark, path, AIR_QUALITY_FIELDS))
+
+
+def source_fallback(spark, folder):
+    """A folder that is not there, an empty store, then the table itself."""
+    root = work_folder(spark, "fallback")
+    return shown(history.first_available([
+        lambda: spark.read.parquet(f"{root}/none"),
+        lambda: feature_store.FeatureStore(spark, f"{root}/store").training_scan(),
+        lambda: core(spark, folder).limit(0), lambda: core(spark, folder)]))
+
+
 def features_csv_roundtrip(spark, folder):
     path = work_folder(spark, "csv")
     table = core(spark, folder)
@@ -333,6 +354,27 @@ def model_report(spark, folder):
     return training.report(metrics)
 
 
+def always(aggregate):
+    """A candidate that says the same for every row: one number of the training labels."""
+    def estimator(train):
+        value = train.agg(aggregate("label")).first()[0]
+        return Pipeline(stages=[SQLTransformer(
+            statement=f"SELECT *, {value!r}D AS prediction FROM __THIS__")])
+    return estimator
+
+
+def models_by_target(spark, folder):
+    """All targets in one run, one of them again in a later run; what is loaded is listed."""
+    path = work_folder(spark, "models")
+    table = with_targets(spark, folder)
+    rules = {"mean": always(F.avg), "greatest": always(F.max), "least": always(F.min)}
+    training.save(training.train(table, candidates=rules, minimum=1), path)
+    training.save(training.train(table, [TARGETS[0]], {"greatest": rules["greatest"]}, minimum=1), path)
+    models, _, metrics = training.load(spark, path)
+    return shown(metrics.filter(F.col("target").isin(list(models))).select(
+        "target", "model", "rmse", "mae", "training_rows"))
+
+
 def forecast(spark, folder):
     table = feature_table(spark, folder)
     run = training.train(table, candidates={"ridge_regression": training.ridge})
@@ -436,6 +478,15 @@ def stream_upsert(spark, folder):
         spark, f"{root}/in", f"{root}/store", f"{root}/progress"))
 
 
+def stream_replay(spark, folder):
+    """The same files once more, as after a lost progress log: nothing changes."""
+    root = work_folder(spark, "stream-replay")
+    copies(spark, folder).write.parquet(f"{root}/in")
+    for run in (1, 2):
+        made = stream_upserts.run_upserts(spark, f"{root}/in", f"{root}/store", f"{root}/progress-{run}")
+    return shown(made)
+
+
 def stream_features(spark, folder):
     """Observations arrive in two drops; features equal one whole build."""
     root = work_folder(spark, "stream-features")
@@ -543,4 +594,8 @@ QUERIES = {
     "stream_weekly_mean": stream_means("week"),
     "stream_upsert": stream_upsert,
     "stream_features": stream_features,
+    "stream_replay": stream_replay,
+    "payload_rejects": payload_rejects,
+    "source_fallback": source_fallback,
+    "models_by_target": models_by_target,
 }
