@@ -6,6 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 from workload.check import compare, database
+from workload.duckdb_sql import ORACLES
+from workload.spark_queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 # the rest runs with `python -m workload.check`
@@ -14,7 +16,8 @@ QUICK = ["parse_air_quality", "scan_recent", "backfill_chunks", "join_match_repo
          "aqi_category", "pollutant_breakdown", "ewma", "feature_build", "feature_build_time",
          "eda_describe", "eda_corr_matrix", "resample_weekly", "category_distribution",
          "outlier_summary", "time_split", "regression_metrics", "forecast_alerts",
-         "current_conditions", "upsert_features", "stream_daily_mean"]
+         "current_conditions", "upsert_features", "stream_daily_mean", "payload_rejects",
+         "source_fallback"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
 
@@ -23,7 +26,8 @@ def test_contract():
     assert set(contract.oracle_sql()) <= set(contract.queries())
     fits = {"ridge_fit", "forest_fit", "gbt_fit", "model_selection", "feature_importance",
             "model_report", "forecast"}
-    assert set(contract.queries()) - set(contract.oracle_sql()) == fits
+    assert set(QUERIES) - set(ORACLES) == fits
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", QUICK)

@@ -366,7 +366,8 @@ def always(aggregate):
 def models_by_target(spark, folder):
     """All targets in one run, one of them again in a later run; what is loaded is listed."""
     path = work_folder(spark, "models")
-    table = with_targets(spark, folder)
+    with_targets(spark, folder).write.parquet(f"{path}-table")
+    table = spark.read.parquet(f"{path}-table")
     rules = {"mean": always(F.avg), "greatest": always(F.max), "least": always(F.min)}
     training.save(training.train(table, candidates=rules, minimum=1), path)
     training.save(training.train(table, [TARGETS[0]], {"greatest": rules["greatest"]}, minimum=1), path)
