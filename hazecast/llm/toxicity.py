@@ -121,7 +121,9 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
     # a word of toxic texts alone is 1 / prior times as common there as in all texts
     chance = (F.col("in_u") + 1) * sizes[0] / max(1, sizes[1])
     telling = (F.col("in_p") * prior > 0.5 * chance) & (F.col("in_p") - chance > 5 * F.sqrt(chance))
-    kept = [r[0] for r in counted.filter((F.col("in_p") >= least_documents) & telling)
+    # a word of a few copies of one text tells nothing: one in a hundred toxic texts has it
+    enough = F.col("in_p") >= max(least_documents, sizes[0] / 100)
+    kept = [r[0] for r in counted.filter(enough & telling)
             .orderBy(F.desc("in_p"), "feature").limit(most_features).select("feature").collect()]
     place = {f: i for i, f in enumerate(kept)}
 
@@ -134,8 +136,19 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
 
     points = arrow_map(sample, indexed, "p boolean, u boolean, features array<int>").toPandas()
     points = points.sort_values("features", key=lambda s: s.map(tuple), ignore_index=True)
-    weights, bias = fit_nnpu(list(points.features[points.p]), list(points.features[points.u]),
-                             len(kept), prior)
+    positive, unlabelled = list(points.features[points.p]), list(points.features[points.u])
+    # a first fit with a strong pull to zero chooses features, a second one weighs them: many
+    # small weights would add up in long texts
+    chosen, _ = fit_nnpu(positive, unlabelled, len(kept), prior, sparsity=2e-4)
+    places = np.flatnonzero(chosen > 0.05)
+    renumber = np.full(len(kept), -1)
+    renumber[places] = np.arange(len(places))
+
+    def only_chosen(texts):
+        return [r[r >= 0] for r in (renumber[np.asarray(t, dtype=np.int64)] for t in texts)]
+
+    weights, bias = fit_nnpu(only_chosen(positive), only_chosen(unlabelled), len(places), prior)
+    kept = [kept[i] for i in places]
     return {"weights": {f: float(w) for f, w in zip(kept, weights) if w}, "bias": float(bias)}
 
 
