@@ -120,7 +120,7 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
     sizes = chosen.agg(F.count_if("p"), F.count_if("u")).first()
     # a word of toxic texts alone is 1 / prior times as common there as in all texts
     chance = (F.col("in_u") + 1) * sizes[0] / max(1, sizes[1])
-    telling = (F.col("in_p") * prior > 0.5 * chance) & (F.col("in_p") - chance > 5 * F.sqrt(chance))
+    telling = (F.col("in_p") * prior > 0.75 * chance) & (F.col("in_p") - chance > 5 * F.sqrt(chance))
     # a word of a few copies of one text tells nothing: one in a hundred toxic texts has it
     enough = F.col("in_p") >= max(least_documents, sizes[0] / 100)
     kept = [r[0] for r in counted.filter(enough & telling)
