@@ -359,9 +359,14 @@ def one_of_each(docs: DataFrame, radius: int = 3, id_column: str = "doc_id", tex
     text = F.coalesce(F.col(text_column), F.lit(""))
     marks = docs.select(F.col(id_column).alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
     marked = stored(fingerprints(marks, "id", "text", ["mark"]), "fingerprints")
-    best = with_components(marked, radius).groupBy("root").agg(
+    return least_rows(docs, with_components(marked, radius), id_column, text_column)
+
+
+def least_rows(docs: DataFrame, rooted: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """Of each root in ``rooted`` (id, mark, root) the row of the least id; mark: xxhash64 of the text."""
+    best = rooted.groupBy("root").agg(
         F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("b")).select(
         F.col("b.id").alias("__id"), F.col("b.mark").alias("__mark"))
-    ours = docs.withColumn("__text_mark", F.xxhash64(text))
+    ours = docs.withColumn("__text_mark", F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))))
     same = ours[id_column].eqNullSafe(best["__id"]) & (ours["__text_mark"] == best["__mark"])
     return ours.join(best, same, "left_semi").dropDuplicates([id_column, "__text_mark"]).select(*docs.columns)
