@@ -239,11 +239,12 @@ def text_key(column: str):
 
 
 def repeated_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_column: str = "text",
-                   group_bytes: int = GROUP_BYTES) -> DataFrame:
+                   group_bytes: int = GROUP_BYTES, least_words: int = 0) -> DataFrame:
     """(key, spans, kept, kept_text) of each distinct text that loses bytes.
 
     ``key`` is the MD5 of the text (null counts as empty), ``spans`` the maximal removed runs
     (start, end) in bytes, ``kept`` the bytes left, ``kept_text`` those less parts of characters. Copies of a text count as other places.
+    With ``least_words``, runs of fewer words (a part of one counts) and under ``LENGTH`` bytes stay.
     """
     texts = docs.select(text_key(text_column).alias("key"),
                         F.coalesce(F.col(text_column), F.lit("")).alias("text"))
@@ -295,6 +296,7 @@ def repeated_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
                         runs[-1][1] = max(runs[-1][1], end)
                     else:
                         runs.append([start, end])
+                runs = [(a, b) for a, b in runs if b - a >= LENGTH or len(data[a:b].split()) >= least_words]
                 edges = [0, *(x for r in runs for x in r), len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2])))
                 spans.append([{"start": a, "end": b} for a, b in runs])
@@ -304,7 +306,8 @@ def repeated_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
                 names=["key", "spans", "kept", "kept_text"])
 
     return arrow_map(held.join(covers, "key").select("key", "text", "covers"), cut,
-                     "key binary, spans array<struct<start: long, end: long>>, kept binary, kept_text string")
+                     "key binary, spans array<struct<start: long, end: long>>, kept binary, kept_text string"
+                     ).filter(F.size("spans") > 0)
 
 
 def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column: str = "doc_id",
@@ -326,13 +329,13 @@ def removals(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_column:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text_column: str = "text",
-                    chars_column: str | None = "n_chars") -> DataFrame:
+                    chars_column: str | None = "n_chars", least_words: int = 0) -> DataFrame:
     """Rows of ``docs``, all columns, with the repeated bytes taken out of the text.
 
     A cut inside a character drops what is left of it. The column of text lengths follows,
     if there is one. Untouched rows stay as they are, null texts too.
     """
-    cuts = repeated_texts(docs, length, gram, text_column).select(
+    cuts = repeated_texts(docs, length, gram, text_column, least_words=least_words).select(
         F.col("key").alias("__key"), F.col("kept_text").alias("__kept"))
     joined = docs.withColumn("__text_key", text_key(text_column)).join(
         cuts, F.col("__text_key") == F.col("__key"), "left")

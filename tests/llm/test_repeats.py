@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from hazecast.llm import repeats
 from llm_helpers import documents, hard_rows, prose
 
@@ -93,3 +94,31 @@ def test_hard_rows_and_empty_table(spark):
     assert by_id[2] is None and by_id[5] == by_id[6] == "" and by_id[9] == ""
     assert repeats.removals(documents(spark, [])).count() == 0
     assert repeats.without_repeats(documents(spark, [])).count() == 0
+
+
+def test_stage_takes_passages_of_over_50_words(spark):
+    """Planted amid differing text, of short words and of long ones; shorter repeats stay."""
+    letters = " ".join("abcdefghijklmnopqrstuvwxy"[i % 25] for i in range(51))
+    passages = {n: prose(n, 900 + n) for n in (51, 52, 55, 60)} | {1: letters}
+    below = prose(45, 990)  # under 400 bytes and under 50 words
+    texts, wanted = [], []
+    for i in range(4):
+        for n, passage in passages.items():
+            head, tail = prose(30, 10 * n + i) + f" {i}", f"{i} " + prose(30, 5000 + 10 * n + i)
+            texts.append(f"{head} {passage} {tail}")
+            wanted.append(head + tail)
+        texts.append(f"{prose(30, 7000 + i)} {i} {below} {i} {prose(30, 8000 + i)}")
+        wanted.append(texts[-1])
+    assert all(len(p) < 400 for p in passages.values()) and len(letters) == 101 and 101 < len(below) < 400
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.text for r in corpus_pipeline.without_repeats(spark, docs, "").collect()}
+    assert got == dict(enumerate(wanted))
+
+
+@pytest.mark.parametrize("gram", [32, 64])
+def test_short_length_equals_brute_force(spark, gram):
+    texts = mixture()[40:]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    got = sorted((r.n_bytes, [(s.start, s.end) for s in r.spans], r.kept_sha256)
+                 for r in repeats.removals(docs, 101, gram).collect())
+    assert got == sorted(brute(texts, 101))
