@@ -8,19 +8,21 @@ class prior p, positives P and unlabelled U, the risk is
 The second part estimates the risk on clean texts; when it falls below zero the fit has
 begun to memorise, and the step goes against that part alone. A proximal step keeps the
 weights sparse. Features of a text are its distinct words and their first letters; those
-far more common among toxic texts than elsewhere are selected by counts that Spark makes
-over the sample.
+far more common among toxic texts than elsewhere are selected by counts over all texts. Texts
+without such a feature are alike to the fit and enter it as one number, so its bounded sample
+of unlabelled texts is drawn from those that have one, however rare these are.
 """
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazecast.llm.common import arrow_map
+from hazecast.llm.common import arrow_map, stored
 
 WORDS = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5, 6, 7, 8)
@@ -35,9 +37,33 @@ def document_features(text: str | None) -> set[str]:
     return {f for w in set(WORDS.findall((text or "").lower())) for f in features_of(w)}
 
 
+def _remembered(chosen: dict | None = None, most_known: int = 300_000):
+    """``document_features``, less those not ``chosen``, that remembers the features of words."""
+    known: dict[str, tuple] = {}
+
+    def features(text: str | None) -> set[str]:
+        out: set = set()
+        for word in set(WORDS.findall((text or "").lower())):
+            found = known.get(word)
+            if found is None:
+                found = tuple(f for f in features_of(word) if chosen is None or f in chosen)
+                if len(known) < most_known:
+                    known[word] = found
+            out.update(found)
+        return out
+
+    return features
+
+
 def fit_nnpu(positive: list, unlabelled: list, features: int, prior: float, steps: int = 800,
-             rate: float = 0.3, sparsity: float = 2e-5, slack: float = 0.0):
-    """Weights and bias from lists of feature-index arrays, one per text."""
+             rate: float = 0.3, sparsity: float = 2e-5, slack: float = 0.0, blank: float = 0.0):
+    """Weights and bias from lists of feature-index arrays, one per text.
+
+    ``blank`` is the share of unlabelled texts that are not listed as they have no feature. A
+    prior under 0.1 weakens the pull to zero in step with the gradients, which have it as a factor.
+    """
+    sparsity *= min(1.0, prior / 0.1)
+
     def packed(texts):
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in texts] or [np.zeros(0, np.int64)])
@@ -60,8 +86,11 @@ def fit_nnpu(positive: list, unlabelled: list, features: int, prior: float, step
 
     for _ in range(steps):
         zp, zu = scores(pos), scores(unl)
-        clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gw, gb = pull(unl, sigmoid(zu) / len(zu))
+        listed = (1 - blank) / max(1, len(zu))
+        clean = (np.logaddexp(0, zu).sum() * listed + blank * np.logaddexp(0, bias)
+                 - prior * np.logaddexp(0, zp).mean())
+        gw, gb = pull(unl, sigmoid(zu) * listed)
+        gb += blank * sigmoid(bias)
         minus = pull(pos, prior * sigmoid(zp) / len(zp))
         gw, gb = gw - minus[0], gb - minus[1]
         if clean < -slack:
@@ -83,8 +112,9 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
             text_column: str = "text", label_column: str = "toxic") -> dict:
     """A model {weights: feature -> weight, bias} from the texts of ``docs``.
 
-    Fitted on about ``most_positive`` texts labelled 1 and ``most_unlabelled`` texts of any
-    label, chosen by a hash of their id. The prior is the share of 1 among labelled rows. Of
+    Features are chosen by the texts of all rows that have them, and fitted on about
+    ``most_positive`` texts labelled 1 and ``most_unlabelled`` texts of any label with a chosen
+    feature, drawn by a hash of their id. The prior is the share of 1 among labelled rows. Of
     labels with one id the largest counts; null labels and ids do not. Without texts labelled
     1 the model has no weights and a score of zero.
     """
@@ -97,49 +127,69 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
         return {"weights": {}, "bias": -math.inf}
     prior = min(max(positives / labelled, 1e-4), 0.9)
 
-    def share(most, of, salt):
-        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 20)) < int(min(1, most / of) * (1 << 20))
+    # stored, so that its true size decides how texts meet it
+    toxic = stored(known.filter("label = 1").select("id", F.lit(True).alias("p")), "toxic-ids")
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(toxic, "id", "left").select(
+        F.coalesce("p", F.lit(False)).alias("p"), "id", "text")
 
-    as_positive = F.coalesce(F.col("positive"), F.lit(False)) & share(most_positive, positives, 1)
-    as_unlabelled = share(most_unlabelled, rows, 2)
-    chosen = tagged.select("id", as_positive.alias("p"), as_unlabelled.alias("u")).filter("p or u")
-    # bounded by the two parameters: the limit only meets tables whose ids repeat
-    chosen = chosen.distinct().limit(2 * (most_positive + most_unlabelled))
-    sample = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(
-        F.broadcast(chosen), "id").select("p", "u", "text")
+    def tallied(batches):
+        """Counts of each feature over many texts; a feature may come several times."""
+        def rows_of(every, bad):
+            names = list(every)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array([bad[f] for f in names], pa.int64()),
+                 pa.array(every.values(), pa.int64())], names=["feature", "in_p", "in_u"])
 
-    def listed(batches):
+        found, every, bad = _remembered(), Counter(), Counter()
         for batch in batches:
-            found = [sorted(document_features(t)) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(
-                found, pa.list_(pa.string()))], names=["p", "u", "features"])
-
-    counted = arrow_map(sample, listed, "p boolean, u boolean, features array<string>").select(
-        "p", "u", F.explode("features").alias("feature")).groupBy("feature").agg(
-        F.count_if("p").alias("in_p"), F.count_if("u").alias("in_u"))
-    sizes = chosen.agg(F.count_if("p"), F.count_if("u")).first()
+            for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                features = found(text)
+                every.update(features)
+                if p:
+                    bad.update(features)
+                if len(every) > 200_000:
+                    yield rows_of(every, bad)
+                    every, bad = Counter(), Counter()
+        if every:
+            yield rows_of(every, bad)
+
+    counted = arrow_map(texts.select("p", "text"), tallied, "feature string, in_p long, in_u long").groupBy(
+        "feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
     # a word of toxic texts alone is 1 / prior times as common there as in all texts
-    chance = (F.col("in_u") + 1) * sizes[0] / max(1, sizes[1])
+    chance = (F.col("in_u") + 1) * positives / rows
     telling = (F.col("in_p") * prior > 0.75 * chance) & (F.col("in_p") - chance > 5 * F.sqrt(chance))
-    # a word of a few copies of one text tells nothing: one in a hundred toxic texts has it
-    enough = F.col("in_p") >= max(least_documents, sizes[0] / 100)
-    kept = [r[0] for r in counted.filter(enough & telling)
+    kept = [r[0] for r in counted.filter((F.col("in_p") >= least_documents) & telling)
             .orderBy(F.desc("in_p"), "feature").limit(most_features).select("feature").collect()]
     place = {f: i for i, f in enumerate(kept)}
 
     def indexed(batches):
+        """Texts that have a chosen feature, and all toxic ones."""
+        found = _remembered(place)
         for batch in batches:
-            found = [sorted(place[f] for f in document_features(t) if f in place)
-                     for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(
-                found, pa.list_(pa.int32()))], names=["p", "u", "features"])
+            lists = [sorted(place[f] for f in found(t)) for t in batch.column(2).to_pylist()]
+            out = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lists, pa.list_(pa.int32()))],
+                                             names=["p", "id", "features"])
+            yield out.filter(pa.array([p or bool(x) for p, x in zip(batch.column(0).to_pylist(), lists)], pa.bool_()))
 
-    points = arrow_map(sample, indexed, "p boolean, u boolean, features array<int>").toPandas()
+    kind = docs.schema[id_column].dataType.simpleString()
+    points = stored(arrow_map(texts, indexed, f"p boolean, id {kind}, features array<int>"), "points")
+    having = points.filter(F.size("features") > 0).count()
+
+    def share(most, of, salt):
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 20)) < int(min(1, most / max(1, of)) * (1 << 20))
+
+    points = points.select((F.col("p") & share(most_positive, positives, 1)).alias("p"),
+                           ((F.size("features") > 0) & share(most_unlabelled, having, 2)).alias("u"), "features")
+    # bounded by the two parameters: the limit only meets tables whose ids repeat
+    points = points.filter("p or u").limit(2 * (most_positive + most_unlabelled)).toPandas()
+    if not points.p.any():
+        return {"weights": {}, "bias": math.log(prior / (1 - prior))}
     points = points.sort_values("features", key=lambda s: s.map(tuple), ignore_index=True)
     positive, unlabelled = list(points.features[points.p]), list(points.features[points.u])
+    blank = 1 - having / rows
     # a first fit with a strong pull to zero chooses features, a second one weighs them: many
     # small weights would add up in long texts
-    chosen, _ = fit_nnpu(positive, unlabelled, len(kept), prior, sparsity=2e-4)
+    chosen, _ = fit_nnpu(positive, unlabelled, len(kept), prior, sparsity=2e-4, blank=blank)
     places = np.flatnonzero(chosen > 0.05)
     renumber = np.full(len(kept), -1)
     renumber[places] = np.arange(len(places))
@@ -147,7 +197,7 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
     def only_chosen(texts):
         return [r[r >= 0] for r in (renumber[np.asarray(t, dtype=np.int64)] for t in texts)]
 
-    weights, bias = fit_nnpu(only_chosen(positive), only_chosen(unlabelled), len(places), prior)
+    weights, bias = fit_nnpu(only_chosen(positive), only_chosen(unlabelled), len(places), prior, blank=blank)
     kept = [kept[i] for i in places]
     return {"weights": {f: float(w) for f, w in zip(kept, weights) if w}, "bias": float(bias)}
 

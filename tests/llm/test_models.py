@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from hazecast.llm import languages, toxicity
 from llm_helpers import documents, hard_rows, prose
@@ -32,6 +33,28 @@ def test_toxicity_on_held_out_texts(spark):
     assert again == model
 
 
+@pytest.mark.parametrize("every, stems", [(100, 70), (1000, 10)])
+def test_rare_toxicity(spark, every, stems):
+    """One text in 100 or 1,000 is toxic, by one of many stems; each stem is in few of them."""
+    draw = random.Random(every)
+    plain = prose(5000, every, "abcdefghijklmnop").split()
+    bad = ["q" + "".join(draw.choice("rstuvwxyz") for _ in range(8)) for _ in range(stems)]
+    rows = []
+    for i in range(100_000):
+        words = draw.choices(plain, k=10)
+        if i % every == 0:
+            words[draw.randrange(10)] = draw.choice(bad)
+        rows.append((i, " ".join(words), "en", "a"))
+    docs = documents(spark, rows, extra=False).repartition(8)
+    held = "pmod(xxhash64(doc_id), 3) = 1"
+    known = docs.selectExpr("doc_id", f"CAST(doc_id % {every} = 0 AS int) AS toxic").filter(f"NOT {held}")
+    model = toxicity.trained(docs.filter(f"NOT {held}"), known)
+    got = toxicity.scored(docs.filter(held), model).selectExpr(f"doc_id % {every} = 0 AS bad", "score >= 0.7 AS called")
+    n = {(r.bad, r.called): r["count"] for r in got.groupBy("bad", "called").count().collect()}
+    assert n[True, True] > 0.8 * (n[True, True] + n.get((True, False), 0))
+    assert n.get((False, True), 0) < 0.002 * n[False, False]
+
+
 def test_the_risk_does_not_go_negative():
     """Without the correction, single features of positives would run away."""
     positive = [[i] for i in range(20)]
