@@ -1,5 +1,7 @@
 """Known licence texts: fixed values, published by their authors for verbatim use."""
 
+from pathlib import Path
+
 MIT = """MIT License
 
 Copyright (c) <year> <copyright holders>
@@ -96,6 +98,9 @@ the original software.
 3. This notice may not be removed or altered from any source distribution.
 """
 
+#: Whole texts of longer licences, named by file.
+FILES = sorted((Path(__file__).parent / "license_files").glob("*.txt"))
+
 #: Name and text; a name may have several texts.
 KNOWN = [
     ("MIT", MIT), ("ISC", ISC), ("0BSD", ZERO_BSD), ("Zlib", ZLIB),
@@ -105,6 +110,7 @@ KNOWN = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    *((f.stem, f.read_text("utf-8")) for f in FILES),
 ]
 
 #: Spellings that count as equal (published guidelines for matching licence texts).

@@ -19,6 +19,18 @@ def test_every_known_text_is_found(spark):
     assert got == {i: name for i, (name, _) in enumerate(KNOWN)}
 
 
+def test_whole_texts_of_long_licenses(spark):
+    """Each from its title on to its end, in other line breaks; a notice inside a text is no match."""
+    names = {"Apache-2.0", "GPL-1.0-only", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.0-only", "LGPL-2.1-only",
+             "LGPL-3.0-only", "MPL-1.1", "MPL-2.0", "CC0-1.0", "GFDL-1.2-only", "GFDL-1.3-only", "Artistic-1.0-Perl"}
+    whole = {name: max((t for n, t in KNOWN if n == name), key=len) for name in sorted(names & {n for n, _ in KNOWN})}
+    assert {*whole} == names and all(len(t) > 5000 for t in whole.values())
+    rows = [(i, "\r\n".join(t.split("\n")), "en", "a") for i, t in enumerate(whole.values())]
+    rows.append((99, "A program.\nLicensed under the Apache License, Version 2.0.", "en", "a"))
+    got = {r.doc_id: r.license for r in licenses.scanned(documents(spark, rows)).collect()}
+    assert got == {**dict(enumerate(whole)), 99: None}
+
+
 def test_hard_rows_and_ties(spark):
     rows = hard_rows()
     got = licenses.scanned(documents(spark, rows)).collect()
