@@ -4,8 +4,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hazecast.llm import languages, licenses, mixing, neighbours, packing, ranking, repeats, simhash, toxicity, url_rules
+from hazecast.llm import (
+    languages, licenses, max_score, mixing, neighbours, packing, ranking, repeats, simhash, token_files, toxicity,
+    url_rules, whitening)
 from hazecast.llm.common import bucket_of, table
+from hazecast.session import work_folder
 
 #: Rules (host, path, verdict) of the url query.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"),
@@ -71,5 +74,22 @@ def op10_languages(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs, path = table(spark, folder, "documents"), work_folder(spark, "token-files")
+    token_files.write(docs, path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, path).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"), "frames")
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.components(table(spark, folder, "embeddings"))
+
+
+def op13_max_score(spark: SparkSession, folder: str) -> DataFrame:
+    index = max_score.build_index(table(spark, folder, "documents"))
+    return max_score.search(index, table(spark, folder, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_packing, op3_bm25, op4_simhash, op5_neighbours, op6_repeats, op7_mixing, op8_toxicity, op9_url_rules, op10_languages)}
+    op1_license_scan, op2_packing, op3_bm25, op4_simhash, op5_neighbours, op6_repeats, op7_mixing, op8_toxicity,
+    op9_url_rules, op10_languages, op11_token_files, op12_whitening, op13_max_score)}

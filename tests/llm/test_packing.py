@@ -20,7 +20,8 @@ def test_ids_are_those_of_tokenizers(text):
     assert ENCODER.ids(text) == REFERENCE.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", " " * 3000, "x" * 5000, "\n\n \t" * 500])
+@pytest.mark.parametrize("text", ["a<|endoftext|>b", "<|endoftext|>", " " * 3000, "x" * 5000, "\n\n \t" * 500,
+                                  "\n " * 500000, " " * 1000000])
 def test_ids_of_odd_texts(text):
     assert ENCODER.ids(text) == REFERENCE.encode(text, add_special_tokens=False).ids
 
