@@ -121,8 +121,26 @@ def _combined(earlier: str, later: str) -> str:
     return f"CASE WHEN {earlier} IS NULL THEN {later} WHEN {later} IS NOT NULL THEN {both} END"
 
 
-def block_states(df: DataFrame, block_rows: int) -> DataFrame:
-    """State each block starts with, one row per (station, block)."""
+def state_columns() -> list[str]:
+    """Columns that hold a series' state after a row: mean and weight per column and span."""
+    return [f"{c}_{part}_{span}" for c in WINDOWED for span in EWMA_SPANS for part in ("mean", "weight")]
+
+
+def _seeded(seed: DataFrame) -> DataFrame:
+    """States from before the first row, as those of a block ahead of all others."""
+    states = []
+    for c in WINDOWED:
+        parts = {span: (f"{c}_mean_{span}", f"{c}_weight_{span}") for span in EWMA_SPANS}
+        known = f"{c}_mean_{EWMA_SPANS[0]} IS NOT NULL"
+        states.append(f"CASE WHEN {known} THEN {_state('CAST(-1 AS BIGINT)', parts)} END AS {c}")
+    return seed.selectExpr("station_id", "CAST(-1 AS BIGINT) AS block", *states)
+
+
+def block_states(df: DataFrame, block_rows: int, seed: DataFrame | None = None) -> DataFrame:
+    """State each block starts with, one row per (station, block).
+
+    ``seed`` has ``state_columns`` of series that began before their first row here.
+    """
     k = f"(pos - block * {block_rows})"
     sums, states = [], []
     for c in WINDOWED:
@@ -137,6 +155,8 @@ def block_states(df: DataFrame, block_rows: int) -> DataFrame:
         states.append(f"CASE WHEN {c}_k IS NOT NULL THEN {state} END AS {c}")
     totals = layout.with_block(df, block_rows).groupBy("station_id", "block").agg(*sums)
     own = totals.selectExpr("station_id", "block", *states)
+    if seed is not None:
+        own = own.unionByName(_seeded(seed))
 
     before = ("OVER (PARTITION BY station_id ORDER BY block "
               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
@@ -173,6 +193,21 @@ def ewma_from(block_rows: int) -> dict[str, str]:
     return out
 
 
+def ewma_weights(block_rows: int) -> dict[str, str]:
+    """The weight behind each mean, as seen at its row: with the mean, the state after it."""
+    out = {}
+    for c in WINDOWED:
+        state = f"{c}_carry"
+        for span in EWMA_SPANS:
+            w, d = f"_{c}_w{span}", f"{decay(span)!r}D"
+            aged = f"pow({d}, pos - block * {block_rows})"
+            carried = f"{state}.weight_{span} * pow({d}, pos - {state}.last)"
+            out[f"{c}_weight_{span}"] = (
+                f"CASE WHEN {w} IS NULL THEN {carried} WHEN {state} IS NULL THEN {w} * {aged} "
+                f"ELSE {w} * {aged} + {carried} END")
+    return out
+
+
 GROUPS = {
     "rolling_mean": rolling_mean,
     "rolling_std": rolling_std,
@@ -184,11 +219,13 @@ GROUPS = {
 
 
 def with_window_features(df: DataFrame, groups: list[str], frame: str = "rows",
-                         block_rows: int = layout.BLOCK_ROWS) -> DataFrame:
+                         block_rows: int = layout.BLOCK_ROWS, seed: DataFrame | None = None,
+                         weights: bool = False) -> DataFrame:
     """Add the named groups (keys of ``GROUPS``, and ``ewma``).
 
     ``frame="rows"`` counts rows of the series, ``frame="time"`` counts hours,
-    which differ where hours are missing.
+    which differ where hours are missing. For parts of series, ``seed`` gives the state
+    before a part's first row; with ``weights`` the weights behind the means are added.
     """
     if frame not in ("rows", "time"):
         raise ValueError("frame is 'rows' or 'time'")
@@ -210,12 +247,12 @@ def with_window_features(df: DataFrame, groups: list[str], frame: str = "rows",
     if with_ewma:
         made |= ewma_sums(frames, block_rows)
     out = blocks.selectExpr(
-        *columns, "block", "own", *[f"{e} AS {n}" for n, e in made.items()]
+        *columns, "pos", "block", "own", *[f"{e} AS {n}" for n, e in made.items()]
     ).filter("own")
     if not with_ewma:
         return out.select(*columns, *names)
     # joined on what the windows are partitioned by: the wide rows stay put
-    states = block_states(placed.select("station_id", "pos", *WINDOWED), block_rows)
-    ewma = ewma_from(block_rows)
+    states = block_states(placed.select("station_id", "pos", *WINDOWED), block_rows, seed)
+    ewma = ewma_from(block_rows) | (ewma_weights(block_rows) if weights else {})
     return out.join(states, ["station_id", "block"], "left").selectExpr(
         *columns, *names, *[f"{e} AS {n}" for n, e in ewma.items()])

@@ -13,6 +13,7 @@ from hazecast.plans import forecasting, training
 from hazecast.plans.features import build_features
 from hazecast.session import configure
 from hazecast.sources import feature_csv, feature_store, history, payloads
+from hazecast.streaming import series_index
 from hazecast.streaming.upserts import update_features
 
 
@@ -40,6 +41,7 @@ def backfill(spark: SparkSession, folders: list[tuple[str, str]], raw_path: str,
     made = drop_all_null_pollutants(build_features(stored, block_rows=block_rows))
     store = feature_store.FeatureStore(spark, store_path)
     counts = store.upsert(made)
+    series_index.rebuild(spark, raw_path, block_rows)
     if csv_path:
         feature_csv.write_csv(store.read(), csv_path)
     return skipped, counts

@@ -3,21 +3,14 @@
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from hazecast.fixed_values import WINDOWED
-from hazecast.functions import aqi
 from hazecast.operators import layout
-from hazecast.operators.matching import KEY, keep_last
-from hazecast.operators.windows import HALO_AHEAD, HALO_BACK
+from hazecast.operators.matching import keep_last
 from hazecast.plans.features import build_features
 from hazecast.sources.feature_store import FeatureStore
+from hazecast.streaming import series_index
 from hazecast.streaming.joins import file_stream
 
-# Rows of context before the last known value, after which weights vanish from
-# an exponentially weighted mean (see ``operators.windows``).
-EWMA_CONTEXT = 512
-
 
 def stored_form(batch: DataFrame) -> DataFrame:
     """Newest copy per key, ``timestamp`` in epoch milliseconds."""
@@ -51,56 +44,37 @@ def run_upserts(spark: SparkSession, path: str, store_path: str, progress: str,
     return store.read()
 
 
-def with_time(df: DataFrame) -> DataFrame:
-    return df.withColumn("timestamp", F.timestamp_millis("timestamp"))
-
-
-def affected_slice(raw: DataFrame, changed: DataFrame, block_rows: int) -> DataFrame:
-    """Raw rows that give, again, every feature row new readings change.
-
-    ``raw`` is the raw table, ``changed`` has each changed station's earliest
-    new time as ``since``. A row's targets look 72 rows ahead, so rows from 72
-    before the first change on are made again (``remake``), to the series' end:
-    an exponentially weighted mean carries a change on. The slice starts early
-    enough for their frames and, per column, holds ``EWMA_CONTEXT`` rows before
-    a value known ahead of them.
-    """
-    placed = layout.with_block(
-        layout.positions(aqi.with_aqi(raw.join(changed, "station_id"))), block_rows)
-    # one row per block: few per station, whatever the series' length
-    per_block = placed.groupBy("station_id", "block").agg(
-        F.min(F.when(F.col("timestamp") >= F.col("since"), F.col("pos"))).alias("changed"),
-        *[F.max(F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c) for c in WINDOWED])
-    first = F.min("changed").over(Window.partitionBy("station_id"))
-    starts = per_block.withColumn("start", F.greatest(first - F.lit(HALO_AHEAD), F.lit(0)))
-    ahead = (F.col("block") + 1) * block_rows <= F.col("start")
-    bounds = starts.groupBy("station_id", "start").agg(
-        *[F.max(F.when(ahead, F.col(c))).alias(f"{c}_known") for c in WINDOWED])
-    oldest = F.least("start", *[f"{c}_known" for c in WINDOWED])
-    read_from = bounds.select(
-        "station_id", "start", (oldest - F.lit(EWMA_CONTEXT + HALO_BACK)).alias("read_from"))
-    return (placed.join(read_from, "station_id").filter(F.col("pos") >= F.col("read_from"))
-            .select(*raw.columns, (F.col("pos") >= F.col("start")).alias("remake")))
-
-
 def update_features(batch: DataFrame, raw_path: str, store_path: str,
                     block_rows: int = layout.BLOCK_ROWS) -> dict[str, int]:
     """One batch of observations into the raw store and the feature store.
 
-    The changed stations' whole series are read to place their rows: frames count rows, and
-    a column may have been missing for any time. Returns the feature store's row counts.
+    What is read and written depends on the batch, not on the length of the series: the
+    index of each changed series (one row per 256 hours) tells which rows a change reaches,
+    and the state of its means before them; only days that hold those rows are opened, and
+    only days with rows made again are written. Returns the feature store's row counts.
+
+    The batch may be run again after a crash at any point: nothing counts twice.
     """
     spark = batch.sparkSession
-    raw_store = FeatureStore(spark, raw_path)
+    raw_store, index = FeatureStore(spark, raw_path), series_index.store(spark, raw_path)
+    if raw_store.exists() and not index.exists():
+        series_index.rebuild(spark, raw_path, block_rows)
     upsert_raw(batch, raw_store)
-    raw = with_time(raw_store.read()).drop("ingest_seq")
-    changed = batch.groupBy("station_id").agg(F.min("timestamp").alias("since"))
-    part = affected_slice(raw, changed, block_rows).persist(StorageLevel.MEMORY_AND_DISK)
+    now = series_index.touched(batch, raw_store, index).persist(StorageLevel.MEMORY_AND_DISK)
+    plan = series_index.slices(now).persist(StorageLevel.MEMORY_AND_DISK)
+    part = series_index.rows_of(plan, raw_store).persist(StorageLevel.MEMORY_AND_DISK)
+    made = None
     try:
-        made = build_features(part, block_rows=block_rows)
-        return FeatureStore(spark, store_path).upsert(made.filter("remake").drop("remake"))
+        made = build_features(part, block_rows=block_rows, seed=series_index.seeds(plan), weights=True).filter(
+            "remake").withColumn("station_id", F.col("station_id.station_id")).persist(StorageLevel.MEMORY_AND_DISK)
+        weights = [c for c in made.columns if "_weight_" in c]
+        counts = FeatureStore(spark, store_path).upsert(made.drop("remake", "cut", "cut_end", *weights))
+        index.upsert(series_index.renewed(now, made))
+        return counts
     finally:
-        part.unpersist()
+        for table in (now, plan, part, made):
+            if table is not None:
+                table.unpersist()
 
 
 def run_features(spark: SparkSession, path: str, raw_path: str, store_path: str,

@@ -105,12 +105,61 @@ def test_sanitize(spark):
         fs.sanitize(df.drop("ingest_seq"))
 
 
-def test_only_touched_days_are_rewritten(spark, store, tmp_path):
+def day_files(store):
+    """Files of each day, as a reader of the store opens them."""
     import pathlib
+    found = {}
+    for name in store.read().inputFiles():
+        found.setdefault(pathlib.Path(name).parent.name, set()).add(name)
+    return found
+
+
+def test_only_touched_days_are_rewritten(spark, store, tmp_path):
     store.upsert(batch(spark, [(0, T0 + d * 24 * HOUR, 1.0, 1.0) for d in range(4)]))
-    files = lambda: {p.parent.name: p.name for p in pathlib.Path(store.path).rglob("*.parquet")}
-    before = files()
+    before = day_files(store)
     store.upsert(batch(spark, [(0, T0 + 2 * 24 * HOUR, 2.0, 2.0)]))
-    after = files()
+    after = day_files(store)
     changed = {d for d in before if before[d] != after[d]}
     assert changed == {f"date={dt.date(2024, 1, 3)}"}
+
+
+def test_readers_see_an_upsert_whole_or_not(spark, store, monkeypatch):
+    """A writer that stops after its days are written, and a reader that began before."""
+    store.upsert(batch(spark, [(0, T0 + d * 24 * HOUR, 1.0, 1.0) for d in range(4)]))
+    before, early = contents(store), store.read()
+    change = batch(spark, [(0, T0 + d * 24 * HOUR, 2.0, 2.0) for d in range(6)])
+
+    def killed(self, version):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(fs.FeatureStore, "_list", killed)
+        with pytest.raises(KeyboardInterrupt):
+            store.upsert(change)
+    assert contents(store) == before
+    assert store.upsert(change) == {"prepared": 6, "inserted": 2, "updated": 4}
+    assert [r[2] for r in contents(store)] == [2.0] * 6
+    assert [r.pm2_5 for r in early.collect()] == [1.0] * 4
+    assert store.vacuum() == 4 and [r[2] for r in contents(store)] == [2.0] * 6
+
+
+def test_a_write_that_dies_between_days_changes_nothing(spark, store):
+    """One day's task fails after another day was written."""
+    store.upsert(batch(spark, [(0, T0 + d * 24 * HOUR, 1.0, 1.0) for d in range(2)]))
+    before = contents(store)
+    bad = batch(spark, [(0, T0 + d * 24 * HOUR, 2.0, 2.0) for d in range(2)]).withColumn(
+        "pm2_5", F.when(F.col("timestamp") > T0, F.raise_error(F.lit("lost"))).otherwise(F.col("pm2_5")))
+    with pytest.raises(Exception):
+        store._list(store._stage(bad))
+    assert contents(store) == before
+
+
+def test_the_listing_answers_without_a_scan(spark, store):
+    store.upsert(batch(spark, [(s, T0 + h * HOUR, 1.0, 1.0) for h in range(24 * 9) for s in (0, 1)]))
+    store.upsert(batch(spark, [(0, T0 + (24 * 9 + 5) * HOUR, 2.0, 2.0), (0, T0, 3.0, 3.0)]))
+    one = store.overview().first()
+    assert (one.row_count, one.day_count, one["first"], one["last"]) == (433, 10, T0, T0 + (24 * 9 + 5) * HOUR)
+    assert "data/" not in "".join(store.overview().inputFiles())
+    got = store.recent(2)
+    assert {f.split("date=")[1][:10] for f in got.inputFiles()} == {"2024-01-08", "2024-01-09", "2024-01-10"}
+    assert got.count() == store.read().filter(F.col("timestamp") >= T0 + (24 * 7 + 5) * HOUR).count() == 2 * 43 + 1

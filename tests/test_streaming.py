@@ -8,7 +8,7 @@ from hazecast.fixed_values import POLLUTANTS, WEATHER
 from hazecast.plans.exploration import resample_mean
 from hazecast.plans.features import build_features
 from hazecast.sources.feature_store import FeatureStore
-from hazecast.streaming import joins, resample, upserts
+from hazecast.streaming import joins, resample, series_index, upserts
 from helpers import series, to_spark
 
 
@@ -80,3 +80,48 @@ def test_features_of_drops_equal_one_build(spark, tmp_path):
     key = ["station_id", "timestamp"]
     a, b = (d.sort_values(key).reset_index(drop=True) for d in (got, want))
     pd.testing.assert_frame_equal(a, b, check_dtype=False, rtol=1e-9, atol=1e-9)
+
+
+def test_old_corrections_leave_other_days_alone(spark, tmp_path, monkeypatch):
+    """A value changed and an hour filled a year back, and a new hour: what is read and written."""
+    frame = series(24 * 400, seed=31, gaps=0.02)
+    frame.loc[(frame.timestamp >= "2024-02-20") & (frame.timestamp < "2024-03-20"), "pm2_5"] = float("nan")
+    frame.loc[frame.timestamp == "2024-02-10 05:00", "pm2_5"] = 55.0
+    table = to_spark(spark, frame).cache()
+    hole = table.filter("timestamp > '2024-02-11'").orderBy("timestamp").first().timestamp
+    last = table.agg(F.max("timestamp")).first()[0]
+    raw, store = f"{tmp_path}/raw", f"{tmp_path}/store"
+    first = table.filter(F.col("timestamp").isin(hole, last) == False).withColumn(  # noqa: E712
+        "pm2_5", F.when(F.col("timestamp") == "2024-02-10 05:00", 1.0).otherwise(F.col("pm2_5")))
+    upserts.update_features(first.withColumn("ingest_seq", F.lit(1)), raw, store, 512)
+
+    def files():
+        return {f.split("date=")[1][:10]: f for f in FeatureStore(spark, store).read().inputFiles()}
+
+    before, opened = files(), set()
+    plain = FeatureStore.read_days
+
+    def noted(self, days):
+        got = plain(self, days)
+        if self.path == raw:
+            opened.update(f.split("date=")[1][:10] for f in got.inputFiles())
+        return got
+
+    monkeypatch.setattr(FeatureStore, "read_days", noted)
+    changed = table.filter(F.col("timestamp").isin(hole, last) | (F.col("timestamp") == "2024-02-10 05:00"))
+    upserts.update_features(changed.withColumn("ingest_seq", F.lit(2)), raw, store, 512)
+    after = files()
+    rewritten = {d for d in after if after[d] != before.get(d)}
+    # from 72 rows before the change to the first value after the silence, and the end
+    assert {"2024-02-08", "2024-02-10", "2024-02-25", "2024-03-19", str(last.date())} <= rewritten
+    assert all("2024-02-06" < d < "2024-03-22" or d >= str(last.date() - dt.timedelta(days=5)) for d in rewritten)
+    assert rewritten <= opened and len(opened) < 130
+    assert not any("2024-06-01" <= d <= "2024-11-30" for d in opened)
+    want = build_features(table, block_rows=512).toPandas().sort_values("timestamp").reset_index(drop=True)
+    got = FeatureStore(spark, store).read().select(*want.columns).toPandas().sort_values("timestamp").reset_index(drop=True)
+    pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=1e-9)
+    # the index is as made from the whole raw store
+    kept = series_index.store(spark, raw).read().toPandas().sort_values("timestamp").reset_index(drop=True)
+    series_index.rebuild(spark, raw, 512)
+    again = series_index.store(spark, raw).read().select(*kept.columns).toPandas().sort_values("timestamp").reset_index(drop=True)
+    pd.testing.assert_frame_equal(kept, again, check_dtype=False, rtol=1e-9, atol=1e-9)
