@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 
 from hazecast.functions.aqi import with_aqi
+from hazecast.operators import comoments
 from hazecast.operators.quantiles import exact_quantiles
 from hazecast.plans import exploration as ex
 from helpers import same, series, to_spark
@@ -72,6 +73,38 @@ def test_correlations(spark, table, local):
     assert [v for k, v in cells.items() if k != ("x", "x")] == [None] * 8
 
 
+def test_correlations_take_one_pass(spark, table):
+    """No row per pair before the aggregate, and few rows after it."""
+    plan = ex.correlations(table)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "Generate" not in below and "Expand" not in below
+
+
+@pytest.mark.parametrize("parts", [1, 7, 300])
+def test_co_moments_keep_digits(spark, parts):
+    """An offset of 1e9, a constant, nulls in other rows of each column, an empty column."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=3000)
+    df = pd.DataFrame({"a": 1e9 + x, "b": 1e9 - x + rng.normal(size=3000) * 0.1, "same": 0.1, "few": x ** 3, "none": np.nan})
+    df.loc[rng.random(3000) < 0.3, "few"] = np.nan
+    df.loc[rng.random(3000) < 0.2, "b"] = np.nan
+    got = {(r.i, r.j): r for r in comoments.co_moments(to_spark(spark, df).repartition(parts), list(df)).collect()}
+    assert len(got) == 15
+    for (i, j), r in got.items():
+        both = df.iloc[:, [i, j]].dropna().to_numpy() if i != j else df.iloc[:, [i, i]].dropna().to_numpy()
+        assert r.n == len(both)
+        if r.n:
+            centred = both - both.mean(axis=0)
+            assert same([r.mean_x, r.mean_y], both.mean(axis=0), 1e-12)
+            assert same([r.m2_x, r.m2_y, r.c], [(centred[:, 0] ** 2).sum(), (centred[:, 1] ** 2).sum(),
+                                                (centred[:, 0] * centred[:, 1]).sum()], 1e-6)
+    assert got[2, 2].m2_x == 0 and got[0, 2].m2_y == 0
+    cells = {(r.variable, r.other): r.r for r in ex.correlations(to_spark(spark, df).repartition(parts), list(df)).collect()}
+    assert cells["a", "b"] == round(df.a.corr(df.b), 3) and cells["a", "same"] is None and cells["a", "none"] is None
+    empty = spark.createDataFrame([], "x double, y double")
+    assert comoments.co_moments(empty, ["x", "y"]).count() == 0
+
+
 def test_histogram_counts_everything(spark, table, local):
     got = ex.histogram(table).toPandas()
     assert len(got) == 50 * len(ex.CORE)

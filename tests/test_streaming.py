@@ -44,6 +44,30 @@ def test_closed_periods_equal_the_batch(spark, tmp_path, period):
     pd.testing.assert_frame_equal(a[["pm10", "co"]], b[["pm10", "co"]])
 
 
+def test_means_follow_corrections(spark, tmp_path):
+    """Copies in one file, in a later one, and an older copy that arrives last."""
+    table = to_spark(spark, series(24 * 30, seed=27)).select("station_id", "timestamp", "pm10", "co")
+    fixed = table.filter("hour(timestamp) % 5 = 0").withColumn("pm10", F.col("pm10") + 100)
+    old = table.filter("hour(timestamp) % 10 = 0").withColumn("co", F.lit(-1.0))
+    first, second, third = (d.filter("dayofmonth(timestamp) <= 12") for d in (table, fixed, old))
+    drop(first.unionByName(first), f"{tmp_path}/in", 2)
+    drop(second, f"{tmp_path}/in", 3)
+    drop(third, f"{tmp_path}/in", 1)
+    rest = [d.filter("dayofmonth(timestamp) > 12") for d in (table, fixed)]
+    drop(rest[1], f"{tmp_path}/in", 3)
+    drop(rest[0], f"{tmp_path}/in", 2)
+    got = resample.run_means(spark, f"{tmp_path}/in", ["pm10", "co"], "day", f"{tmp_path}/out",
+                             f"{tmp_path}/ck", order="ingest_seq", files_per_batch=1)
+    newest = table.join(fixed.select("station_id", "timestamp", F.col("pm10").alias("new"), F.lit(1).alias("there")),
+                        ["station_id", "timestamp"], "left").withColumn(
+        "pm10", F.when(F.col("there") == 1, F.col("new")).otherwise(F.col("pm10")))
+    closed = table.agg(F.max("timestamp")).first()[0] - dt.timedelta(days=5)
+    want = resample_mean(newest, ["pm10", "co"], "day").filter(F.col("period") < closed.date())
+    a, b = (d.select("period", "pm10", "co").orderBy("period").toPandas() for d in (got, want))
+    assert len(a) == len(b) > 20
+    pd.testing.assert_frame_equal(a, b)
+
+
 def test_corrections_replace_and_replays_change_nothing(spark, tmp_path):
     source, store = f"{tmp_path}/in", f"{tmp_path}/store"
     table = to_spark(spark, series(48, seed=23, missing=0)).select("station_id", "timestamp", "pm10")

@@ -581,6 +581,17 @@ ORACLES = {
     "backfill_features": feature_sql(),
     "hourly_features": feature_sql(last_days=5),
 }
+ORACLES["scan_recent_stored"] = ORACLES["scan_recent"]
+ORACLES["store_overview"] = with_air(
+    "SELECT count(*) AS row_count, count(DISTINCT CAST(timestamp AS DATE)) AS day_count, "
+    "epoch_ms(min(timestamp)) AS first, epoch_ms(max(timestamp)) AS last FROM air")
+ORACLES["stream_corrected_mean"] = (
+    f"WITH {AIR}, {COPIES}, kept AS (SELECT * FROM copies "
+    "QUALIFY row_number() OVER (PARTITION BY station_id, timestamp ORDER BY ingest_seq DESC) = 1), "
+    "means AS (SELECT station_id, CAST(timestamp AS DATE) AS period, avg(pm2_5) AS pm2_5, avg(pm10) AS pm10, "
+    "avg(o3) AS o3 FROM kept GROUP BY 1, 2) SELECT station_id, period, "
+    f"{rounded(['pm2_5', 'pm10', 'o3'])} FROM means WHERE period + INTERVAL 1 DAY <= "
+    "(SELECT max(timestamp) FROM air) - INTERVAL 5 DAY")
 ORACLES["stream_replay"] = ORACLES["stream_upsert"]
 ORACLES["source_fallback"] = ORACLES["features_csv_roundtrip"]
 ORACLES["models_by_target"] = constant_models_sql()

@@ -145,6 +145,21 @@ def training_scan(spark, folder):
 
 # --- Joins, copies, cleaning ------------------------------------------------------
 
+def air_store(spark, folder) -> feature_store.FeatureStore:
+    store = feature_store.FeatureStore(spark, work_folder(spark, "air-store"))
+    store.upsert(air(spark, folder).withColumn("timestamp", F.unix_millis("timestamp")))
+    return store
+
+
+def scan_recent_stored(spark, folder):
+    """The last days out of a store; its listing knows the newest hour."""
+    return shown(air_store(spark, folder).recent(5).withColumn("timestamp", F.timestamp_millis("timestamp")))
+
+
+def store_overview(spark, folder):
+    return air_store(spark, folder).overview()
+
+
 def join_recent(spark, folder):
     return shown(matching.join_observations(
         history.recent(air(spark, folder), 5), history.recent(wx(spark, folder), 5)))
@@ -472,6 +487,14 @@ def stream_means(period: str):
     return query
 
 
+def stream_corrected_mean(spark, folder):
+    """Daily means of a stream that holds each reading and, for many, its correction."""
+    root = work_folder(spark, "stream-corrected")
+    copies(spark, folder).select(*KEY, "ingest_seq", "pm2_5", "pm10", "o3").write.parquet(f"{root}/in")
+    return shown(stream_resample.run_means(
+        spark, f"{root}/in", ["pm2_5", "pm10", "o3"], "day", f"{root}/out", f"{root}/progress", order="ingest_seq"))
+
+
 def stream_upsert(spark, folder):
     root = work_folder(spark, "stream-upsert")
     copies(spark, folder).write.parquet(f"{root}/in")
@@ -507,6 +530,8 @@ QUERIES = {
     "parse_weather": parse_weather,
     "scan_history": scan_history,
     "scan_recent": on(air, lambda d: history.recent(d, 5)),
+    "scan_recent_stored": scan_recent_stored,
+    "store_overview": store_overview,
     "backfill_chunks": backfill_chunks,
     "backfill_union": backfill_union,
     "features_csv_roundtrip": features_csv_roundtrip,
@@ -593,6 +618,7 @@ QUERIES = {
     "stream_join": stream_join,
     "stream_daily_mean": stream_means("day"),
     "stream_weekly_mean": stream_means("week"),
+    "stream_corrected_mean": stream_corrected_mean,
     "stream_upsert": stream_upsert,
     "stream_features": stream_features,
     "stream_replay": stream_replay,
