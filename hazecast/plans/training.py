@@ -6,13 +6,14 @@ one metrics row per fit and one importance per feature.
 
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VarianceThresholdSelector, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -20,6 +21,7 @@ from pyspark.sql import Window
 from hazecast.fixed_values import MIN_TRAINING_ROWS, TARGETS, TRAIN_FRACTION
 from hazecast.functions.cleaning import impute_zero
 from hazecast.operators.layout import positions
+from hazecast.operators.tree_growth import BoostedTrees, Growth, RandomForest
 from hazecast.plans.features import feature_columns
 
 
@@ -40,8 +42,7 @@ def prepare(features: DataFrame, target: str, names: list[str],
             minimum: int = MIN_TRAINING_ROWS) -> DataFrame:
     """Labelled rows with zero-filled features and their split."""
     rows = training_rows(features, target)
-    found = rows.count()
-    if found < minimum:
+    if minimum and (found := rows.count()) < minimum:
         raise ValueError(f"{found} rows have '{target}', {minimum} are needed")
     return impute_zero(with_split(rows), names).withColumn("label", F.col(target).cast("double"))
 
@@ -49,16 +50,13 @@ def prepare(features: DataFrame, target: str, names: list[str],
 # --- Candidates ----------------------------------------------------------------
 
 def boosted_trees(train: DataFrame, rounds: int = 500, depth: int = 8):
-    return GBTRegressor(
-        maxIter=rounds, maxDepth=depth, stepSize=0.03, subsamplingRate=0.8,
-        featureSubsetStrategy="0.8", minInstancesPerNode=3, maxBins=128,
-        checkpointInterval=10, seed=42)
+    """Shrunken trees on four rows and four features in five, with L1 and L2 penalties."""
+    return BoostedTrees(rounds, 0.03, Growth(depth, alpha=0.1, lam=1.0, child_weight=3.0))
 
 
 def random_forest(train: DataFrame, trees: int = 200, depth: int = 15):
-    return RandomForestRegressor(
-        numTrees=trees, maxDepth=depth, minInstancesPerNode=2,
-        featureSubsetStrategy="all", checkpointInterval=10, seed=42)
+    """Deep trees on rows drawn with replacement; nodes of fewer than 5 rows stay whole."""
+    return RandomForest(trees, Growth(depth, split_rows=5, leaf_rows=2))
 
 
 def ridge(train: DataFrame, alpha: float = 1.0):
@@ -108,6 +106,7 @@ def select_models(metrics: DataFrame) -> DataFrame:
             .filter(F.col("_place") == 1).drop("_place"))
 
 
+FITS_AT_ONCE = 9
 METRICS_SCHEMA = ("target string, candidate int, model string, rmse double, mae double, "
                   "r2 double, n_features int, training_rows bigint")
 IMPORTANCE_SCHEMA = "target string, feature string, importance double"
@@ -160,38 +159,44 @@ def train(features: DataFrame, targets: list[str] = TARGETS,
     spark = features.sparkSession
     candidates = CANDIDATES if candidates is None else candidates
     names = feature_columns(features)
+    counts = features.agg(F.count("*").alias("total"), *[F.count(t).alias(t) for t in targets]).first()
     models, best, rows, weights, failures = {}, {}, [], [], {}
-    total = features.count()
+    vectors, assembler = {}, VectorAssembler(inputCols=names, outputCol="features")
     for target in targets:
-        try:
-            prepared = prepare(features, target, names, minimum)
-        except ValueError as reason:
-            failures[target, "data"] = str(reason)
+        if counts[target] < minimum:
+            failures[target, "data"] = f"{counts[target]} rows have '{target}', {minimum} are needed"
             continue
         # read once per pass of every fit; evicted or lost blocks are recomputed
-        assembler = VectorAssembler(inputCols=names, outputCol="features")
-        vectors = assembler.transform(prepared).select(
+        vectors[target] = assembler.transform(prepare(features, target, names, 0)).select(
             "features", "label", "is_train").persist(StorageLevel.MEMORY_AND_DISK)
-        learn, check = vectors.filter("is_train"), vectors.filter("NOT is_train")
+
+    def attempt(target: str, name: str):
+        learn, check = vectors[target].filter("is_train"), vectors[target].filter("NOT is_train")
         try:
-            for number, (name, estimator) in enumerate(candidates.items()):
-                try:
-                    fitted = estimator(learn).fit(learn)
-                    m = regression_metrics(fitted.transform(check)).first()
-                except Exception as reason:  # noqa: BLE001 - any failed fit is skipped
-                    failures[target, name] = str(reason).splitlines()[0]
-                    continue
-                if m is None:
-                    failures[target, name] = "no rows to validate on"
-                    continue
-                rows.append((target, number, name, m.rmse, m.mae, m.r2, len(names), total))
-                if target not in best or m.rmse < best[target]:
-                    best[target] = m.rmse
-                    models[target] = PipelineModel([assembler, fitted])
-        finally:
-            vectors.unpersist()
-        if target in models:
-            weights += [(target, f, w) for f, w in importances(models[target])]
+            fitted = candidates[name](learn).fit(learn)
+            m = regression_metrics(fitted.transform(check)).first()
+        except Exception as reason:  # noqa: BLE001 - any failed fit is skipped
+            return None, None, str(reason).splitlines()[0]
+        return fitted, m, None if m else "no rows to validate on"
+
+    # fits are many small jobs, and none needs another: their stages share the executors
+    tries = [(t, name) for t in vectors for name in candidates]
+    try:
+        with ThreadPoolExecutor(max_workers=FITS_AT_ONCE) as pool:
+            results = list(pool.map(lambda pair: attempt(*pair), tries))
+    finally:
+        for v in vectors.values():
+            v.unpersist()
+    for (target, name), (fitted, m, reason) in zip(tries, results):
+        if reason:
+            failures[target, name] = reason
+            continue
+        rows.append((target, list(candidates).index(name), name, m.rmse, m.mae, m.r2, len(names), counts["total"]))
+        if target not in best or m.rmse < best[target]:
+            best[target] = m.rmse
+            models[target] = PipelineModel([assembler, fitted])
+    for target in models:
+        weights += [(target, f, w) for f, w in importances(models[target])]
     if not models:
         raise RuntimeError(f"no candidate could be trained: {failures}")
     return Trained(models, names, spark.createDataFrame(rows, METRICS_SCHEMA),

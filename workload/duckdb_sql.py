@@ -376,7 +376,32 @@ def stream_means(period: str) -> str:
         "(SELECT max(timestamp) FROM core) - INTERVAL 5 DAY")
 
 
+def stump_sql() -> str:
+    """Every cut of four features tried; the best one's two leaves, shrunk, on the mean."""
+    features = {"hour": "CAST(hour(timestamp) AS BIGINT)", "day_of_week": "isodow(timestamp) - 1",
+                "is_weekend": "CAST(isodow(timestamp) >= 6 AS BIGINT)", "day_segment": SEGMENT}
+    sides = " UNION ALL ".join(f"SELECT {i} AS f, CAST({e} AS BIGINT) AS x, {KEY}, y, is_train FROM split"
+                               for i, e in enumerate(features.values()))
+
+    def soft(g):
+        return f"(sign({g}) * greatest(abs({g}) - 0.1e0, 0e0))"
+
+    return with_core(
+        f", {targets_table()}, split AS (SELECT {KEY}, aqi_target_24h AS y, row_number() OVER (PARTITION BY station_id "
+        "ORDER BY timestamp) - 1 < floor(count(*) OVER (PARTITION BY station_id) * 0.8e0) AS is_train "
+        "FROM made WHERE aqi_target_24h IS NOT NULL), base AS (SELECT avg(y) AS base, count(*) AS n FROM split WHERE is_train), "
+        f"sides AS ({sides}), bins AS (SELECT f, x, sum(base - y) AS g, count(*) AS h FROM sides, base WHERE is_train GROUP BY 1, 2), "
+        "cuts AS (SELECT f, x, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER (PARTITION BY f) AS g, "
+        "sum(h) OVER (PARTITION BY f) AS h FROM bins WINDOW w AS (PARTITION BY f ORDER BY x)), "
+        f"best AS (SELECT f, x, -{soft('gl')} / (hl + 1e0) AS low, -{soft('(g - gl)')} / (h - hl + 1e0) AS high FROM cuts "
+        f"WHERE hl >= 3 AND h - hl >= 3 ORDER BY {soft('gl')} ** 2 / (hl + 1e0) + {soft('(g - gl)')} ** 2 / (h - hl + 1e0) "
+        "DESC, f, x LIMIT 1) "
+        f"SELECT {KEY}, {r6('y', 'label')}, {r6('base + 0.3e0 * CASE WHEN s.x <= b.x THEN low ELSE high END', 'prediction')} "
+        "FROM sides s JOIN best b USING (f), base WHERE NOT is_train")
+
+
 ORACLES = {
+    "gbt_stump": stump_sql(),
     "parse_air_quality": with_air(ALL_AIR),
     "parse_weather": with_wx(ALL_WX),
     "scan_history": with_obs(

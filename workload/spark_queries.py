@@ -9,6 +9,7 @@ from hazecast.fixed_values import (
     AIR_QUALITY_FIELDS, HORIZONS, POLLUTANTS, TARGETS, WEATHER, WEATHER_FIELDS, WINDOWED)
 from hazecast.functions import aqi, calendar, cleaning
 from hazecast.operators import matching, windows
+from hazecast.operators.tree_growth import BoostedTrees, Growth
 from hazecast.plans import exploration, features, forecasting, jobs, sensor_tables, training
 from hazecast.session import work_folder
 from hazecast.sources import feature_csv, feature_store, history, payloads
@@ -350,6 +351,15 @@ def fitted(estimator):
     return query
 
 
+def gbt_stump(spark, folder):
+    """One round of one cut over features of few values: what an exhaustive search finds."""
+    table = calendar.with_calendar_features(calendar.with_time_features(with_targets(spark, folder))).select(
+        *KEY, "hour", "day_of_week", "is_weekend", "day_segment", *TARGETS)
+    _, scored = training.fit_one(table, "aqi_target_24h", lambda train: BoostedTrees(
+        1, 0.3, Growth(1, alpha=0.1, lam=1.0, child_weight=3.0), rows=1.0, features=1.0))
+    return shown(scored.select(*KEY, "label", "prediction"))
+
+
 def trained(spark, folder) -> training.Trained:
     return training.train(feature_table(spark, folder), candidates=CANDIDATES)
 
@@ -600,6 +610,7 @@ QUERIES = {
     "ridge_fit": fitted(training.ridge),
     "forest_fit": fitted(few_trees),
     "gbt_fit": fitted(few_rounds),
+    "gbt_stump": gbt_stump,
     "regression_metrics": regression_metrics,
     "model_selection": model_selection,
     "feature_importance": feature_importance,
