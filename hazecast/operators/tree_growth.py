@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from hazecast.session import work_folder
 
 PASS_BYTES = 96 << 20
+TASK_CELLS = 4_000_000  # a task of fewer cells (rows x features) costs more to start than to run
 ROUNDS_A_STEP = 20
 FOUND = ["slot", "feature", "bin", "gain", "gl", "hl", "nl", "g", "h", "n"]
 
@@ -164,9 +165,13 @@ def _histograms(trees: range, weights, arrays: dict, slots: dict, n: int, width:
                 rows, slot = rows[slot >= 0], slot[slot >= 0]
                 w = weight[rows]
                 g = np.rint(w * (margin[rows] - label[rows]) * grid)
-                cells = ((slot[:, None] * width + np.arange(width)) * bins + x[rows]).ravel()
+                if not len(rows):
+                    continue
+                # a tree's slots lie together
+                low, high = slot.min() * width * bins, (slot.max() + 1) * width * bins
+                cells = ((slot[:, None] * width + np.arange(width)) * bins + x[rows]).ravel() - low
                 for k, v in enumerate((g, w, np.ones(len(rows)))):
-                    total[k] += np.bincount(cells, np.repeat(v, width), total.shape[1])
+                    total[k, low:high] += np.bincount(cells, np.repeat(v, width), high - low)
         total = total.reshape(3, n, width, bins)
         out = []
         for p, mine in enumerate(share):
@@ -192,14 +197,14 @@ def _searched(share: list, bins: int, allowed: np.ndarray, growth: "Growth", gri
 
 
 def grow(data: DataFrame, trees: range, weights, masks: list[np.ndarray], growth: Growth, bins: int,
-         grid: float, more: list[tuple] = (), rate: float = 1.0) -> list[Tree]:
-    """Grow trees together, a level at a time.
+         grid: float, more: list[tuple] = (), rate: float = 1.0, tasks: int | None = None) -> list[Tree]:
+    """Grow trees together, a level at a time; ``tasks`` bounds those that search for cuts.
 
     ``weights(keys, tree)`` counts rows; ``masks`` tells each tree's features; gradients are
     those of squared errors at ``margin`` plus ``rate`` times the values of the trees ``more``.
     """
     width = len(masks[0])
-    parts = min(width, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = min(width, tasks or width, int(data.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     share = [np.flatnonzero(np.arange(width) % parts == p) for p in range(parts)]
     most_nodes = max(1, PASS_BYTES // (24 * width * bins))
     made = [Tree() for _ in trees]
@@ -335,6 +340,12 @@ class _Trees:
         grid = 2.0 ** math.floor(math.log2(2.0 ** 53 / (facts.n * 16.0 * spread)))
         return rows, cuts, facts, grid
 
+    @staticmethod
+    def _state(rows: DataFrame, cuts: list, facts) -> tuple[DataFrame, int]:
+        """Binned rows, kept; small tables in few tasks, large ones as they are dealt."""
+        tasks = 1 + facts.n * len(cuts) // TASK_CELLS
+        return binned(rows, cuts, facts.mean).coalesce(tasks).persist(StorageLevel.MEMORY_AND_DISK), tasks
+
 
 class BoostedTrees(_Trees):
     """Gradient boosting of squared errors from the mean of the labels."""
@@ -348,12 +359,12 @@ class BoostedTrees(_Trees):
         spark = train.sparkSession
         rows, cuts, facts, grid = self._prepared(train)
         draw, width, made, more = np.random.default_rng(self.seed), len(cuts), [], []
-        state = binned(rows, cuts, facts.mean).persist(StorageLevel.MEMORY_AND_DISK)
+        state, tasks = self._state(rows, cuts, facts)
         for round_ in range(self.rounds):
             mask = np.zeros(width, dtype=bool)
             mask[draw.choice(width, max(1, round(self.features * width)), replace=False)] = True
             tree, = grow(state, range(round_, round_ + 1), share_of_rows(self.rows, self.seed), [mask], self.growth,
-                         self.bins, grid, more, self.rate)
+                         self.bins, grid, more, self.rate, tasks)
             made.append(tree)
             more.append(tree.arrays())
             if len(more) == ROUNDS_A_STEP and round_ + 1 < self.rounds:
@@ -388,9 +399,10 @@ class RandomForest(_Trees):
 
     def fit(self, train: DataFrame) -> TreeModel:
         rows, cuts, facts, grid = self._prepared(train)
-        state = binned(rows, cuts, facts.mean).persist(StorageLevel.MEMORY_AND_DISK)
+        state, tasks = self._state(rows, cuts, facts)
         every = np.ones(len(cuts), dtype=bool)
-        made = grow(state, range(self.trees), bootstrap(self.seed), [every] * self.trees, self.growth, self.bins, grid)
+        made = grow(state, range(self.trees), bootstrap(self.seed), [every] * self.trees, self.growth, self.bins, grid,
+                    tasks=tasks)
         state.unpersist()
         return TreeModel(trees=_packed(made), cuts=json.dumps(cuts), base=float(facts.mean), rate=1.0 / self.trees,
                          importance=json.dumps(_importance(made, len(cuts), average=False)))
