@@ -237,10 +237,11 @@ def predicted(docs: DataFrame, model: Crf | None, id_column: str = "doc_id", tex
     A null text, and one without a letter, is ``und`` with score 0; so is every text if there
     is no model. Whole texts are read; repeated rows repeat; other columns are left out.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size per language
+    # the model, of a fixed size per language, goes with the function: a broadcast would name its
+    # class by a module that workers may not have
+    crf = model
 
     def predict(batches):
-        crf = sent.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             spoken = [i for i, t in enumerate(texts)
