@@ -3,8 +3,11 @@
 Each tree halves a bounded sample by the difference of two of its points, drawn at random,
 down to leaves. Every vector of the table is then indexed in one leaf of each tree. A query
 walks all trees through one priority queue, nearest branches first (by the squared margins
-of the planes it had to cross), until the leaves it has opened hold ``share`` of the sample.
-In those leaves it meets the indexed vectors, and their cosines are computed in full.
+of the planes it had to cross), until the leaves it has opened hold ``share`` of the sample,
+and as much of it as stands for ``least`` vectors of the table. In those leaves it meets the
+indexed vectors, and their cosines are computed in full. A leaf that the sample is too small
+to halve further is dealt over several cells, and so are very many queries: no task holds a
+whole leaf, or all queries, of a large table.
 
 Equal vectors are collapsed first, with their k + 1 least ids: only those can be among the k
 nearest. So a vector that a third of all rows share costs one row in a leaf.
@@ -60,12 +63,12 @@ class Forest:
                 at[:] = 2 * at + 1 + side
         return out
 
-    def opened(self, unit: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order opened, until they hold ``share`` of the sample."""
+    def opened(self, unit: np.ndarray, wanted: float) -> list[tuple[int, int]]:
+        """(tree, leaf) in the order opened, until they hold ``wanted`` rows of the sample."""
         margins = self.normals @ unit - self.offsets
         inner, seen, count, found = (1 << self.depth) - 1, np.zeros(self.size, dtype=bool), 0, []
         queue = [(0.0, tree, 0) for tree in range(self.trees)]
-        while queue and count < share * self.size:
+        while queue and count < wanted:
             far, tree, node = heapq.heappop(queue)
             if node >= inner:
                 found.append((tree, node))
@@ -105,7 +108,8 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 8, leaf_rows: int = 128,
-            share: float = 0.6, most_sample: int = 20000, seed: int = 1, id_column: str = "vec_id",
+            share: float = 0.6, least: int = 1500, most_sample: int = 20000, cell_rows: int = 4096,
+            cell_queries: int = 8192, seed: int = 1, id_column: str = "vec_id",
             vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): the k nearest found of each row whose id is divisible by ``every``.
 
@@ -113,7 +117,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 8, lea
     those of another than the commonest dimension take no part. Candidates are all others
     but those with the query's own id; repeated rows count once. Should one id have several
     vectors, its least one asks. The forest is fitted on at most about ``most_sample``
-    distinct vectors, chosen by hash; all are indexed. Other columns are left out.
+    distinct vectors, chosen by hash; all are indexed. Other columns are left out. A table without
+    rows, or without two vectors, gives none.
     """
     spark = vectors.sparkSession
     rows = usable(vectors, id_column, vector_column)
@@ -128,36 +133,52 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 8, lea
     # leaves of about leaf_rows rows, as long as the sample can halve that often
     depth = max(0, int(math.log2(max(1, min(total / leaf_rows, len(points) / 8)))))
     forest = Forest(unit_rows(points).astype(np.float32) if points else np.zeros((0, 1)), trees, depth, seed)
-    sent = spark.sparkContext.broadcast(forest)  # trees x leaves x dimension numbers
+    wanted = max(share * len(points), min(1.0, least / max(1, total)) * len(points))
+    asking = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
+    # deeper leaves would need a larger sample: rows of a leaf, and queries, are dealt by hash
+    deals = max(1, -(-total // (cell_rows << depth)))
+    blocks = max(1, -(-asking.count() // cell_queries))
     kind = distinct.schema["vec"].dataType.simpleString()
     id_kind = rows.schema["id"].dataType.simpleString()
-    schema = f"cell int, kind int, ids array<{id_kind}>, vec {kind}"
+    schema = f"leaf int, kind int, ids array<{id_kind}>, vec {kind}"
 
     def index(frames):
         for frame in frames:
             if len(frame):
-                leaves = sent.value.leaves(unit_rows(frame["vec"]).astype(np.float32))
+                leaves = forest.leaves(unit_rows(frame["vec"]).astype(np.float32))
                 for tree in range(trees):
-                    yield pd.DataFrame({"cell": (leaves[:, tree] * trees + tree).astype(np.int32), "kind": 1,
+                    yield pd.DataFrame({"leaf": (leaves[:, tree] * trees + tree).astype(np.int32), "kind": 1,
                                         "ids": frame["ids"], "vec": frame["vec"]})
 
     def probe(frames):
         for frame in frames:
             if not len(frame):
                 continue
-            cells, owner = [], []
+            leaves, owner = [], []
             for row, unit in enumerate(unit_rows(frame["vec"]).astype(np.float32)):
-                found = sent.value.opened(unit, share)
-                cells += [leaf * trees + tree for tree, leaf in found]
+                found = forest.opened(unit, wanted)
+                leaves += [leaf * trees + tree for tree, leaf in found]
                 owner += [row] * len(found)
             out = frame.iloc[owner]
-            yield pd.DataFrame({"cell": np.array(cells, dtype=np.int32), "kind": 0,
+            yield pd.DataFrame({"leaf": np.array(leaves, dtype=np.int32), "kind": 0,
                                 "ids": [[i] for i in out["id"]], "vec": out["vec"].to_numpy()})
 
-    asking = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
+    def dealt(rows: DataFrame, deal, block) -> DataFrame:
+        """Each row to one deal of its leaf, or all; and to one block of queries, or all."""
+        return rows.withColumn("deal", deal).withColumn("block", block).select(
+            ((F.col("leaf").cast("long") * deals + F.col("deal")) * blocks + F.col("block")).alias("cell"),
+            "kind", "ids", "vec")
+
+    def one_of(n: int, value):
+        return F.pmod(F.xxhash64(value), F.lit(n))
+
+    def all_of(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked = asking.repartition(partitions, "id").mapInPandas(probe, schema)
-    met = distinct.mapInPandas(index, schema).unionByName(asked)
+    met = dealt(distinct.mapInPandas(index, schema), one_of(deals, "vec"), all_of(blocks)).unionByName(
+        dealt(asked, all_of(deals), one_of(blocks, "ids")))
     met = met.repartition(partitions, "cell").sortWithinPartitions("cell", "kind")
     found = met.mapInPandas(lambda frames: _rerank(frames, k), f"query_id {id_kind}, id {id_kind}, score double")
     best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))

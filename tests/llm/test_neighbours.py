@@ -1,4 +1,7 @@
+import os
+
 import numpy as np
+import pytest
 
 from hazecast.llm import neighbours
 
@@ -52,6 +55,43 @@ def test_recall_of_the_forest(spark):
     assert len(found) == 5 * len(wanted) and hits >= 0.9 * len(found)
 
 
+@pytest.mark.parametrize("rows", [200, 500, 2000, 6000])
+def test_recall_of_the_defaults(spark, rows):
+    """Vectors without structure, where no tree prunes well."""
+    draw = np.random.default_rng(rows)
+    made = [(i, [float(x) for x in draw.normal(size=64).astype(np.float32)], 0) for i in range(rows)]
+    found = neighbours.nearest(table(spark, made)).collect()
+    wanted = brute(made, 50, 5)
+    hits = sum((r.query_id, r.vec_id) in {(q, i) for q, best in wanted.items() for i, _ in best} for r in found)
+    assert len(found) == 5 * len(wanted) and hits >= 0.9 * len(found), hits / len(found)
+
+
+def test_dealt_leaves_and_query_blocks_change_nothing(spark):
+    draw = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in draw.normal(size=16).astype(np.float32)], 0) for i in range(3000)]
+    plain = neighbours.nearest(table(spark, rows)).collect()
+    dealt = neighbours.nearest(table(spark, rows), cell_rows=50, cell_queries=7).collect()
+    assert sorted(plain) == sorted(dealt) and len(plain) == 300
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_given_tables(spark, folder):
+    given = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    rows = given.collect()
+    vectors = np.array([r.embedding for r in rows], dtype=np.float64)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    ids = np.array([r.vec_id for r in rows])
+    found = neighbours.nearest(given).collect()
+    hits = total = 0
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = vectors @ vectors[q]
+        score[q] = -2
+        best = set(ids[np.lexsort((ids, -score))[:5]].tolist())
+        hits, total = hits + len(best & {r.vec_id for r in found if r.query_id == ids[q]}), total + 5
+    assert hits >= 0.9 * total, hits / total
+
+
 def test_few_rows(spark):
     assert neighbours.nearest(table(spark, [])).count() == 0
     assert neighbours.nearest(table(spark, [(50, [1.0, 2.0], 0)])).count() == 0
