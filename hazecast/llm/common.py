@@ -1,6 +1,7 @@
 """Small helpers shared by the operators of this package."""
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,12 +17,40 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
+_SCOPES: list[list[str]] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written once to the shared folder and read back: lineage ends here."""
     spark = configure(df.sparkSession)
     path = work_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for scope in _SCOPES:
+        scope.append(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+@contextmanager
+def noted_tables():
+    """The folders that ``stored`` writes while the block runs."""
+    _SCOPES.append([])
+    try:
+        yield _SCOPES[-1]
+    finally:
+        _SCOPES.pop()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads: all that was made of them is stored too."""
+    for table in tables:
+        delete_folder(table.sparkSession, table.stored_at)
 
 
 def ascii_words(text: str | None) -> list[bytes]:

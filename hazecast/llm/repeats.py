@@ -8,8 +8,9 @@ what is left of an anchor is compared by a suffix array, built by two-stage sort
 smaller than their successors are sorted directly, the others follow from bucket scans, and
 equal neighbours in the array give the repeated starts.
 
-Only anchors whose places differ need bytes. Their texts are fetched once by digest; texts
-without any repeated anchor are not moved at all. An anchor whose places are too many for one
+Only anchors whose places differ need bytes. Their texts are fetched once by digest. Texts
+without any repeated anchor are left out before texts are grouped; as long as the digests of
+the others are few enough to broadcast, by Spark's check of their size, they are not moved. An anchor whose places are too many for one
 task (a passage that very many documents share, each in its own surroundings) is settled by
 counting the digests of its strings instead, which has no group larger than one string's.
 """
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazecast.llm.common import arrow_map, stored
+from hazecast.llm.common import arrow_map, discard, stored
 
 LENGTH = 400
 GRAM = 64
@@ -256,13 +257,14 @@ def repeated_texts(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, text
         F.sum("copies").alias("seen"), F.min("content").alias("low"), F.max("content").alias("high")
     ).filter("seen > 1").select("anchor", (F.col("low") != F.col("high")).alias("differ")), "shared")
     found = stored(every.join(shared, "anchor"), "shared-places")
+    discard(every, shared)
 
     same = found.filter("not differ").select("key", F.col("at").alias("start"),
                                              (F.col("at") + F.col("starts") - 1 + length).alias("end"))
-    touched = found.select("key").distinct()
-    # one row per text: equal texts collapse before they are moved
-    moved = long.groupBy("key").agg(F.first("text").alias("text"))
-    held = stored(moved.join(touched, "key", "left_semi"), "shared-texts")
+    # stored, so that its size is known when the join is planned
+    touched = stored(found.select("key").distinct(), "touched")
+    held = stored(long.join(touched, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "shared-texts")
+    discard(touched)
 
     distinct = found.filter("differ").groupBy("anchor", "content").agg(
         F.sum("copies").alias("copies"), F.min(F.struct("key", "at", "starts")).alias("p"))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hazecast.llm.common import arrow_map, ascii_words, stored
+from hazecast.llm.common import arrow_map, ascii_words, discard, stored
 
 BITS = 64
 SEED = 42
@@ -315,7 +315,8 @@ def components(edges: DataFrame) -> DataFrame:
         roots = least(down)
         small = down.join(roots, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             roots.select("u", F.col("m").alias("v"))).filter("u <> v")
-        now = stored(small.select(F.greatest("u", "v").alias("b"), F.least("u", "v").alias("a")).distinct(), "edges")
+        done, now = now, stored(small.select(F.greatest("u", "v").alias("b"), F.least("u", "v").alias("a")).distinct(), "edges")
+        discard(done)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before:
             return now.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(
