@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hazecast.fixed_values import BACKFILL_CHUNK_DAYS, RECENT_DAYS
 from hazecast.operators.matching import KEY, join_observations, keep_first
-from hazecast.sources.payloads import plain_path
+from hazecast.sources.payloads import cut_archives, plain_path
 
 
 def with_date(df: DataFrame) -> DataFrame:
@@ -97,9 +97,10 @@ def backfill(spark: SparkSession, folders: list[tuple[str, str]],
              read_air: Callable, read_weather: Callable) -> tuple[DataFrame, list[tuple[str, str]]]:
     """Read and join (air, weather) folder pairs; skip chunks that fail.
 
-    One read per source for all chunks. Returns the combined table and the skipped folders
-    with their reasons: a folder that is missing, or one without an hour in it, be it empty
-    or broken throughout. The chunk numbers that have rows are all the driver sees.
+    One read per source for all chunks. Returns the combined table and what was skipped, with
+    reasons: folders that are missing, or without an hour in them, be they empty or broken
+    throughout; and files of the other folders that were read only up to a break. Chunk
+    numbers that have rows and names of damaged files are all the driver sees.
     """
     known = _existing(spark, [p for pair in folders for p in pair])
     here = {n: pair for n, pair in enumerate(folders) if pair[0] in known and pair[1] in known}
@@ -112,7 +113,8 @@ def backfill(spark: SparkSession, folders: list[tuple[str, str]],
     skipped |= {n: "no hourly data" for n in here if n not in filled[0] & filled[1]}
     if len(skipped) == len(folders):
         raise RuntimeError("no chunk could be read")
-    return join_chunks(air, weather), [(folders[n][0], skipped[n]) for n in sorted(skipped)]
+    used = [known[p] for n, pair in here.items() if n not in skipped for p in pair]
+    return join_chunks(air, weather), [(folders[n][0], skipped[n]) for n in sorted(skipped)] + cut_archives(spark, used)
 
 
 def first_available(readers: list[Callable[[], DataFrame]]) -> DataFrame:

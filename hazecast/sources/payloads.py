@@ -1,7 +1,9 @@
 """Hourly JSON payloads: a struct of parallel arrays per document."""
 
 import re
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,45 @@ def unread_files(payloads: DataFrame) -> list[str]:
     return sorted(f for f in payloads.inputFiles() if plain_path(f) not in seen)
 
 
+def cut_archives(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """(file, reason) of gzip files that do not decompress to their end.
+
+    A read passes over the rest of such a file, so the documents before the break look like
+    all of it. Each file is decompressed once more, a piece at a time, and only names of
+    damaged ones reach the driver. A plain file that was cut shows as a malformed document.
+    """
+    def check(batches):
+        for batch in batches:
+            found = []
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                reason = _gzip_damage(content)
+                if reason:
+                    found.append((path, reason))
+            yield pa.RecordBatch.from_pydict({"file": [f for f, _ in found], "reason": [r for _, r in found]},
+                                             pa.schema([("file", pa.string()), ("reason", pa.string())]))
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(paths).select("path", "content")
+    return sorted((plain_path(r.file), r.reason) for r in files.mapInArrow(check, "file string, reason string").collect())
+
+
+def _gzip_damage(content: bytes) -> str | None:
+    """What is wrong with a gzip file of one or more members."""
+    if not content:
+        return "empty"
+    rest = content
+    while rest:
+        member = zlib.decompressobj(wbits=31)
+        try:
+            while rest and not member.eof:
+                member.decompress(rest, 1 << 20)  # the output is not kept
+                rest = member.unused_data if member.eof else member.unconsumed_tail
+        except zlib.error as reason:
+            return f"damaged: {reason}"
+        if not member.eof:
+            return "cut short"
+    return None
+
+
 def plain_path(path: str) -> str:
     return re.sub(r"^file:/+", "file:/", path)
 

@@ -183,3 +183,30 @@ def test_backfill_reports_broken_folders(spark, tables, tmp_path):
     table, skipped = history.backfill(spark, folders, payloads.read_air_quality, payloads.read_weather)
     assert skipped == [(folders[1][0], "no hourly data"), (folders[3][0], "no such folder")]
     assert table.count() == 24 * 8
+
+
+def test_backfill_names_archives_cut_part_way(spark, tmp_path):
+    """A cut archive beside a good one: its hours up to the break count, and it is listed."""
+    import gzip
+
+    from hazecast.sources import history, payloads
+
+    def document(day, fields):
+        return json.dumps({"hourly": {"time": [f"2024-01-{day:02d}T{h:02d}:00" for h in range(24)],
+                                      **{f: [float(day * 100 + h) for h in range(24)] for f in fields}}})
+
+    for side, fields in (("air", payloads.AIR_QUALITY_FIELDS), ("weather", payloads.WEATHER_FIELDS)):
+        folder = tmp_path / side
+        folder.mkdir()
+        (folder / "a.json.gz").write_bytes(gzip.compress((document(1, fields) + "\n").encode()))
+        lines = "".join(document(d, fields) + "\n" for d in range(2, 29)).encode()
+        whole = gzip.compress(lines[:9000], 1) + gzip.compress(lines[9000:], 1)  # two members
+        (folder / "b.json.gz").write_bytes(whole if side == "weather" else whole[:-60])
+    rows, skipped = history.backfill(spark, [(f"{tmp_path}/air", f"{tmp_path}/weather")],
+                                     payloads.read_air_quality, payloads.read_weather)
+    assert rows.filter("dayofmonth(timestamp) = 1").count() == 24
+    assert [(f.rsplit("/", 2)[1:], r) for f, r in skipped] == [(["air", "b.json.gz"], "cut short")]
+    (tmp_path / "air" / "b.json.gz").write_bytes(whole)
+    rows, skipped = history.backfill(spark, [(f"{tmp_path}/air", f"{tmp_path}/weather")],
+                                     payloads.read_air_quality, payloads.read_weather)
+    assert skipped == []
