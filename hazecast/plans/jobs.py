@@ -93,13 +93,17 @@ def train(readers: list[Callable[[], DataFrame]], model_path: str,
     return trained
 
 
-def serve(air: DataFrame, weather: DataFrame, model_path: str,
+def serve(air: DataFrame, weather: DataFrame, model_path: str | list[str],
           past_days: int = LIVE_DAYS, block_rows: int = layout.BLOCK_ROWS) -> dict[str, DataFrame]:
-    """Everything the live view shows, one table each."""
+    """Everything the live view shows, one table each.
+
+    Of several model folders the first that can be read serves all tables.
+    """
     spark = configure(air.sparkSession)
     live = recent_observations(air, weather, past_days)
     features = build_features(live, epoch=False, block_rows=block_rows)
-    models, names, metrics = training.load(spark, model_path)
+    folders = [model_path] if isinstance(model_path, str) else model_path
+    model_path, models, names, metrics = training.load_first(spark, folders)
     forecasts = forecasting.forecast(features, models, names)
     missing = [t for t in forecasting.TARGETS if t not in models]
     forecasts = forecasts.withColumns({t: F.lit(None).cast("double") for t in missing}) \

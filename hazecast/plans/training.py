@@ -10,7 +10,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VarianceThresholdSelector, VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -260,3 +262,22 @@ def load(spark: SparkSession, path: str) -> tuple[dict[str, PipelineModel], dict
               for r in current.select("run", "target").collect()}  # one row per target
     names = {t: m.stages[0].getInputCols() for t, m in models.items()}
     return models, names, current
+
+
+def load_first(spark: SparkSession, paths: list[str]) -> tuple[
+        str, dict[str, PipelineModel], dict[str, list[str]], DataFrame]:
+    """The first folder, in order of preference, whose models can all be read, and what ``load`` gives for it.
+
+    A folder that is missing, lists no model or lists one whose files are gone is passed over.
+    """
+    reasons = []
+    for path in paths:
+        try:
+            models, names, metrics = load(spark, path)
+        except (PySparkException, Py4JJavaError, ValueError) as reason:
+            reasons.append(f"{path}: {str(reason).splitlines()[0]}")
+            continue
+        if models:
+            return path, models, names, metrics
+        reasons.append(f"{path}: no model")
+    raise RuntimeError("no models available: " + "; ".join(reasons))

@@ -17,7 +17,9 @@ QUICK = ["parse_air_quality", "scan_recent", "backfill_chunks", "join_match_repo
          "eda_describe", "eda_corr_matrix", "resample_weekly", "category_distribution",
          "outlier_summary", "time_split", "regression_metrics", "forecast_alerts",
          "current_conditions", "upsert_features", "stream_daily_mean", "payload_rejects",
-         "source_fallback", "store_overview", "scan_recent_stored", "stream_corrected_mean", "gbt_stump"]
+         "source_fallback", "store_overview", "scan_recent_stored", "stream_corrected_mean", "gbt_stump",
+         "model_fallback", "report_by_rule", "ridge_pair", "importance_pair", "forecast_pair",
+         "feature_columns"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the test tables")
 

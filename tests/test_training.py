@@ -1,4 +1,5 @@
 import datetime as dt
+import shutil
 
 import numpy as np
 import pandas as pd
@@ -125,6 +126,20 @@ def test_save_load_and_forecast(spark, run, table, frame, tmp_path):
         assert r.aqi_target_24h == same_run[r.station_id].aqi_target_24h >= 0
 
 
+def test_models_fall_back_to_the_next_folder(spark, run, tmp_path):
+    missing, hollow, unlisted, good = (str(tmp_path / n) for n in ("missing", "hollow", "unlisted", "good"))
+    broken = training.save(run, hollow)
+    shutil.rmtree(f"{hollow}/runs/{broken}/aqi_target_72h")
+    run.metrics.limit(0).withColumn("run", F.lit("")).write.parquet(f"{unlisted}/model_metrics")
+    training.save(run, good)
+    path, models, names, metrics = training.load_first(spark, [missing, hollow, unlisted, good])
+    assert path == good and set(models) == {"aqi_target_24h", "aqi_target_72h"}
+    assert metrics.count() == 2 and names["aqi_target_24h"] == run.feature_names
+    assert training.load_first(spark, [good, missing])[0] == good
+    with pytest.raises(RuntimeError, match="missing.*unlisted"):
+        training.load_first(spark, [missing, hollow, unlisted])
+
+
 def test_forecast_points_and_alerts(spark):
     t = dt.datetime(2024, 1, 5)
     forecasts = spark.createDataFrame(

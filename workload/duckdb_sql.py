@@ -327,6 +327,40 @@ def constant_models_sql() -> str:
         f"SELECT target, model, {rounded(['rmse', 'mae'])}, (SELECT count(*) FROM made) AS training_rows FROM kept")
 
 
+def split_sql() -> str:
+    """Labelled rows of each target, the first four fifths of a station's for training."""
+    parts = " UNION ALL ".join(
+        f"SELECT '{t}' AS target, {KEY}, coalesce(pm10, 0e0) AS a, coalesce(aqi, 0e0) AS b, {t} AS y "
+        f"FROM made WHERE {t} IS NOT NULL" for t in TARGETS)
+    return (f"{targets_table()}, labelled AS ({parts}), split AS (SELECT *, "
+            "row_number() OVER (PARTITION BY target, station_id ORDER BY timestamp) - 1 < "
+            "floor(count(*) OVER (PARTITION BY target, station_id) * 0.8e0) AS is_train FROM labelled)")
+
+
+def rule_report_sql(rules: dict[str, str], columns: str) -> str:
+    """The best of rules that say one number of the training labels, per target."""
+    said = " UNION ALL ".join(
+        f"SELECT target, {n} AS nth, '{model}' AS model, {f}(y) AS p FROM split WHERE is_train GROUP BY target"
+        for n, (model, f) in enumerate(rules.items()))
+    return with_core(
+        f", {split_sql()}, rules AS ({said}), tried AS (SELECT target, nth, model, "
+        "sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae, "
+        "1e0 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2 "
+        "FROM split JOIN rules USING (target) WHERE NOT is_train GROUP BY ALL), "
+        "kept AS (SELECT * FROM tried QUALIFY row_number() OVER (PARTITION BY target ORDER BY rmse, nth) = 1) "
+        f"SELECT {columns} FROM kept")
+
+
+def pair_sql(body: str) -> str:
+    """Ridge of penalty 1 over pm10 and the index, by Cramer's rule on centred sums."""
+    return with_core(
+        f", {split_sql()}, sums AS (SELECT target, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, "
+        "var_pop(a) * count(*) + 1e0 AS aa, var_pop(b) * count(*) + 1e0 AS bb, covar_pop(a, b) * count(*) AS ab, "
+        "covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS by_ FROM split WHERE is_train GROUP BY 1), "
+        "fit AS (SELECT *, (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, "
+        f"(by_ * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM sums) {body}")
+
+
 def shown(c: str, digits: int, unit: str) -> str:
     pattern = f"%.{digits}f{unit}".replace("%'", "%%'")
     return f"CASE WHEN {c} IS NULL THEN 'N/A' ELSE printf('{pattern}', {c}) END AS {c}"
@@ -620,6 +654,28 @@ ORACLES["stream_corrected_mean"] = (
 ORACLES["stream_replay"] = ORACLES["stream_upsert"]
 ORACLES["source_fallback"] = ORACLES["features_csv_roundtrip"]
 ORACLES["models_by_target"] = constant_models_sql()
+ORACLES["model_fallback"] = rule_report_sql(
+    {"greatest": "max"}, f"target, model, {rounded(['rmse', 'mae'])}")
+ORACLES["report_by_rule"] = rule_report_sql(
+    {"mean": "avg", "greatest": "max", "least": "min"},
+    f"upper(replace(target, 'aqi_target_', '')) AS horizon, model, {rounded(['rmse', 'mae', 'r2'])}, "
+    f"{len(WINDOWED)} AS n_features, (SELECT count(*) FROM made) AS training_rows")
+ORACLES["ridge_pair"] = pair_sql(
+    f"SELECT {KEY}, {r6('y', 'label')}, {half_even('my + wa * (a - ma) + wb * (b - mb)', '1e4')} AS prediction "
+    f"FROM split JOIN fit USING (target) WHERE target = '{TARGETS[0]}' AND NOT is_train")
+ORACLES["importance_pair"] = pair_sql(
+    ", w AS (SELECT target, 'pm10' AS feature, abs(wa) AS w FROM fit UNION ALL SELECT target, 'aqi', abs(wb) FROM fit) "
+    f"SELECT target, feature, {half_even('w', '1e6')} AS importance, "
+    "CAST(row_number() OVER (PARTITION BY target ORDER BY w DESC, feature) AS INTEGER) AS place FROM w")
+ORACLES["forecast_pair"] = pair_sql(
+    f", {LATEST}, said AS (SELECT station_id, timestamp, aqi, target, "
+    "greatest(0e0, my + wa * (coalesce(pm10, 0e0) - ma) + wb * (coalesce(aqi, 0e0) - mb)) AS p FROM latest, fit), "
+    "wide AS (SELECT station_id, timestamp, aqi, "
+    + ", ".join(f"max(p) FILTER (WHERE target = '{t}') AS {t}" for t in TARGETS) + " FROM said GROUP BY 1, 2, 3) "
+    f"SELECT {KEY}, {r6('aqi', 'aqi')}, " + ", ".join(f"{half_even(t, '1e4')} AS {t}" for t in TARGETS) + " FROM wide")
+ORACLES["feature_columns"] = with_core(
+    f", lagged AS (SELECT *, {plain(window_columns('lags'))} FROM core) " + " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, count({c}) AS row_count FROM lagged" for c in [*CORE, *window_columns("lags")]))
 ORACLES["payload_rejects"] = with_air(
     "SELECT CASE day(timestamp) % 7 WHEN 0 THEN 'malformed' WHEN 1 THEN 'no hourly data' "
     "ELSE 'accepted' END AS reason, count(DISTINCT (station_id, CAST(timestamp AS DATE))) AS documents "

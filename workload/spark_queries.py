@@ -401,6 +401,73 @@ def models_by_target(spark, folder):
         "target", "model", "rmse", "mae", "training_rows"))
 
 
+def model_fallback(spark, folder):
+    """The preferred folder lacks a model's files, so all models come from the next one."""
+    path = work_folder(spark, "models")
+    with_targets(spark, folder).write.parquet(f"{path}-table")
+    table = spark.read.parquet(f"{path}-table")
+    training.save(training.train(table, candidates={"greatest": always(F.max)}, minimum=1), f"{path}/next")
+    lost = training.train(table, candidates={"least": always(F.min)}, minimum=1)
+    listed = training.select_models(lost.metrics).withColumn("run", F.lit("lost"))
+    listed.write.parquet(f"{path}/preferred/model_metrics")
+    _, models, _, metrics = training.load_first(spark, [f"{path}/none", f"{path}/preferred", f"{path}/next"])
+    return shown(metrics.filter(F.col("target").isin(list(models))).select("target", "model", "rmse", "mae"))
+
+
+def report_by_rule(spark, folder):
+    """The report of a saved run whose candidates say one number of the training labels."""
+    path = work_folder(spark, "models")
+    with_targets(spark, folder).write.parquet(f"{path}-table")
+    rules = {"mean": always(F.avg), "greatest": always(F.max), "least": always(F.min)}
+    training.save(training.train(spark.read.parquet(f"{path}-table"), candidates=rules, minimum=1), path)
+    return shown(training.report(training.load(spark, path)[2]))
+
+
+def pair_table(spark, folder) -> DataFrame:
+    """Two features and the targets: few enough that ridge has a closed form in SQL."""
+    path = work_folder(spark, "pair")
+    with_targets(spark, folder).drop("pm2_5").write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def pair_run(table: DataFrame) -> training.Trained:
+    return training.train(table, candidates={"ridge_regression": training.ridge}, minimum=1)
+
+
+def to_places(df: DataFrame, names: list[str], digits: int) -> DataFrame:
+    """Fitted values end in noise, which fewer places leave out."""
+    scale = F.lit(10.0 ** digits)
+    return df.withColumns({c: F.rint(F.col(c) * scale) / scale for c in names})
+
+
+def ridge_pair(spark, folder):
+    """Ridge over two features, scored on the rows it has not seen."""
+    _, scored = training.fit_one(pair_table(spark, folder), TARGETS[0], training.ridge, minimum=1)
+    return shown(to_places(scored.select(*KEY, "label", "prediction"), ["prediction"], 4))
+
+
+def importance_pair(spark, folder):
+    """Features ranked per target by the coefficients of ridge over two features."""
+    ranked = training.top_features(pair_run(pair_table(spark, folder)).importance)
+    return shown(to_places(ranked, ["importance"], 6))
+
+
+def forecast_pair(spark, folder):
+    """Forecasts of every target from ridge over two features."""
+    table = pair_table(spark, folder)
+    run = pair_run(table)
+    made = forecasting.forecast(table, run.models, {t: run.feature_names for t in run.models})
+    return shown(to_places(made, TARGETS, 4))
+
+
+def feature_columns(spark, folder):
+    """Names that count as features and how many rows have each; keys, dates and targets do not."""
+    table = windows.with_window_features(core(spark, folder), ["targets", "lags"], block_rows=BLOCK_ROWS)
+    names = features.feature_columns(table.withColumn("date", F.to_date("timestamp")))
+    counts = table.agg(*[F.count(f"`{c}`").alias(c) for c in names])
+    return counts.unpivot([], names, "feature", "row_count")
+
+
 def forecast(spark, folder):
     table = feature_table(spark, folder)
     run = training.train(table, candidates={"ridge_regression": training.ridge})
@@ -636,4 +703,10 @@ QUERIES = {
     "payload_rejects": payload_rejects,
     "source_fallback": source_fallback,
     "models_by_target": models_by_target,
+    "model_fallback": model_fallback,
+    "report_by_rule": report_by_rule,
+    "ridge_pair": ridge_pair,
+    "importance_pair": importance_pair,
+    "forecast_pair": forecast_pair,
+    "feature_columns": feature_columns,
 }
