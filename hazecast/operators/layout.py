@@ -48,6 +48,26 @@ def positions(df: DataFrame, cut_hours: int = CUT_HOURS) -> DataFrame:
             .drop("_cut", "_offset", "_rank"))
 
 
+def known_positions(df: DataFrame, columns: list[str], cut_hours: int = CUT_HOURS) -> DataFrame:
+    """Add ``pos_{c}`` and ``rows_{c}`` per column: rows of the series before this one, and in all, that have c.
+
+    All columns share one exchange; (station_id, timestamp) is unique.
+    """
+    cut = F.floor(epoch_hours(F.col("timestamp")) / F.lit(cut_hours)).cast("bigint")
+    rows = df.withColumn("_cut", cut)
+    sizes = rows.groupBy("station_id", "_cut").agg(*[F.count(c).alias(f"_n_{c}") for c in columns])
+    series = Window.partitionBy("station_id")
+    before = series.orderBy("_cut").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("station_id", "_cut", *[p for c in columns for p in (
+        F.coalesce(F.sum(f"_n_{c}").over(before), F.lit(0)).alias(f"_offset_{c}"),
+        F.sum(f"_n_{c}").over(series).alias(f"rows_{c}"))])
+    in_cut = Window.partitionBy("station_id", "_cut").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = rows.select("*", *[F.count(c).over(in_cut).alias(f"_rank_{c}") for c in columns])
+    return (numbered.join(offsets, ["station_id", "_cut"])
+            .withColumns({f"pos_{c}": F.col(f"_offset_{c}") + F.col(f"_rank_{c}") for c in columns})
+            .drop("_cut", *[f"_{kind}_{c}" for c in columns for kind in ("offset", "rank")]))
+
+
 def hour_positions(df: DataFrame) -> DataFrame:
     """Add ``pos`` as hours since the epoch, for frames that count hours."""
     return df.withColumn("pos", epoch_hours(F.col("timestamp")))

@@ -13,16 +13,16 @@ from datetime import datetime, timezone
 from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
 from pyspark.errors import PySparkException
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VarianceThresholdSelector, VectorAssembler
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from hazecast.fixed_values import MIN_TRAINING_ROWS, TARGETS, TRAIN_FRACTION
 from hazecast.functions.cleaning import impute_zero
-from hazecast.operators.layout import positions
+from hazecast.operators.layout import known_positions, positions
+from hazecast.operators.normal_equations import LinearModel, ridges
 from hazecast.operators.tree_growth import BoostedTrees, Growth, RandomForest
 from hazecast.plans.features import feature_columns
 
@@ -40,6 +40,17 @@ def with_split(rows: DataFrame, fraction: float = TRAIN_FRACTION) -> DataFrame:
             .drop("pos", "series_rows"))
 
 
+def with_splits(rows: DataFrame, targets: list[str], fraction: float = TRAIN_FRACTION) -> DataFrame:
+    """Add ``is_train_{target}`` per target: what ``with_split`` gives for its training rows, null elsewhere.
+
+    The rows are dealt and sorted once for all targets.
+    """
+    placed = known_positions(rows, targets)
+    return placed.withColumns({f"is_train_{t}": F.when(
+        F.col(t).isNotNull(), F.col(f"pos_{t}") < F.floor(F.col(f"rows_{t}") * F.lit(fraction)))
+        for t in targets}).drop(*[f"{kind}_{t}" for t in targets for kind in ("pos", "rows")])
+
+
 def prepare(features: DataFrame, target: str, names: list[str],
             minimum: int = MIN_TRAINING_ROWS) -> DataFrame:
     """Labelled rows with zero-filled features and their split."""
@@ -61,22 +72,30 @@ def random_forest(train: DataFrame, trees: int = 200, depth: int = 15):
     return RandomForest(trees, Growth(depth, split_rows=5, leaf_rows=2))
 
 
-def ridge(train: DataFrame, alpha: float = 1.0):
-    """Ridge with penalty ``alpha`` on the coefficients, as summed squares.
+class Ridge:
+    """Ridge with penalty ``alpha`` on the coefficients, as summed squares; constant features weigh 0.
 
-    Spark's solver scales the label by its deviation and averages the squares,
-    so its parameter is alpha * stddev_pop(label) / n. Constant features, whose
-    coefficient is 0, are left out: they would make the equations singular.
+    All targets of a run are solved from one pass over its rows (``fit_all``).
     """
-    row = train.agg(F.stddev_pop("label").alias("sd"), F.count("*").alias("n")).first()
-    if not row.n or not row.sd:
-        raise ValueError("ridge needs labels that vary")
-    varying = VarianceThresholdSelector(
-        featuresCol="features", outputCol="varying", varianceThreshold=0.0)
-    solver = LinearRegression(
-        featuresCol="varying", solver="normal", standardization=False, elasticNetParam=0.0,
-        regParam=alpha * row.sd / row.n)
-    return Pipeline(stages=[varying, solver])
+
+    def __init__(self, alpha: float = 1.0):
+        self.alpha = alpha
+
+    def __call__(self, train: DataFrame) -> "Ridge":
+        return self
+
+    def fit(self, train: DataFrame) -> LinearModel:
+        model, = self.fit_all(train.withColumn("is_train", F.lit(True)), [("label", "is_train")])
+        if isinstance(model, ValueError):
+            raise model
+        return model
+
+    def fit_all(self, table: DataFrame, labels: list[tuple[str, str]]) -> list[LinearModel | ValueError]:
+        """A model, or why there is none, per (label, flag) pair of columns."""
+        return ridges(table, labels, self.alpha)
+
+
+ridge = Ridge()
 
 
 CANDIDATES: dict[str, Callable] = {
@@ -131,16 +150,9 @@ def importances(model: PipelineModel) -> list[tuple[str, float]]:
     A candidate that knows neither, such as a fixed rule, has none.
     """
     names, fitted = model.stages[0].getInputCols(), model.stages[-1]
-    learner = fitted.stages[-1] if isinstance(fitted, PipelineModel) else fitted
-    if not hasattr(learner, "coefficients") and not hasattr(learner, "featureImportances"):
+    if not hasattr(fitted, "featureImportances"):
         return []
-    if isinstance(fitted, PipelineModel):
-        selector, linear = fitted.stages
-        weights = dict.fromkeys(names, 0.0)
-        for i, w in zip(selector.selectedFeatures, linear.coefficients.toArray()):
-            weights[names[i]] = abs(float(w))
-    else:
-        weights = dict(zip(names, map(float, fitted.featureImportances.toArray())))
+    weights = dict(zip(names, map(float, fitted.featureImportances.toArray())))
     return sorted(weights.items(), key=lambda p: -p[1])
 
 
@@ -163,32 +175,59 @@ def train(features: DataFrame, targets: list[str] = TARGETS,
     names = feature_columns(features)
     counts = features.agg(F.count("*").alias("total"), *[F.count(t).alias(t) for t in targets]).first()
     models, best, rows, weights, failures = {}, {}, [], [], {}
-    vectors, assembler = {}, VectorAssembler(inputCols=names, outputCol="features")
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    enough = [t for t in targets if counts[t] >= minimum]
     for target in targets:
-        if counts[target] < minimum:
+        if target not in enough:
             failures[target, "data"] = f"{counts[target]} rows have '{target}', {minimum} are needed"
-            continue
-        # read once per pass of every fit; evicted or lost blocks are recomputed
-        vectors[target] = assembler.transform(prepare(features, target, names, 0)).select(
-            "features", "label", "is_train").persist(StorageLevel.MEMORY_AND_DISK)
+    if not enough:
+        raise RuntimeError(f"no candidate could be trained: {failures}")
+    # one table for all targets, read once per pass of every fit; lost blocks are recomputed
+    table = assembler.transform(impute_zero(with_splits(features, enough), names)).select(
+        "features", *[c for t in enough for c in (F.col(t).cast("double").alias(t), f"is_train_{t}")]).persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+    def rows_of(target: str, part: str) -> DataFrame:
+        return table.filter(part).select("features", F.col(target).alias("label"))
 
-    def attempt(target: str, name: str):
-        learn, check = vectors[target].filter("is_train"), vectors[target].filter("NOT is_train")
+    def fitted_alone(target: str, name: str):
+        learn = rows_of(target, f"is_train_{target}")
+        return candidates[name](learn).fit(learn)
+
+    def judged(target: str, fit: Callable):
         try:
-            fitted = candidates[name](learn).fit(learn)
-            m = regression_metrics(fitted.transform(check)).first()
+            fitted = fit()
+            m = regression_metrics(fitted.transform(rows_of(target, f"NOT is_train_{target}"))).first()
         except Exception as reason:  # noqa: BLE001 - any failed fit is skipped
             return None, None, str(reason).splitlines()[0]
         return fitted, m, None if m else "no rows to validate on"
 
+    def attempt(name: str, mine: list[str]):
+        """Fits and metrics of one candidate: of one target, or of all it can fit in one pass."""
+        if not hasattr(candidates[name], "fit_all"):
+            return [judged(t, lambda t=t: fitted_alone(t, name)) for t in mine]
+        try:
+            models = candidates[name].fit_all(table, [(t, f"is_train_{t}") for t in mine])
+        except Exception as reason:  # noqa: BLE001
+            models = [reason] * len(mine)
+
+        def given(model):
+            if isinstance(model, Exception):
+                raise model
+            return model
+        return [judged(t, lambda m=m: given(m)) for t, m in zip(mine, models)]
+
     # fits are many small jobs, and none needs another: their stages share the executors
-    tries = [(t, name) for t in vectors for name in candidates]
+    pieces = [(name, mine) for name, make in candidates.items()
+              for mine in ([enough] if hasattr(make, "fit_all") else [[t] for t in enough])]
     try:
         with ThreadPoolExecutor(max_workers=FITS_AT_ONCE) as pool:
-            results = list(pool.map(lambda pair: attempt(*pair), tries))
+            done = list(pool.map(lambda piece: attempt(*piece), pieces))
     finally:
-        for v in vectors.values():
-            v.unpersist()
+        table.unpersist()
+    found = {(t, name): r for (name, mine), results in zip(pieces, done) for t, r in zip(mine, results)}
+    tries = [(t, name) for t in enough for name in candidates]
+    results = [found[pair] for pair in tries]
     for (target, name), (fitted, m, reason) in zip(tries, results):
         if reason:
             failures[target, name] = reason

@@ -4,8 +4,10 @@ import shutil
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from hazecast.operators import normal_equations
 from hazecast.plans import forecasting, training
 from helpers import same, to_spark
 
@@ -65,6 +67,8 @@ def test_split_is_chronological(table):
 def test_too_few_rows(table):
     with pytest.raises(ValueError):
         training.prepare(table, "aqi_target_48h", ["aqi"])
+    with pytest.raises(RuntimeError, match="are needed"):
+        training.train(table, ["aqi_target_48h"])
 
 
 def test_ridge_meets_the_normal_equations(table, frame):
@@ -83,6 +87,41 @@ def test_ridge_meets_the_normal_equations(table, frame):
     assert same(got, want, 1e-9)
 
 
+def test_splits_of_all_targets_equal_each_alone(table):
+    targets = ["aqi_target_24h", "aqi_target_72h"]
+    odd = table.withColumn("aqi_target_72h", F.when(F.hour("timestamp") % 3 != 0, F.col("aqi_target_72h")))
+    together = training.with_splits(odd, targets)
+    assert set(together.columns) == set(odd.columns) | {f"is_train_{t}" for t in targets}
+    for t in targets:
+        key = ["station_id", "timestamp"]
+        alone = training.with_split(training.training_rows(odd, t)).select(*key, "is_train")
+        mine = together.filter(F.col(f"is_train_{t}").isNotNull()).select(*key, f"is_train_{t}")
+        assert sorted(map(tuple, mine.collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_ridge_of_all_targets_is_one_pass_and_equals_each_alone(spark, table, frame):
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.normal(1e6, 1, 500), rng.normal(0, 50, 500), np.full(500, 7.0)])
+    y = x[:, :2] @ [3.0, -2.0] + rng.normal(0, 1, 500)
+    rows = [(Vectors.dense(a), float(b), float(-2 * b), float(i), bool(i % 3), bool(i % 2) if i % 7 else None, False)
+            for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, ["features", "a", "b", "c", "fa", "fb", "fc"])
+    labels = [("a", "fa"), ("b", "fb"), ("c", "fc")]
+    for parts in (1, 5):
+        first, second, none = normal_equations.ridges(df.repartition(parts), labels)
+        assert isinstance(none, ValueError)
+        for model, z, flag in ((first, y, [r[4] for r in rows]), (second, -2 * y, [bool(r[5]) for r in rows])):
+            u, v = x[flag], z[flag]
+            centred = (u - u.mean(0))[:, :2]
+            w = np.linalg.solve(centred.T @ centred + np.eye(2), centred.T @ (v - v.mean()))
+            assert same(model.values(), [*w, 0.0], 1e-8)
+            # the gradient of the penalised squares vanishes
+            rest = (v - v.mean()) - centred @ model.values()[:2]
+            assert np.abs(centred.T @ rest - model.values()[:2]).max() < 1e-5 * np.abs(centred.T @ (v - v.mean())).max()
+    empty = normal_equations.ridges(df.limit(0), labels)
+    assert all(isinstance(m, ValueError) for m in empty)
+
+
 def test_metrics(spark, run):
     rows = [(1.0, 2.0), (3.0, 3.0), (6.0, 4.0), (None, 1.0)]
     m = training.regression_metrics(spark.createDataFrame(rows, "label double, prediction double")).first()
