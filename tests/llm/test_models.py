@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -138,3 +139,50 @@ def test_languages_hard_rows(spark):
     assert all(got[i].lang_pred == "und" for i in (2, 3, 4, 7)) and got[5].lang_pred == "en"
     assert languages.trained(documents(spark, [])) is None
     assert languages.predicted(documents(spark, []), model).count() == 0
+
+
+def slow_nnpu(positive, unlabelled, width, prior, steps, rate, blank, correct):
+    """The non-negative risk and its gradient text by text, without sparsity; steps like Adagrad's."""
+    w, b = np.zeros(width), math.log(prior / (1 - prior))
+    square, square_b, turned = np.full(width, 1e-8), 1e-8, 0
+
+    def sums(texts, slope):
+        g, gb = np.zeros(width), 0.0
+        for t in texts:
+            z = b + sum(w[f] for f in t)
+            g[list(t)] += slope(z) / len(texts)
+            gb += slope(z) / len(texts)
+        return g, gb
+
+    def mean(texts):
+        return sum(math.log1p(math.exp(b + sum(w[f] for f in t))) for t in texts) / len(texts)
+
+    def rise(z):
+        return 1 / (1 + math.exp(-z))
+
+    for _ in range(steps):
+        every, minus, plus = sums(unlabelled, rise), sums(positive, rise), sums(positive, lambda z: -rise(-z))
+        clean = (1 - blank) * mean(unlabelled) + blank * mean([[]]) - prior * mean(positive)
+        g = (1 - blank) * every[0] - prior * minus[0]
+        gb = (1 - blank) * every[1] + blank * rise(b) - prior * minus[1]
+        if correct and clean < 0:
+            g, gb, turned = -g, -gb, turned + 1
+        else:
+            g, gb = g + prior * plus[0], gb + prior * plus[1]
+        square, square_b = square + g * g, square_b + gb * gb
+        w, b = w - rate * g / np.sqrt(square), b - rate * gb / math.sqrt(square_b)
+    return w, b, turned
+
+
+def test_the_fit_follows_the_non_negative_risk():
+    rng = np.random.default_rng(2)
+    positive = [sorted(rng.choice(8, 4, replace=False)) for _ in range(12)]
+    unlabelled = [sorted(rng.choice(12, 2, replace=False)) for _ in range(30)]
+    settings = dict(steps=120, rate=0.3, blank=0.25)
+    w, b, turned = slow_nnpu(positive, unlabelled, 12, 0.6, correct=True, **settings)
+    assert turned > 0  # the correction is met
+    got, bias = toxicity.fit_nnpu(positive, unlabelled, 12, 0.6, sparsity=0.0, slack=0.0, **settings)
+    assert np.allclose(got, w, atol=1e-6) and abs(bias - b) < 1e-6
+    off, _ = toxicity.fit_nnpu(positive, unlabelled, 12, 0.6, sparsity=0.0, slack=1e9, **settings)
+    plain, _, _ = slow_nnpu(positive, unlabelled, 12, 0.6, correct=False, **settings)
+    assert np.allclose(off, plain, atol=1e-6) and not np.allclose(off, got, atol=1e-2)
