@@ -77,8 +77,10 @@ def forecast_cards(forecasts: DataFrame, strict: bool = False) -> DataFrame:
         .alias("category"))
 
 
-def _shown(column: str, pattern: str) -> Column:
-    return F.when(F.col(column).isNotNull(), F.format_string(pattern, column)).otherwise("N/A")
+def _shown(column: str, pattern: str, unit: str) -> Column:
+    """A number as text; a tie goes to the even digit, as C and Python print it (``format_string`` rounds it up)."""
+    text = F.expr(f"format_number({column}, '{pattern}')")
+    return F.when(F.col(column).isNotNull(), F.concat(text, F.lit(unit))).otherwise("N/A")
 
 
 def current_conditions(observations: DataFrame, strict: bool = False) -> DataFrame:
@@ -89,11 +91,11 @@ def current_conditions(observations: DataFrame, strict: bool = False) -> DataFra
         "station_id", "timestamp", F.floor(value).cast("int").alias("aqi"),
         category(value, strict).alias("category"),
         category(value, strict, "message").alias("message"),
-        _shown("temperature", "%.1f°C").alias("temperature"),
-        _shown("humidity", "%.0f%%").alias("humidity"),
-        _shown("wind_speed", "%.1f km/h").alias("wind_speed"),
-        _shown("wind_direction", "%.0f°").alias("wind_direction"),
-        _shown("pressure", "%.0f hPa").alias("pressure"))
+        _shown("temperature", "0.0", "°C").alias("temperature"),
+        _shown("humidity", "0", "%").alias("humidity"),
+        _shown("wind_speed", "0.0", " km/h").alias("wind_speed"),
+        _shown("wind_direction", "0", "°").alias("wind_direction"),
+        _shown("pressure", "0", " hPa").alias("pressure"))
 
 
 def pollutant_breakdown(observations: DataFrame, strict: bool = False) -> DataFrame:
