@@ -124,3 +124,26 @@ def test_passes_and_written_margins(spark, frame, monkeypatch, tmp_path):
 def test_labels_that_do_not_vary(spark, frame):
     model = tg.BoostedTrees(rounds=2).fit(vectors(spark, frame.assign(label=4.0)))
     assert {r.prediction for r in model.transform(vectors(spark, frame)).collect()} == {4.0}
+
+
+def test_cuts_of_many_values_meet_their_ranks(spark, monkeypatch):
+    """More values than a summary holds, over many blocks and tasks; few values are all found, however rare."""
+    monkeypatch.setattr(tg, "SUMMARY", 512)
+    monkeypatch.setattr(tg, "BLOCK_ROWS", 700)
+    rng = np.random.default_rng(5)
+    many, few = rng.gamma(2.0, 30.0, 20000), np.where(np.arange(20000) % 9999 == 7, rng.integers(1, 3, 20000), 0)
+    rows = spark.createDataFrame(pd.DataFrame({"x": list(map(list, zip(many.tolist(), few.astype(float).tolist())))}), "x array<double>")
+    cuts = tg.cut_points(rows.repartition(5), 2, 64)
+    ranks = np.searchsorted(np.sort(many), cuts[0]) / len(many)
+    assert len(cuts[0]) == 63 and abs(ranks - np.arange(1, 64) / 64).max() < 0.01
+    assert cuts[1] == sorted({*few.tolist()})[:-1]
+
+
+def test_large_tables_send_histograms_of_one_task_per_core(spark, frame, monkeypatch):
+    """What the search for cuts gathers grows with the cores, not with the rows."""
+    monkeypatch.setattr(tg, "TASK_CELLS", 40)
+    data = vectors(spark, frame, 30)
+    rows, cuts, facts, _ = tg.RandomForest()._prepared(data)
+    state, tasks = tg.RandomForest._state(rows, cuts, facts)
+    assert tasks <= spark.sparkContext.defaultParallelism and state.rdd.getNumPartitions() <= tasks
+    state.unpersist()
