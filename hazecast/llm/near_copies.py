@@ -1,5 +1,9 @@
 """Near copies: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
+SimHash comes first: fingerprints of the shingle sets within three bits of each other are
+candidates, found by the generalised pigeonhole of ``simhash``, and compared by the sets.
+Most pairs just above 0.8 lie further apart than that, so MinHash finds the rest.
+
 A text has 240 MinHash values in 40 bands of six. Texts that agree in a whole band share a cell;
 a pair at a similarity of 0.8 misses all 40 cells with a chance of (1 - 0.8^6)^40 = 5e-6. What
 shares a cell is compared by the shingle sets themselves, so nothing is linked that is less
@@ -20,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hazecast.llm import simhash
 from hazecast.llm.common import arrow_map, ascii_words, discard, stored
 from hazecast.llm.repeats import text_key
 from hazecast.llm.simhash import components, least_rows
@@ -76,7 +81,7 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketches(texts: DataFrame) -> DataFrame:
-    """key (a digest of the shingle set), size, bands, sketch, and all but the text, of (text, ...)."""
+    """key (a digest of the shingle set), size, fp (its SimHash), bands, sketch, and all but the text, of (text, ...)."""
     keep = [c for c in texts.columns if c != "text"]
 
     def run(batches):
@@ -86,12 +91,13 @@ def sketches(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
                  pa.array([len(s) for s in sets], pa.int32()),
+                 pa.array([simhash.signed(simhash.majority(s)) for s in sets], pa.int64()),
                  pa.array(bands, pa.list_(pa.int64())), pa.array(made, pa.binary()), *batch.columns[1:]],
-                names=["key", "size", "bands", "sketch", *keep])
+                names=["key", "size", "fp", "bands", "sketch", *keep])
 
     kinds = [f"{c} {texts.schema[c].dataType.simpleString()}" for c in keep]
     return arrow_map(texts.select("text", *keep), run,
-                     ", ".join(["key binary", "size int", "bands array<long>", "sketch binary", *kinds]))
+                     ", ".join(["key binary", "size int", "fp long", "bands array<long>", "sketch binary", *kinds]))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -114,19 +120,37 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return stored(arrow_map(both.select("a", "b", "x", "y"), run, "a binary, b binary"), "alike")
 
 
+def near_fingerprints(nodes: DataFrame, radius: int = 3) -> DataFrame:
+    """Pairs (a, b) of keys to compare: of each fingerprint one key with the others, and with those of near fingerprints.
+
+    ``nodes`` has key and fp, a row per key.
+    """
+    first = stored(nodes.groupBy("fp").agg(F.min("key").alias("first")), "fingerprints")
+    near = simhash.links(first, radius)
+    same = nodes.join(first, "fp").filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    other = near.join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(
+        first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    pairs = stored(same.unionByName(other), "near-fingerprints")
+    discard(first)
+    return pairs
+
+
 def links(marks: DataFrame, docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Edges (a, b) between keys whose components are those of all similar pairs that share a cell.
 
-    ``marks`` has key, size, bands and digest (``text_key`` of the text in ``docs``).
+    ``marks`` has key, size, fp, bands and digest (``text_key`` of the text in ``docs``).
     """
     nodes = stored(marks.groupBy("key").agg(F.min("digest").alias("digest"), F.first("size").alias("size"),
-                                            F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+                                            F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes")
+    near = near_fingerprints(nodes.filter("size > 0").select("key", "fp"))
     cells = nodes.select("key", "size", F.explode("bands").alias("cell"))
     shared = stored(cells.groupBy("cell").agg(F.count("*").alias("n")).filter("n > 1"), "shared-cells")
     met = stored(cells.join(shared, "cell"), "met")
     weights = met.groupBy("key").agg(F.sum("n").alias("weight"))
     members = stored(met.select("cell", "key", "size").join(weights, "key"), "members")
-    digests = nodes.join(members.select("key").distinct(), "key", "left_semi").select("key", "digest", "sketch")
+    wanted = members.select("key").unionByName(near.select(F.col("a").alias("key"))).unionByName(
+        near.select(F.col("b").alias("key"))).distinct()
+    digests = nodes.join(wanted, "key", "left_semi").select("key", "digest", "sketch")
     texts = stored(docs.select(text_key(text_column).alias("digest"), F.col(text_column).alias("text")).join(
         digests, "digest").groupBy("key").agg(F.first("text").alias("text"), F.first("sketch").alias("sketch")), "near-texts")
     discard(shared, met, nodes)
@@ -139,7 +163,7 @@ def links(marks: DataFrame, docs: DataFrame, text_column: str = "text") -> DataF
         "cell", F.col("c.key").alias("centre"), F.col("c.size").alias("centre_size"))
     with_centre = stored(members.join(centres, "cell"), "with-centre")
     stars = stored(with_centre.filter("key <> centre").filter(fits("size", "centre_size")).select(
-        F.col("centre").alias("a"), F.col("key").alias("b")).distinct(), "stars")
+        F.col("centre").alias("a"), F.col("key").alias("b")).unionByName(near).distinct(), "stars")
     found = _verified(stars, texts)
     roots = stored(components(found), "roots")
     parts = stored(with_centre.join(roots.withColumnRenamed("node", "key"), "key", "left").select(
@@ -149,7 +173,7 @@ def links(marks: DataFrame, docs: DataFrame, text_column: str = "text") -> DataF
     left = stored(parts.filter("key <> centre").join(divided, "cell", "left_semi").select(
         "cell", "key", "size", "part"), "open")
     more = _compared(left, texts)
-    discard(members, with_centre, stars, roots, parts, left, texts)
+    discard(near, members, with_centre, stars, roots, parts, left, texts)
     return found.unionByName(more)
 
 

@@ -42,7 +42,11 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     else:
         shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return majority(np.array([digest(s, SEED) for s in shingles], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of some 64-bit hashes have; zero of none."""
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[at:at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

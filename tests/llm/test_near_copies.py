@@ -88,3 +88,29 @@ def test_blocks_of_a_cell_change_nothing(spark, monkeypatch):
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == wanted
     monkeypatch.setattr(near_copies, "BLOCK_ROWS", 4)
     assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == wanted
+
+
+def test_fingerprints_within_three_bits_are_compared(spark):
+    """The SimHash step gives candidates that connect all keys whose fingerprints are near; the sets decide."""
+    import itertools
+
+    import corpus_pipeline as pipeline
+    from hazecast.llm import simhash
+    from pyspark.sql import functions as F
+
+    draw, texts = random.Random(9), []
+    for i in range(20):
+        words = prose(300, 2000 + i).split()
+        texts += [" ".join(words), *(edited(words, k, draw) for k in (1, 1, 2))]
+    docs = documents(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])
+    marks = near_copies.sketches(docs.select("text"))
+    fps = {bytes(r.key): r.fp % (1 << 64) for r in marks.collect()}
+    got = [(bytes(r.a), bytes(r.b)) for r in near_copies.near_fingerprints(marks.select("key", "fp").distinct()).collect()]
+    roots = {r.node: r.root for r in simhash.components(
+        spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in got], "a binary, b binary").withColumns(
+            {c: F.hex(c) for c in "ab"})).collect()}
+    close = [(a, b) for a, b in itertools.combinations(fps, 2) if (fps[a] ^ fps[b]).bit_count() <= 3]
+    assert close and all(roots[a.hex().upper()] == roots[b.hex().upper()] for a, b in close)
+    assert all((fps[a] ^ fps[b]).bit_count() <= 3 for a, b in got)
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    assert {r.doc_id for r in pipeline.without_near_duplicates(spark, docs, "").collect()} == slow_kept(rows)
