@@ -201,3 +201,31 @@ def test_forecast_points_and_alerts(spark):
              for r in forecasting.forecast_cards(forecasts).collect()}
     assert cards[0, 48] == (None, "No Model Loaded") and cards[0, 24] == (100, "Moderate")
     assert spark.range(1).select(forecasting.clamp(F.lit(-3.0))).first()[0] == 0.0
+
+
+def test_split_by_time_deals_out_no_rows(spark, frame):
+    """The splits are those of dealt rows; of the wide rows none is shuffled."""
+    targets = ["aqi_target_24h", "aqi_target_72h"]
+    df = frame.assign(aqi_target_72h=frame.aqi_target_72h.where(np.arange(len(frame)) % 7 > 0))
+    df.loc[3, "timestamp"] = pd.NaT
+    rows = to_spark(spark, df)
+    got, want = training.split_by_time(rows, targets), training.with_splits(rows, targets)
+    flags = ["station_id", "timestamp", *[f"is_train_{t}" for t in targets]]
+    assert got.count() == want.count() == len(df) - 1
+    assert got.select(flags).exceptAll(want.select(flags)).isEmpty()
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_targets_and_candidates_share_bins(table, monkeypatch):
+    """Cut points and binned rows are made once a run, not once per target and candidate."""
+    made, own = [], training.LabelBins
+
+    def counted(*given):
+        made.append(own(*given))
+        return made[-1]
+
+    monkeypatch.setattr(training, "LabelBins", counted)
+    trees = {name: CANDIDATES[name] for name in ("boosted_trees", "random_forest")}
+    got = training.train(table, ["aqi_target_24h", "aqi_target_72h"], trees)
+    assert len(made) == 1 and not got.failures and len(got.metrics.collect()) == 4
+    assert not made[0].table.is_cached

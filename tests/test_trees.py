@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
@@ -147,3 +148,39 @@ def test_large_tables_send_histograms_of_one_task_per_core(spark, frame, monkeyp
     state, tasks = tg.RandomForest._state(rows, cuts, facts)
     assert tasks <= spark.sparkContext.defaultParallelism and state.rdd.getNumPartitions() <= tasks
     state.unpersist()
+
+
+def test_labels_share_one_pass(spark, frame):
+    """Cut points and bins of several labels at once are those each label has alone."""
+    table = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features").transform(to_spark(spark, frame).repartition(3)).selectExpr(
+        "features", "label", "label * 2 AS two", "a < 15 AS learns", "CASE WHEN d > 0 THEN true END AS other")
+    shared = tg.LabelBins(table, [("label", "learns"), ("two", "other")], 16)
+    for i, (label, flag) in enumerate((("label", "learns"), ("two", "other"))):
+        own = table.filter(flag).selectExpr("features", f"{label} AS label")
+        rows, cuts, facts, grid = tg.RandomForest(bins=16)._prepared(own)
+        got = shared.of(i)
+        assert (got.cuts, got.facts, got.grid) == (cuts, facts, grid)
+        alone = tg.binned(rows, cuts, facts.mean)
+        assert got.state.exceptAll(alone).isEmpty() and alone.exceptAll(got.state).isEmpty()
+    shared.unpersist()
+
+
+def test_histograms_equal_plain_sums(frame):
+    """Weights above 1, rows without a slot and more than one block."""
+    rng = np.random.default_rng(2)
+    x, label = rng.integers(0, 8, (500, 3)).astype(np.uint8), rng.integers(-9, 9, 500) * 1.0
+    batches = [pa.RecordBatch.from_pydict({"key": np.arange(i, i + 100), "label": label[i:i + 100], "margin": np.zeros(100),
+                                           "bins": [r.tobytes() for r in x[i:i + 100]]}) for i in range(0, 500, 100)]
+    tree = tg.Tree()
+    tree.split(0, 1, 3, 1.0)
+    draw = tg.bootstrap(1)
+    sums = tg._histograms(range(4, 5), draw, {0: tree.arrays()}, {0: np.array([-1, -1, 0])}, 1, 3, 8, [np.arange(3)], 1.0, [], 1.0)
+    row, = list(sums(iter(batches)))
+    got = np.zeros((3, 3 * 8))
+    got[:, np.frombuffer(row["cells"][0].as_py(), "<i4")] = np.frombuffer(row["sums"][0].as_py()).reshape(3, -1)
+    want = np.zeros((3, 3, 8))
+    for r, y, w in zip(x, label, draw(np.arange(500), 4)):
+        if r[1] > 3 and w:
+            for f in range(3):
+                want[:, f, r[f]] += (-y * w, w, 1)
+    assert (got == want.reshape(3, -1)).all() and want[1].max() > want[2].max()
