@@ -85,17 +85,19 @@ def with_block(df: DataFrame, block_rows: int) -> DataFrame:
 
 
 def blocks_with_halo(df: DataFrame, block_rows: int,
-                     back: int, ahead: int) -> DataFrame:
+                     back: int, ahead: int, from_zero: bool = False) -> DataFrame:
     """Copy each row to every block whose frames reach it.
 
     ``block`` is the block a copy goes to, ``own`` tells the row's own block
     from the others; a block's frames see ``back`` rows before and ``ahead``
-    rows after it.
+    rows after it. Where positions count ``from_zero``, no copy goes to a block
+    before the first.
     """
     def block(pos: Column) -> Column:
         return F.floor(pos / F.lit(block_rows)).cast("bigint")
 
     check_block(block_rows)
     pos = F.col("pos")
-    return (df.withColumn("block", F.explode(F.sequence(block(pos - ahead), block(pos + back))))
+    first = F.greatest(pos - ahead, F.lit(0)) if from_zero else pos - ahead
+    return (df.withColumn("block", F.explode(F.sequence(block(first), block(pos + back))))
             .withColumn("own", F.col("block") == block(pos)))

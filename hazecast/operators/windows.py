@@ -55,13 +55,17 @@ def rolling_extremes(f: Frames) -> dict[str, str]:
     out = {}
     for c in WINDOWED:
         for n in ROLLING_WINDOWS:
-            low, high = f"min({c}) {f.trailing(n)}", f"max({c}) {f.trailing(n)}"
-            out[f"{c}_rolling_min_{n}h"] = low
-            out[f"{c}_rolling_max_{n}h"] = high
-            out[f"{c}_range_{n}h"] = f"{high} - {low}"
+            out[f"{c}_rolling_min_{n}h"] = f"min({c}) {f.trailing(n)}"
+            out[f"{c}_rolling_max_{n}h"] = f"max({c}) {f.trailing(n)}"
     return out
 
 
+def ranges() -> dict[str, str]:
+    """What follows each maximum. Made of the extremes: a window function written twice is evaluated twice."""
+    return {f"{c}_rolling_max_{n}h": f"{c}_rolling_max_{n}h - {c}_rolling_min_{n}h AS {c}_range_{n}h"
+            for c in WINDOWED for n in ROLLING_WINDOWS}
+
+
 def lags(f: Frames) -> dict[str, str]:
     return {f"{c}_lag_{n}h": f.shifted(c, -n) for c in WINDOWED for n in LAG_STEPS}
 
@@ -220,37 +224,40 @@ GROUPS = {
 
 def with_window_features(df: DataFrame, groups: list[str], frame: str = "rows",
                          block_rows: int = layout.BLOCK_ROWS, seed: DataFrame | None = None,
-                         weights: bool = False) -> DataFrame:
+                         weights: bool = False, numbered: bool = False) -> DataFrame:
     """Add the named groups (keys of ``GROUPS``, and ``ewma``).
 
     ``frame="rows"`` counts rows of the series, ``frame="time"`` counts hours,
     which differ where hours are missing. For parts of series, ``seed`` gives the state
     before a part's first row; with ``weights`` the weights behind the means are added.
+    Rows that are ``numbered`` bring ``pos`` as ``layout.positions`` would make it.
     """
     if frame not in ("rows", "time"):
         raise ValueError("frame is 'rows' or 'time'")
     by_hour = frame == "time"
-    placed = layout.hour_positions(df) if by_hour else layout.positions(df)
+    place = layout.hour_positions if by_hour else layout.positions
+    placed = df if numbered else place(df)
     with_ewma = "ewma" in groups
-    columns = df.columns
+    columns = [c for c in df.columns if not numbered or c != "pos"]
 
     back = HALO_BACK if set(groups) - {"targets", "ewma"} else 0
     ahead = HALO_AHEAD if "targets" in groups else 0
-    blocks = layout.blocks_with_halo(placed, block_rows, back, ahead)
+    blocks = layout.blocks_with_halo(placed, block_rows, back, ahead, from_zero=not by_hour)
     frames = Frames(by_hour=by_hour)
 
     made: dict[str, str] = {}
     for name in groups:
         if name != "ewma":
             made |= GROUPS[name](frames)
-    names = list(made)
+    spans = ranges()
+    names = [e for n in made for e in ((n, spans[n]) if n in spans else (n,))]
     if with_ewma:
         made |= ewma_sums(frames, block_rows)
     out = blocks.selectExpr(
         *columns, "pos", "block", "own", *[f"{e} AS {n}" for n, e in made.items()]
     ).filter("own")
     if not with_ewma:
-        return out.select(*columns, *names)
+        return out.selectExpr(*columns, *names)
     # joined on what the windows are partitioned by: the wide rows stay put
     states = block_states(placed.select("station_id", "pos", *WINDOWED), block_rows, seed)
     ewma = ewma_from(block_rows) | (ewma_weights(block_rows) if weights else {})

@@ -41,6 +41,10 @@ def merged(existing: DataFrame, batch: DataFrame, keep_known: bool = False) -> D
     """
     values = [c for c in batch.columns if c not in KEY]
     stored = [c for c in existing.columns if c not in KEY]
+    if not keep_known and set(stored) <= set(values):
+        # the batch's rows replace whole rows: they stay where they are, and only their keys meet the stored ones
+        untouched = existing.join(batch.select(*KEY), KEY, "left_anti")
+        return batch.select(*KEY, *values).unionByName(untouched, allowMissingColumns=True)
     # a struct per side tells "no row" from "a row of nulls" after the join
     old = existing.select(*KEY, F.struct(*stored).alias("o"))
     new = batch.select(*KEY, F.struct(*values).alias("n"))
@@ -204,13 +208,16 @@ class FeatureStore:
         return self.overview().first()["row_count"]
 
     def upsert(self, batch: DataFrame, keep_known: bool = False,
-               order: str | None = None) -> dict[str, int]:
+               order: str | None = None, cached: bool = False) -> dict[str, int]:
         """Write sanitised rows (epoch-millisecond ``timestamp``, unique keys).
 
         A row without a time has no key and is left out. With ``order`` a stored copy stays where it is the newer one. Returns how many rows
         were prepared, inserted and updated; the listing tells how many the store gained.
+        ``cached`` says that the batch is read from rows already kept, so no second copy is made of it.
         """
-        batch = batch.filter(F.col("timestamp").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+        batch = batch.filter(F.col("timestamp").isNotNull())
+        if not cached:
+            batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             # a batch touches at most one day per calendar day it covers
             touched = {r.day: r.n for r in batch.groupBy(day_of().alias("day")).agg(F.count("*").alias("n")).collect()}
@@ -228,7 +235,8 @@ class FeatureStore:
             inserted = self._rows() - before
             return {"prepared": prepared, "inserted": inserted, "updated": prepared - inserted}
         finally:
-            batch.unpersist()
+            if not cached:
+                batch.unpersist()
 
     def vacuum(self) -> int:
         """Delete files of days that newer versions replaced; returns how many folders went.

@@ -111,7 +111,7 @@ def touched(batch: DataFrame, raw: FeatureStore, index: FeatureStore) -> DataFra
 
 
 def slices(now: DataFrame) -> DataFrame:
-    """Cuts to read: their ``slice`` (its first cut), first position, and the rows to make again.
+    """Cuts to read: their ``slice`` (its first cut) and where that begins, first position, and the rows to make again.
 
     ``low`` and ``high`` bound the positions made again in a cut; a cut with context alone has
     none. A station's index is one window group: one row per 256 hours.
@@ -148,8 +148,9 @@ def slices(now: DataFrame) -> DataFrame:
         F.min("low").alias("low"), F.max("high").alias("high"),
         *[F.first(f"before_{c}").alias(c) for c in state_columns()])
     run = F.col("number") - F.row_number().over(before)
-    return cuts.withColumn("run", run).withColumn(
-        "slice", F.min("cut").over(Window.partitionBy("station_id", "run"))).drop("run", "number")
+    part = Window.partitionBy("station_id", "run")
+    return cuts.withColumn("run", run).withColumns({
+        "slice": F.min("cut").over(part), "slice_p": F.min("p").over(part)}).drop("run", "number")
 
 
 def _series():
@@ -162,14 +163,15 @@ def seeds(plan: DataFrame) -> DataFrame:
 
 
 def rows_of(plan: DataFrame, raw: FeatureStore) -> DataFrame:
-    """Raw rows of the slices, each a series of its own; ``remake`` tells rows to make again."""
+    """Raw rows of the slices, each a series of its own with known positions; ``remake`` tells rows to make again."""
     rows = with_time(raw.read_days(_days(plan))).drop("ingest_seq")
-    wanted = plan.select("station_id", "cut", "slice", "p", F.col("rows").alias("cut_rows"), "low", "high")
+    wanted = plan.select("station_id", "cut", "slice", "p", F.col("rows").alias("cut_rows"), "low", "high", "slice_p")
     placed = _ranked(rows).join(wanted, ["station_id", "cut"])
     pos = F.col("p") + F.col("rank")
     return placed.select(
         _series(), *[c for c in rows.columns if c != "station_id"], pos.between(F.col("low"), F.col("high")).alias("remake"),
-        "cut", (F.col("rank") == F.col("cut_rows") - 1).alias("cut_end"))
+        "cut", (F.col("rank") == F.col("cut_rows") - 1).alias("cut_end"),
+        (pos - F.col("slice_p")).alias("pos"))
 
 
 def renewed(now: DataFrame, made: DataFrame) -> DataFrame:

@@ -65,10 +65,11 @@ def update_features(batch: DataFrame, raw_path: str, store_path: str,
     part = series_index.rows_of(plan, raw_store).persist(StorageLevel.MEMORY_AND_DISK)
     made = None
     try:
-        made = build_features(part, block_rows=block_rows, seed=series_index.seeds(plan), weights=True).filter(
+        made = build_features(part, block_rows=block_rows, seed=series_index.seeds(plan), weights=True, numbered=True).filter(
             "remake").withColumn("station_id", F.col("station_id.station_id")).persist(StorageLevel.MEMORY_AND_DISK)
         weights = [c for c in made.columns if "_weight_" in c]
-        counts = FeatureStore(spark, store_path).upsert(made.drop("remake", "cut", "cut_end", *weights))
+        counts = FeatureStore(spark, store_path).upsert(
+            made.drop("remake", "cut", "cut_end", *weights), cached=True)
         index.upsert(series_index.renewed(now, made))
         return counts
     finally:

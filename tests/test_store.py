@@ -64,6 +64,16 @@ def test_columns_may_differ(spark):
     assert got == {0: (1.0, 2.0), 1: (None, 3.0)}
 
 
+def test_replacing_rows_are_not_joined(spark):
+    """A batch with all stored columns replaces whole rows: only its keys meet the stored ones."""
+    old = batch(spark, [(0, T0, 1.0, 1.0), (1, T0, 2.0, 2.0)])
+    new = batch(spark, [(0, T0, None, 5.0), (2, T0, 3.0, 3.0)])
+    got = fs.merged(old, new)
+    assert sorted(map(tuple, got.collect())) == [(0, T0, None, 5.0), (1, T0, 2.0, 2.0), (2, T0, 3.0, 3.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "FullOuter" not in plan
+
+
 def test_a_column_may_come_later(spark, tmp_path):
     store = fs.FeatureStore(spark, f"{tmp_path}/store", merge_schema=True)
     store.upsert(batch(spark, [(0, T0, 1.0, 1.0), (0, T0 + 48 * HOUR, 2.0, 2.0)]))

@@ -122,3 +122,28 @@ def test_limits(spark, long_series):
         windows.with_window_features(base, ["lags"], frame="weeks")
     with pytest.raises(ValueError):
         windows.with_window_features(base, ["ewma"], block_rows=100)
+
+
+def test_no_copies_go_outside_the_series(spark, long_series):
+    """A short series is one block: frames that reach beyond its ends cost no rows."""
+    short = to_spark(spark, long_series[long_series.station_id > 0])
+    placed = layout.positions(short)
+    copies = layout.blocks_with_halo(placed, 1024, windows.HALO_BACK, windows.HALO_AHEAD, from_zero=True)
+    assert copies.count() == placed.count() and not copies.filter("NOT own").count()
+
+
+def test_no_window_function_is_written_twice(spark, long_series):
+    plan = plan_of(windows.with_window_features(with_aqi(to_spark(spark, long_series)), ["rolling_minmax"]))
+    node = next(line for line in plan.splitlines() if "Window [" in line and "min(pm2_5" in line)
+    assert node.count("max(pm2_5") == len(ROLLING_WINDOWS)
+
+
+def test_known_positions_are_not_counted_again(spark, long_series):
+    base = with_aqi(to_spark(spark, long_series))
+    known = layout.positions(base).drop("series_rows")
+    made = [windows.with_window_features(df, ["lags", "ewma"], block_rows=512, numbered=again)
+            for df, again in ((base, False), (known, True))]
+    assert made[0].columns == made[1].columns
+    assert made[0].exceptAll(made[1]).isEmpty() and made[1].exceptAll(made[0]).isEmpty()
+    # the one numbering is that of the rows brought
+    assert plan_of(made[1]).count("row_number()") == plan_of(made[0]).count("row_number()")

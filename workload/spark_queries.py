@@ -592,13 +592,16 @@ def stream_features(spark, folder):
     """Observations arrive in two drops; features equal one whole build."""
     root = work_folder(spark, "stream-features")
     day = F.dayofmonth("timestamp")
-    table = obs(spark, folder)
-    for low, high in ((1, 17), (18, 31)):
-        table.filter(day.between(low, high)).withColumn("ingest_seq", F.lit(low).cast("bigint")) \
-            .write.mode("append").parquet(f"{root}/in")
-        made = stream_upserts.run_features(
-            spark, f"{root}/in", f"{root}/raw", f"{root}/store", f"{root}/progress",
-            block_rows=BLOCK_ROWS)
+    table = obs(spark, folder).persist()
+    try:
+        for low, high in ((1, 17), (18, 31)):
+            table.filter(day.between(low, high)).withColumn("ingest_seq", F.lit(low).cast("bigint")) \
+                .write.mode("append").parquet(f"{root}/in")
+            made = stream_upserts.run_features(
+                spark, f"{root}/in", f"{root}/raw", f"{root}/store", f"{root}/progress",
+                block_rows=BLOCK_ROWS)
+    finally:
+        table.unpersist()
     return shown(made.select(*features.column_order()))
 
 
