@@ -112,7 +112,8 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
             text_column: str = "text", label_column: str = "toxic") -> dict:
     """A model {weights: feature -> weight, bias} from the texts of ``docs``.
 
-    Features are chosen by the texts of all rows that have them, and fitted on about
+    Features are chosen by the texts of all rows that have them: a subset of the rows shows which
+    cannot be chosen, as further rows only lower their chance, the rest is counted in all. They are fitted on about
     ``most_positive`` texts labelled 1 and ``most_unlabelled`` texts of any label with a chosen
     feature, drawn by a hash of their id. The prior is the share of 1 among labelled rows. Of
     labels with one id the largest counts; null labels and ids do not. Without texts labelled
@@ -153,17 +154,31 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
         if every:
             yield rows_of(every, bad)
 
-    counted = arrow_map(texts.select("p", "text"), tallied, "feature string, in_p long, in_u long").groupBy(
-        "feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+    def part(share, salt):
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 20)) < int(min(1, share) * (1 << 20))
+
     # a word of toxic texts alone is 1 / prior times as common there as in all texts
     chance = (F.col("in_u") + 1) * positives / rows
-    telling = (F.col("in_p") * prior > 0.75 * chance) & (F.col("in_p") - chance > 5 * F.sqrt(chance))
-    kept = [r[0] for r in counted.filter((F.col("in_p") >= least_documents) & telling)
-            .orderBy(F.desc("in_p"), "feature").limit(most_features).select("feature").collect()]
-    place = {f: i for i, f in enumerate(kept)}
+    telling = (F.col("in_p") >= least_documents) & (F.col("in_p") * prior > 0.75 * chance) & (
+        F.col("in_p") - chance > 5 * F.sqrt(chance))
+    best = [F.desc("in_p"), "feature"]
+
+    def passing(share):
+        """Features that the counts over all toxic texts and a share of the others let pass."""
+        some = texts.filter(F.col("p") | part(share, 3)).select("p", "text")
+        counted = arrow_map(some, tallied, "feature string, in_p long, in_u long").groupBy(
+            "feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
+        return counted.filter(telling).orderBy(*best)
+
+    # somewhat above the share at which a word as common in toxic texts as in others falls out
+    share = 1.3 * max(0.0, prior / 0.75 - positives / rows) / max(1e-9, 1 - positives / rows)
+    candidates = [r.feature for r in passing(share).limit(2 * most_features + 1).collect()]
+    if len(candidates) > 2 * most_features:
+        candidates = [r.feature for r in passing(1).limit(most_features).collect()]
+    place = {f: i for i, f in enumerate(candidates)}
 
     def indexed(batches):
-        """Texts that have a chosen feature, and all toxic ones."""
+        """Texts that have a candidate, and all toxic ones."""
         found = _remembered(place)
         for batch in batches:
             lists = [sorted(place[f] for f in found(t)) for t in batch.column(2).to_pylist()]
@@ -172,14 +187,27 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
             yield out.filter(pa.array([p or bool(x) for p, x in zip(batch.column(0).to_pylist(), lists)], pa.bool_()))
 
     kind = docs.schema[id_column].dataType.simpleString()
-    points = stored(arrow_map(texts, indexed, f"p boolean, id {kind}, features array<int>"), "points")
-    having = points.filter(F.size("features") > 0).count()
-
-    def share(most, of, salt):
-        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 20)) < int(min(1, most / max(1, of)) * (1 << 20))
+    kinds = f"p boolean, id {kind}, features array<int>"
+    points = stored(arrow_map(texts, indexed, kinds), "points")
+    exact = points.select("p", F.explode("features").alias("place")).groupBy("place").agg(
+        F.count_if("p").alias("in_p"), F.count("*").alias("in_u")).filter(telling).collect()
+    kept = sorted(((-r.in_p, candidates[r.place], r.place) for r in exact),
+                  key=lambda k: (k[0], k[1].encode()))[:most_features]
+    renumber = np.full(len(candidates), -1)
+    renumber[[k[2] for k in kept]] = np.arange(len(kept))
+    kept = [k[1] for k in kept]
+
+    def renumbered(batches):
+        for batch in batches:
+            lists = [np.sort(new[new >= 0]) for new in (
+                renumber[np.asarray(f, dtype=np.int64)] for f in batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lists, pa.list_(pa.int32()))],
+                                             names=["p", "id", "features"])
 
-    points = points.select((F.col("p") & share(most_positive, positives, 1)).alias("p"),
-                           ((F.size("features") > 0) & share(most_unlabelled, having, 2)).alias("u"), "features")
+    points = arrow_map(points, renumbered, kinds)
+    having = points.filter(F.size("features") > 0).count()
+    points = points.select((F.col("p") & part(most_positive / max(1, positives), 1)).alias("p"),
+                           ((F.size("features") > 0) & part(most_unlabelled / max(1, having), 2)).alias("u"), "features")
     # bounded by the two parameters: the limit only meets tables whose ids repeat
     points = points.filter("p or u").limit(2 * (most_positive + most_unlabelled)).toPandas()
     if not points.p.any():

@@ -186,3 +186,21 @@ def test_the_fit_follows_the_non_negative_risk():
     off, _ = toxicity.fit_nnpu(positive, unlabelled, 12, 0.6, sparsity=0.0, slack=1e9, **settings)
     plain, _, _ = slow_nnpu(positive, unlabelled, 12, 0.6, correct=False, **settings)
     assert np.allclose(off, plain, atol=1e-6) and not np.allclose(off, got, atol=1e-2)
+
+
+def test_words_are_tallied_over_a_share_of_the_texts(spark, monkeypatch):
+    """Common words fall out by a share of the clean texts; those chosen are counted in all."""
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('common words here ', "
+                                        "CASE WHEN id % 40 = 0 THEN 'vile' ELSE 'kind' END) AS text")
+    known = docs.selectExpr("doc_id", "CAST(doc_id % 40 = 0 AS int) AS toxic")
+    tallied, map_of = [], toxicity.arrow_map
+
+    def noted(df, function, schema):
+        if schema.startswith("feature "):
+            tallied.append(df.count())
+        return map_of(df, function, schema)
+
+    monkeypatch.setattr(toxicity, "arrow_map", noted)
+    model = toxicity.trained(docs, known)
+    assert len(tallied) == 1 and tallied[0] < 500
+    assert model["weights"] and all(f.startswith("vil") for f in model["weights"])
