@@ -16,6 +16,7 @@ of unlabelled texts is drawn from those that have one, however rare these are.
 import math
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -113,7 +114,8 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
     """A model {weights: feature -> weight, bias} from the texts of ``docs``.
 
     Features are chosen by the texts of all rows that have them: a subset of the rows shows which
-    cannot be chosen, as further rows only lower their chance, the rest is counted in all. They are fitted on about
+    cannot be chosen, as further rows only lower their chance, the rest is counted in all, as many
+    at a time as a task holds. They are fitted on about
     ``most_positive`` texts labelled 1 and ``most_unlabelled`` texts of any label with a chosen
     feature, drawn by a hash of their id. The prior is the share of 1 among labelled rows. Of
     labels with one id the largest counts; null labels and ids do not. Without texts labelled
@@ -161,20 +163,43 @@ def trained(docs: DataFrame, labels: DataFrame, most_positive: int = 6000, most_
     chance = (F.col("in_u") + 1) * positives / rows
     telling = (F.col("in_p") >= least_documents) & (F.col("in_p") * prior > 0.75 * chance) & (
         F.col("in_p") - chance > 5 * F.sqrt(chance))
-    best = [F.desc("in_p"), "feature"]
-
-    def passing(share):
-        """Features that the counts over all toxic texts and a share of the others let pass."""
-        some = texts.filter(F.col("p") | part(share, 3)).select("p", "text")
-        counted = arrow_map(some, tallied, "feature string, in_p long, in_u long").groupBy(
-            "feature").agg(F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u"))
-        return counted.filter(telling).orderBy(*best)
-
-    # somewhat above the share at which a word as common in toxic texts as in others falls out
-    share = 1.3 * max(0.0, prior / 0.75 - positives / rows) / max(1e-9, 1 - positives / rows)
-    candidates = [r.feature for r in passing(share).limit(2 * most_features + 1).collect()]
-    if len(candidates) > 2 * most_features:
-        candidates = [r.feature for r in passing(1).limit(most_features).collect()]
+    # well above the share at which a word as common in toxic texts as in others falls out:
+    # near it many rare words, and those of long texts, still pass
+    share = 3 * max(0.0, prior / 0.75 - positives / rows) / max(1e-9, 1 - positives / rows)
+    some = texts.filter(F.col("p") | part(share, 3)).select("p", "text")
+    counts = [F.sum("in_p").alias("in_p"), F.sum("in_u").alias("in_u")]
+    passing = stored(arrow_map(some, tallied, "feature string, in_p long, in_u long").groupBy(
+        "feature").agg(*counts).filter(telling), "passing")
+
+    def chosen_of(part_of):
+        """Those of a list of features that the counts over all texts let pass, in its order."""
+        places = {f: i for i, f in enumerate(part_of)}
+
+        def counted(batches):
+            found, every, bad = _remembered(places), Counter(), Counter()
+            for batch in batches:
+                for p, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    features = found(text)
+                    every.update(features)
+                    if p:
+                        bad.update(features)
+            names = list(every)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([places[f] for f in names], pa.int32()), pa.array([bad[f] for f in names], pa.int64()),
+                 pa.array(every.values(), pa.int64())], names=["place", "in_p", "in_u"])
+
+        passed = arrow_map(texts.select("p", "text"), counted, "place int, in_p long, in_u long").groupBy(
+            "place").agg(*counts).filter(telling).select("place").collect()
+        return [part_of[i] for i in sorted(r.place for r in passed)]
+
+    most_held = 5 * most_features
+    if passing.count() <= most_held:
+        candidates = [r.feature for r in passing.collect()]
+    else:
+        # the count in toxic texts is final, so the best ones come first
+        candidates, ranked = [], (r.feature for r in passing.orderBy(F.desc("in_p"), "feature").toLocalIterator())
+        while len(candidates) < most_features and (held := list(islice(ranked, most_held))):
+            candidates += chosen_of(held)
     place = {f: i for i, f in enumerate(candidates)}
 
     def indexed(batches):

@@ -204,3 +204,27 @@ def test_words_are_tallied_over_a_share_of_the_texts(spark, monkeypatch):
     model = toxicity.trained(docs, known)
     assert len(tallied) == 1 and tallied[0] < 500
     assert model["weights"] and all(f.startswith("vil") for f in model["weights"])
+
+
+def test_many_candidates_are_counted_in_parts(spark, monkeypatch):
+    """More words than a task holds pass the share: they are counted in all texts, others are not again."""
+    rows = []
+    for i in range(1500):
+        toxic, j = i % 30 == 0, i // 30
+        words = [f"{'abcdefghijkl'[k]}q" for k in range(12)
+                 if ((j + k) % 2 == 0 if toxic else (i + 17 * k) % 14 == 0)]
+        if toxic:
+            words += ["zx", "zy"] * (j % 5 < 2) + ["zz"] * (j % 5 == 0)
+        rows.append((i, " ".join(["some", "text", *words]), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    passes, map_of = [], toxicity.arrow_map
+
+    def noted(df, function, schema):
+        passes.append(schema.split()[0])
+        return map_of(df, function, schema)
+
+    monkeypatch.setattr(toxicity, "arrow_map", noted)
+    model = toxicity.trained(docs.drop("toxic"), docs.drop("text"), most_features=2)
+    # the twelve common words lead by their count in toxic texts, and all fall out
+    assert set(model["weights"]) == {"zx", "zy"}
+    assert passes.count("feature") == 1 and passes.count("place") == 2
