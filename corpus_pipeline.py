@@ -17,17 +17,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from hazecast.llm import mixing, near_copies, packing, repeats, toxicity
-from hazecast.llm.common import delete_folder, noted_tables, table
+from hazecast.llm.common import SHUFFLES_DELETED, delete_folder, noted_tables, table
 from hazecast.session import configure, work_folder
 
 _written: list[str] = []
 
 
 def stage(function):
-    """A stage that deletes what earlier stages wrote on their way and its input does not read."""
+    """A stage that deletes what earlier stages wrote on their way and its input does not read.
+
+    From the first stage on the session deletes shuffle files as each query ends.
+    """
     @functools.wraps(function)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        configure(spark)
+        configure(spark).conf.set(SHUFFLES_DELETED, "true")
         read = docs.inputFiles() if _written else []
         for path in [p for p in _written if not any(p.split(":")[-1] in f for f in read)]:
             delete_folder(spark, path)

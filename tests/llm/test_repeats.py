@@ -122,3 +122,17 @@ def test_short_length_equals_brute_force(spark, gram):
     got = sorted((r.n_bytes, [(s.start, s.end) for s in r.spans], r.kept_sha256)
                  for r in repeats.removals(docs, 101, gram).collect())
     assert got == sorted(brute(texts, 101))
+
+
+def test_whole_texts_move_once_at_the_end_and_shuffles_are_deleted(spark, tmp_path):
+    """The last query shuffles the rows' texts alone; stored tables leave no shuffle files."""
+    shared = "one passage that two texts share " * 20
+    docs = spark.createDataFrame([(i, f"{i} begins {shared} and {i} ends", "x") for i in range(20)],
+                                 "doc_id long, text string, other string")
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before = tracker.shuffleStatuses().size()
+    out = repeats.without_repeats(docs, length=101, gram=32, least_words=51)
+    assert tracker.shuffleStatuses().size() == before
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "shared-texts" not in plan and plan.count("MapInArrow") == 0
+    assert {r.other for r in out.collect()} == {"x"} and all("passage" not in r.text for r in out.collect())
