@@ -184,3 +184,47 @@ def test_histograms_equal_plain_sums(frame):
             for f in range(3):
                 want[:, f, r[f]] += (-y * w, w, 1)
     assert (got == want.reshape(3, -1)).all() and want[1].max() > want[2].max()
+
+
+def test_one_task_gives_the_trees_of_the_passes(spark, frame, monkeypatch):
+    """Boosting as a whole in one task; nodes of a forest sent to tasks at the root, further down, in several jobs, or never."""
+    data = vectors(spark, frame)
+    boosted = dict(rounds=6, growth=tg.Growth(5, 0.1, 1.0, 3.0))
+    forest = dict(trees=4, growth=tg.Growth(9, split_rows=5, leaf_rows=2))
+    alone = [tg.BoostedTrees(**boosted).fit(data), tg.RandomForest(**forest).fit(data)]
+    monkeypatch.setattr(tg, "SENT_BYTES", 1000)
+    monkeypatch.setattr(tg, "SENT_ROWS", 7)
+    for cells in (0, 4 * 120):
+        monkeypatch.setattr(tg, "ALONE_CELLS", cells)
+        passes = [tg.BoostedTrees(**boosted).fit(data), tg.RandomForest(**forest).fit(data)]
+        assert passes[0].value("trees") == alone[0].value("trees")
+        if not cells:
+            assert passes[1].value("trees") == alone[1].value("trees")
+        for a, b in zip(alone, passes):
+            assert same(a.value("importance"), b.value("importance"), 1e-12)
+            assert a.transform(data).exceptAll(b.transform(data)).isEmpty()
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_cuts_of_few_rows_equal_those_of_sums(weighted):
+    """Nodes of one row and more; ties go to the first feature and the lowest bin."""
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(1, 40, 60)
+    n = int(sizes.sum())
+    columns = rng.integers(0, 6, (9, n)).astype(np.uint8)
+    columns[4] = columns[2]
+    g, w = rng.integers(-50, 50, n) / 8, rng.integers(1, 4, n).astype(float) if weighted else None
+    for growth in (tg.Growth(3, 0.1, 1.0, 3.0), tg.Growth(3, split_rows=5, leaf_rows=2)):
+        few, many = (search(columns, g, w, sizes, growth, 8) for search in (tg._sparse_cuts, tg._dense_cuts))
+        assert (few["gain"] == many["gain"]).all() and (many["gain"] > 0).sum() > 30
+        there = many["gain"] > 0
+        for c in tg.FOUND[1:]:
+            assert (few[c][there] == many[c][there]).all(), c
+
+
+def test_models_saved_as_lists_are_read(spark, frame):
+    model = tg.BoostedTrees(rounds=2).fit(vectors(spark, frame))
+    import json
+    old = tg.TreeModel(**{n: model.getOrDefault(n) for n in ("cuts", "base", "rate", "importance")}, trees=json.dumps(model.value("trees")))
+    data = vectors(spark, frame)
+    assert old.transform(data).exceptAll(model.transform(data)).isEmpty()
