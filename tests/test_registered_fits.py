@@ -14,7 +14,7 @@ def whole(estimator) -> bool:
     return isinstance(estimator, RandomForest) and (estimator.trees, estimator.growth.depth, estimator.bins) == (200, 15, 64)
 
 
-@pytest.mark.parametrize("name", ["forest_fit"])
+@pytest.mark.parametrize("name", ["forest_fit", "gbt_fit"])
 def test_fits_are_whole(monkeypatch, name):
     seen = []
 
