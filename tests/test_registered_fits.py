@@ -26,3 +26,20 @@ def test_fits_are_whole(monkeypatch, name):
     with pytest.raises(StopIteration):
         spark_queries.QUERIES[name](None, "")
     assert len(seen) == 1 and whole(seen[0])
+
+
+@pytest.mark.parametrize("name", ["feature_importance", "model_report", "model_selection"])
+def test_candidates_are_whole(monkeypatch, name):
+    seen = []
+
+    def train(table, targets=None, candidates=None, minimum=None):
+        seen.append(training.CANDIDATES if candidates is None else candidates)
+        raise StopIteration
+    monkeypatch.setattr(spark_queries, "feature_table", lambda spark, folder: None)
+    monkeypatch.setattr(spark_queries, "work_folder", lambda spark, name: "")
+    monkeypatch.setattr(training, "train", train)
+    with pytest.raises(StopIteration):
+        spark_queries.QUERIES[name](None, "")
+    made, = seen
+    assert list(made) == ["boosted_trees", "random_forest", "ridge_regression"]
+    assert whole(made["boosted_trees"](None)) and whole(made["random_forest"](None)) and made["ridge_regression"] is training.ridge
