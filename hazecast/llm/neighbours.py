@@ -2,18 +2,20 @@
 
 Each tree halves a bounded sample by the difference of two of its points, drawn at random,
 down to leaves. Every vector of the table is then indexed in one leaf of each tree. A query
-walks all trees through one priority queue, nearest branches first (by the squared margins
-of the planes it had to cross), until the leaves it has opened hold ``share`` of the sample,
-and as much of it as stands for ``least`` vectors of the table. In those leaves it meets the
-indexed vectors, and their cosines are computed in full. A leaf that the sample is too small
-to halve further is dealt over several cells, and so are very many queries: no task holds a
-whole leaf, or all queries, of a large table.
+walks all trees, nearest branches first (by the squared margins of the planes it had to cross),
+until the leaves it has opened hold ``share`` of the sample, and as much of it as stands for
+``least`` vectors of the table. The indexed vectors in those leaves are its candidates, and the
+best of them are compared in full.
+
+A query travels once, with a bit per leaf that it opened, in blocks of a bounded number of
+queries; the vectors stay where they are. A task takes its vectors in tiles, multiplies a tile of
+queries with a tile of vectors, and looks at pairs alone that reach the query's k-th best so far.
+So neither memory nor shuffles grow with the leaves that a query opens.
 
 Equal vectors are collapsed first, with their k + 1 least ids: only those can be among the k
 nearest. So a vector that a third of all rows share costs one row in a leaf.
 """
 
-import heapq
 import math
 
 import numpy as np
@@ -47,11 +49,8 @@ class Forest:
                 self.normals[tree, node] = normal
                 self.offsets[tree, node] = np.median(side) if len(here) else 0.0
                 at[here] = 2 * node + 1 + (side > self.offsets[tree, node])
-        where = self.leaves(sample)
-        self.members = [{} for _ in range(trees)]
-        for tree in range(trees):
-            for leaf in np.unique(where[:, tree]):
-                self.members[tree][int(leaf)] = np.flatnonzero(where[:, tree] == leaf)
+        #: Leaf of each row of the sample in each tree, counted from the tree's first leaf.
+        self.where = (self.leaves(sample) - inner).astype(np.int32)
 
     def leaves(self, unit: np.ndarray) -> np.ndarray:
         """Leaf of each row in each tree."""
@@ -63,24 +62,28 @@ class Forest:
                 at[:] = 2 * at + 1 + side
         return out
 
-    def opened(self, unit: np.ndarray, wanted: float) -> list[tuple[int, int]]:
-        """(tree, leaf) in the order opened, until they hold ``wanted`` rows of the sample."""
-        margins = self.normals @ unit - self.offsets
-        inner, seen, count, found = (1 << self.depth) - 1, np.zeros(self.size, dtype=bool), 0, []
-        queue = [(0.0, tree, 0) for tree in range(self.trees)]
-        while queue and count < wanted:
-            far, tree, node = heapq.heappop(queue)
-            if node >= inner:
-                found.append((tree, node))
-                rows = self.members[tree].get(node)
-                if rows is not None:
-                    count += int((~seen[rows]).sum())
-                    seen[rows] = True
-                continue
-            margin = float(margins[tree, node])
-            heapq.heappush(queue, (far + max(-margin, 0.0) ** 2, tree, 2 * node + 2))
-            heapq.heappush(queue, (far + max(margin, 0.0) ** 2, tree, 2 * node + 1))
-        return found
+    def opened(self, unit: np.ndarray, wanted: float) -> np.ndarray:
+        """Whether each leaf of each tree is opened, the nearest first, until they hold ``wanted`` rows of the sample.
+
+        What lies nearer is never behind what lies farther, so a walk through one priority queue of
+        (distance, tree, node) opens leaves in the order of their own distances.
+        """
+        margins = (self.normals @ unit - self.offsets).astype(np.float64)
+        far = np.zeros((self.trees, 1))
+        for level in range(self.depth):
+            margin = margins[:, (1 << level) - 1:(2 << level) - 1]
+            far = np.stack([far + np.maximum(margin, 0.0) ** 2, far + np.maximum(-margin, 0.0) ** 2], axis=2).reshape(self.trees, -1)
+        place = np.empty(far.size, dtype=np.int64)
+        place[np.argsort(far, axis=None, kind="stable")] = np.arange(far.size)
+        place = place.reshape(far.shape)
+        need = math.ceil(wanted)
+        if need > self.size:
+            return np.ones(far.shape, dtype=bool)
+        if need <= 0:
+            return np.zeros(far.shape, dtype=bool)
+        # a row of the sample is met with the first of its leaves
+        met = place[np.arange(self.trees), self.where].min(axis=1)
+        return place <= np.partition(met, need - 1)[need - 1]
 
 
 def unit_rows(vectors) -> np.ndarray:
@@ -89,12 +92,10 @@ def unit_rows(vectors) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
 
-def cosines(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Cosine of each row with the query, in double precision, the same in any company."""
-    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
-    query = query / np.abs(query).max()
-    dots = (rows * query).sum(axis=1)
-    return dots / (np.sqrt((rows * rows).sum(axis=1)) * math.sqrt((query * query).sum()))
+def scaled(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows over their greatest part, and the lengths of those."""
+    rows = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return rows, np.sqrt((rows * rows).sum(axis=1))
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -135,92 +136,105 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, trees: int = 8, lea
     forest = Forest(unit_rows(points).astype(np.float32) if points else np.zeros((0, 1)), trees, depth, seed)
     wanted = max(share * len(points), min(1.0, least / max(1, total)) * len(points))
     asking = rows.filter(F.col("id") % every == 0).groupBy("id").agg(F.min("vec").alias("vec"))
-    # deeper leaves would need a larger sample: rows of a leaf, and queries, are dealt by hash
-    deals = max(1, -(-total // (cell_rows << depth)))
-    blocks = max(1, -(-asking.count() // cell_queries))
     kind = distinct.schema["vec"].dataType.simpleString()
     id_kind = rows.schema["id"].dataType.simpleString()
-    schema = f"leaf int, kind int, ids array<{id_kind}>, vec {kind}"
-
-    def index(frames):
-        for frame in frames:
-            if len(frame):
-                leaves = forest.leaves(unit_rows(frame["vec"]).astype(np.float32))
-                for tree in range(trees):
-                    yield pd.DataFrame({"leaf": (leaves[:, tree] * trees + tree).astype(np.int32), "kind": 1,
-                                        "ids": frame["ids"], "vec": frame["vec"]})
 
     def probe(frames):
         for frame in frames:
-            if not len(frame):
-                continue
-            leaves, owner = [], []
-            for row, unit in enumerate(unit_rows(frame["vec"]).astype(np.float32)):
-                found = forest.opened(unit, wanted)
-                leaves += [leaf * trees + tree for tree, leaf in found]
-                owner += [row] * len(found)
-            out = frame.iloc[owner]
-            yield pd.DataFrame({"leaf": np.array(leaves, dtype=np.int32), "kind": 0,
-                                "ids": [[i] for i in out["id"]], "vec": out["vec"].to_numpy()})
-
-    def dealt(rows: DataFrame, deal, block) -> DataFrame:
-        """Each row to one deal of its leaf, or all; and to one block of queries, or all."""
-        return rows.withColumn("deal", deal).withColumn("block", block).select(
-            ((F.col("leaf").cast("long") * deals + F.col("deal")) * blocks + F.col("block")).alias("cell"),
-            "kind", "ids", "vec")
-
-    def one_of(n: int, value):
-        return F.pmod(F.xxhash64(value), F.lit(n))
-
-    def all_of(n: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+            if len(frame):
+                units = unit_rows(frame["vec"]).astype(np.float32)
+                yield pd.DataFrame({"id": frame["id"], "vec": frame["vec"],
+                                    "opened": [np.packbits(forest.opened(u, wanted)).tobytes() for u in units]})
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = asking.repartition(partitions, "id").mapInPandas(probe, schema)
-    met = dealt(distinct.mapInPandas(index, schema), one_of(deals, "vec"), all_of(blocks)).unionByName(
-        dealt(asked, all_of(deals), one_of(blocks, "ids")))
-    met = met.repartition(partitions, "cell").sortWithinPartitions("cell", "kind")
-    found = met.mapInPandas(lambda frames: _rerank(frames, k), f"query_id {id_kind}, id {id_kind}, score double")
+    asked = stored(asking.repartition(partitions, F.xxhash64("id")).mapInPandas(probe, f"id {id_kind}, vec {kind}, opened binary"), "asked")
+    blocks = max(1, -(-asked.count() // cell_queries))
+
+    def met(block: int) -> DataFrame:
+        # about ``cell_queries`` rows of a vector and a bit per leaf
+        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toPandas()
+        sent = spark.sparkContext.broadcast((mine["id"].to_numpy(), [np.asarray(v, dtype=np.float64) for v in mine["vec"]],
+                                             mine["opened"].tolist()))
+        return distinct.mapInPandas(lambda frames: _rerank(frames, k, forest, sent.value, cell_rows),
+                                    f"query_id {id_kind}, id {id_kind}, score double")
+
+    found = met(0)
+    for block in range(1, blocks):
+        found = found.unionByName(met(block))
     best = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", F.col("id").alias(id_column), "score")
 
 
-def _rerank(frames, k: int):
-    """The k best of each query over all cells of a task; queries of a cell come before its rows."""
-    best: dict[int, dict[int, float]] = {}
-    cell, asking, queries = None, [], None
+TILE = 1024  # queries
+ROUGH = 1e-5  # more than single precision errs in a cosine of a few thousand parts
+PAIRS = 32768  # compared in full at once
+
+
+def _rerank(frames, k: int, forest: Forest, asked: tuple, cell_rows: int):
+    """The k best candidates of each query among the vectors of a task."""
+    names, vectors, opened = asked
+    if not len(names):
+        return
+    queries, lengths = scaled(np.stack(vectors))
+    units = unit_rows(vectors).astype(np.float32)
+    opened = np.frombuffer(b"".join(opened), dtype=np.uint8).reshape(len(names), -1)
+    low = np.full(len(names), -np.inf)  # of each query, the score of its k-th best so far
+    best: dict[int, tuple] = {}  # per tile of queries: (query, id, score) of the k best
+    first_leaf, leaves = (1 << forest.depth) - 1, 1 << forest.depth
+
     for frame in frames:
-        starts = np.flatnonzero(np.r_[True, np.diff(frame["cell"].to_numpy()) != 0]) if len(frame) else []
-        for a, b in zip(starts, [*starts[1:], len(frame)]):
-            part = frame.iloc[a:b]
-            if part["cell"].iloc[0] != cell:
-                cell, asking, queries = part["cell"].iloc[0], [], None
-            questions = part[part["kind"] == 0]
-            asking += [(ids[0], np.asarray(v, dtype=np.float64)) for ids, v in
-                       zip(questions["ids"], questions["vec"])]
-            part = part[part["kind"] == 1]
-            if not len(part) or not asking:
-                continue
-            if queries is None or len(queries) != len(asking):
-                queries = unit_rows([v for _, v in asking])
-            rows = np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]])
-            ids = part["ids"].tolist()
-            rough = queries @ unit_rows(rows).T
-            # a row may be the query's own: one more than k, and what ties with it
-            take = min(k + 1, len(rows))
-            least = np.partition(rough, len(rows) - take, axis=1)[:, len(rows) - take] - 1e-9
-            for (query, vector), line, low in zip(asking, rough, least):
-                near = np.flatnonzero(line >= low)
-                mine = best.setdefault(query, {})
-                for row, score in zip(near, cosines(rows[near], vector)):
-                    for i in ids[row]:
-                        if i != query:
-                            mine[i] = max(float(score), mine.get(i, -2.0))
-                if len(mine) > 8 * k:
-                    best[query] = dict(sorted(mine.items(), key=lambda p: (-p[1], p[0]))[:k])
-    out = [(q, i, s) for q, mine in best.items()
-           for i, s in sorted(mine.items(), key=lambda p: (-p[1], p[0]))[:k]]
-    for at in range(0, len(out), 10000):
-        yield pd.DataFrame(out[at:at + 10000], columns=["query_id", "id", "score"])
+        for start in range(0, len(frame), cell_rows):
+            part = frame.iloc[start:start + cell_rows]
+            rows, sizes = scaled(np.stack([np.asarray(v, dtype=np.float64) for v in part["vec"]]))
+            unit = unit_rows(part["vec"]).astype(np.float32)
+            bits = forest.leaves(unit) - first_leaf + np.arange(forest.trees) * leaves
+            ids, n = np.concatenate([np.asarray(i) for i in part["ids"]]), np.array([len(i) for i in part["ids"]])
+            ends = np.cumsum(n)
+
+            def candidates(q, r):
+                """(query, id, score) of pairs, of those that the forest lets meet."""
+                for at in range(0, len(q), PAIRS):
+                    mine, row = q[at:at + PAIRS], r[at:at + PAIRS]
+                    bit = bits[row]
+                    meets = (opened[mine[:, None], bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1).any(axis=1)
+                    mine, row = mine[meets], row[meets]
+                    score = (rows[row] * queries[mine]).sum(axis=1) / (sizes[row] * lengths[mine])
+                    count = n[row]
+                    mine, score = np.repeat(mine, count), np.repeat(score, count)
+                    i = ids[np.arange(len(mine)) + np.repeat(ends[row] - np.cumsum(count), count)]
+                    other = i != names[mine]
+                    yield mine[other], i[other], score[other]
+
+            def add(tile, q, r):
+                found = [*candidates(q, r)]
+                if not sum(len(x[0]) for x in found):
+                    return
+                q, i, score = map(np.concatenate, zip(*found, *([best[tile]] if tile in best else [])))
+                # an id that has several vectors counts by its best one
+                order = np.lexsort((-score, i, q))
+                q, i, score = q[order], i[order], score[order]
+                once = np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])]
+                q, i, score = q[once], i[once], score[once]
+                order = np.lexsort((i, -score, q))
+                q, i, score = q[order], i[order], score[order]
+                place = np.arange(len(q)) - np.searchsorted(q, q)
+                kept = place < k
+                best[tile] = q[kept], i[kept], score[kept]
+                last = place == k - 1
+                low[q[last]] = score[last]
+
+            for tile in range(0, len(names), TILE):
+                rough = units[tile:tile + TILE] @ unit.T
+                new, some = np.flatnonzero(np.isinf(low[tile:tile + TILE])), 4 * (k + 1)
+                if len(new) and len(unit) > 2 * some:
+                    # a first k-th best from the nearest few, so that not all pairs of a tile are looked at
+                    near = np.argpartition(rough[new], len(unit) - some, axis=1)[:, len(unit) - some:]
+                    add(tile, np.repeat(new + tile, some), near.ravel())
+                q, r = np.nonzero(rough >= (low[tile:tile + TILE, None] - ROUGH).astype(np.float32))
+                if len(q):
+                    add(tile, q + tile, r)
+    for q, i, score in best.values():
+        for at in range(0, len(q), 10000):
+            yield pd.DataFrame({"query_id": names[q[at:at + 10000]], "id": i[at:at + 10000], "score": score[at:at + 10000]})

@@ -1,3 +1,4 @@
+import heapq
 import os
 
 import numpy as np
@@ -97,3 +98,59 @@ def test_few_rows(spark):
     assert neighbours.nearest(table(spark, [(50, [1.0, 2.0], 0)])).count() == 0
     got = neighbours.nearest(table(spark, [(50, [1.0, 2.0], 0), (51, [2.0, 4.0], 0), (52, [1.0], 0)])).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in got] == [(50, 1, 51)]
+
+
+def walk(forest, unit, wanted):
+    """Leaves that a walk through one priority queue opens."""
+    margins = forest.normals @ unit - forest.offsets
+    inner, seen, found = (1 << forest.depth) - 1, np.zeros(forest.size, dtype=bool), np.zeros((forest.trees, 1 << forest.depth), dtype=bool)
+    queue = [(0.0, tree, 0) for tree in range(forest.trees)]
+    while queue and seen.sum() < wanted:
+        far, tree, node = heapq.heappop(queue)
+        if node >= inner:
+            found[tree, node - inner] = True
+            seen |= forest.where[:, tree] == node - inner
+            continue
+        margin = float(margins[tree, node])
+        heapq.heappush(queue, (far + max(-margin, 0.0) ** 2, tree, 2 * node + 2))
+        heapq.heappush(queue, (far + max(margin, 0.0) ** 2, tree, 2 * node + 1))
+    return found
+
+
+@pytest.mark.parametrize("depth", [0, 1, 5])
+def test_opened_leaves_are_those_of_a_walk(depth):
+    draw = np.random.default_rng(depth)
+    sample = neighbours.unit_rows(draw.normal(size=(300, 12)).round(1)).astype(np.float32)
+    forest = neighbours.Forest(sample, 4, depth, 3)
+    for unit in [*sample[:20], *neighbours.unit_rows(draw.normal(size=(20, 12))).astype(np.float32)]:
+        for wanted in (0.0, 0.5, 20, 180.5, 300):
+            assert (forest.opened(unit, wanted) == walk(forest, unit, wanted)).all()
+
+
+def test_memory_does_not_grow_with_opened_leaves(spark, monkeypatch):
+    """A query travels once, whatever the number of leaves it opens, and a task looks at few pairs at once."""
+    draw = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in draw.normal(size=16).astype(np.float32)], 0) for i in range(2000)]
+    written = {}
+    kept = neighbours.stored
+
+    def stored(df, name):
+        written[name] = kept(df, name)
+        return written[name]
+    monkeypatch.setattr(neighbours, "stored", stored)
+    plain = neighbours.nearest(table(spark, rows), leaf_rows=16).collect()
+    assert written["asked"].count() == 40 and len(plain) == 200
+    bits = {len(r.opened) * 8 for r in written["asked"].collect()}
+    assert bits == {8 * 64}  # a bit for each leaf of the trees
+    wanted = brute(rows, 50, 5)
+    hits = sum((r.query_id, r.vec_id) in {(q, i) for q, best in wanted.items() for i, _ in best} for r in plain)
+    assert hits >= 0.9 * len(plain)
+
+
+def test_an_id_with_many_vectors_takes_one_place(spark):
+    """Its own vectors, and many of another id, are not all that a query finds."""
+    near = [[1.0, 0.01 * n, 0.0, 0.0] for n in range(12)]
+    rows = [(50, v, 0) for v in near] + [(7, [1.0, 0.01 * n, 0.001, 0.0], 0) for n in range(12)]
+    rows += [(100 + i, [0.0, 1.0, 0.1 * i, 0.5], 0) for i in range(1, 8)]
+    got = {r["rank"]: r.vec_id for r in neighbours.nearest(table(spark, rows)).collect() if r.query_id == 50}
+    assert got == {n + 1: i for n, (i, _) in enumerate(brute(rows, 50, 5)[50])} and got[1] == 7 and len(got) == 5
